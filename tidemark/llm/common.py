@@ -152,3 +152,33 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = _LOWER[raw]
     starts, ends, rows = spans(~_SPACE[raw], offsets)
     return span_hashes(raw, starts, ends), rows
+
+
+def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums over [offsets[i], offsets[i+1]); 0 where that is empty."""
+    out = np.zeros(len(offsets) - 1, np.int64 if values.dtype.kind in "iub" else values.dtype)
+    full = offsets[:-1] < offsets[1:]
+    if full.any():
+        out[full] = np.add.reduceat(values, offsets[:-1][full], dtype=out.dtype)
+    return out
+
+
+def unique_per_row(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each row, sorted within it, and n+1 offsets."""
+    bounds = np.searchsorted(rows, np.arange(n + 1))
+    parts = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    return (np.concatenate(parts) if parts else hashes[:0]), offsets
+
+
+def label_sample(labels: DataFrame, id_col: str, label_col: str, train: Column, bound: int) -> DataFrame:
+    """At most `bound` labelled ids of the training fold, the same ones each time.
+
+    An id whose label rows disagree, and null ids or labels, are left out.
+    """
+    return (
+        labels.where(train & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+        .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"), F.max(label_col).alias("_high"))
+        .where("_label = _high").drop("_high")
+        .orderBy(F.xxhash64("_id", F.lit(17)), "_id").limit(bound)
+    )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import topk_bitslice
+from tidemark.llm import quality_gam, topk_bitslice, toxicity_nnpu
 
 
 def queries() -> dict:
-    return {"op7_exact_topk": topk_bitslice.op7_exact_topk}
+    return {
+        "op7_exact_topk": topk_bitslice.op7_exact_topk,
+        "op8_quality_gam": quality_gam.op8_quality_gam,
+        "op9_toxicity_nnpu": toxicity_nnpu.op9_toxicity_nnpu,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
