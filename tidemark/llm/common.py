@@ -125,7 +125,12 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 22) -> np.ndarray:
     """A 64-bit hash of each byte span: a polynomial by running sums, then a finaliser."""
-    out = np.empty(len(starts), U64)
+    return prefix_hashes(raw, starts, ends, [], block)[0]
+
+
+def prefix_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: list[int], block: int = 1 << 22) -> list[np.ndarray]:
+    """Hashes of whole spans, and of their first bytes for each length (whole where a span is shorter)."""
+    out = [np.empty(len(starts), U64) for _ in range(len(lengths) + 1)]
     with np.errstate(over="ignore"):
         i = 0
         while i < len(starts):  # in blocks of spans, so that the running sums stay small
@@ -135,9 +140,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: in
             sums = np.zeros(top - base + 1, U64)
             np.cumsum(_BYTE[raw[base:top]] * _powers(_STEP, top - base), out=sums[1:], dtype=U64)
             s, e = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (sums[e] - sums[s]) * _powers(_INV, top - base + 1)[s] + (e - s).astype(U64)
+            back = _powers(_INV, top - base + 1)[s]
+            for o, cut in zip(out, [e, *(np.minimum(e, s + n) for n in lengths)], strict=True):
+                o[i:j] = (sums[cut] - sums[s]) * back + (cut - s).astype(U64)
             i = j
-    return mix(out)
+    return [mix(o) for o in out]
 
 
 _SPACE = np.zeros(256, bool)

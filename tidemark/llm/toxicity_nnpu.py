@@ -10,8 +10,11 @@ where a batch whose second term falls below zero takes a step that raises it
 again. The prior is the smoothed share of toxic labels in the training fold.
 
 Words are runs of letters (A-Z folded) of whole texts, so marks around a word
-don't hide it. Word choice and training use bounded seeded samples
-(MAX_POSITIVE, MAX_UNLABELLED); every text is scored whole. Null and empty texts
+don't hide it; beside whole words their beginnings count (PREFIXES, in bytes), so
+that an inflected or compounded word is known by its stem. Word choice and training use bounded seeded samples
+(MAX_POSITIVE, MAX_UNLABELLED); the margins are then set to
+probabilities by a logistic fit on labelled rows of the training fold
+(MAX_CALIBRATION more). Every text is scored whole. Null and empty texts
 score as texts without any selected word. Documents without id are scored and
 not held out. Without positives, or without unlabelled texts, all scores are the
 prior. Repeated rows score alike; extra columns pass through.
@@ -26,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers, fold, label_sample, read, small_batches, span_hashes, spans, unique_per_row
+from tidemark.llm.common import buffers, fold, label_sample, read, small_batches, prefix_hashes, spans, unique_per_row
 
 #: Documents that training may use at most, of each kind.
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
+MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 4_000, 12_000, 6_000
 #: Words in the model at most.
-VOCABULARY = 512
+VOCABULARY = 100
+#: A word is a candidate if it is this share of 1/prior times likelier among positives than among unlabelled texts.
+MIN_RATIO = 0.4
 CUT = 0.7
+#: Bytes of a word's beginnings that are features of their own.
+PREFIXES = [4, 5, 6, 7]
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -41,10 +48,21 @@ _LOW[65:91] += 32
 
 
 def letter_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hash and row of each run of letters, and the number of rows."""
+    """Hash and row of each run of letters and of its beginnings, and the number of rows."""
     raw, offsets = buffers(column)
     starts, ends, rows = spans(_LETTER[raw], offsets)
-    return span_hashes(_LOW[raw], starts, ends), rows, len(offsets) - 1
+    hashes = prefix_hashes(_LOW[raw], starts, ends, PREFIXES)
+    return np.stack(hashes, axis=1).ravel(), np.repeat(rows, len(hashes)), len(offsets) - 1
+
+
+def find(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes that are among the sorted words, and which words they are."""
+    seen = np.zeros(1 << 16, bool)
+    seen[words & np.uint64(0xFFFF)] = True
+    may = np.flatnonzero(seen[hashes & np.uint64(0xFFFF)])
+    at = np.minimum(np.searchsorted(words, hashes[may]), len(words) - 1)
+    hit = words[at] == hashes[may]
+    return may[hit], at[hit]
 
 
 @dataclass
@@ -57,9 +75,8 @@ class PuModel:
         hashes, rows, n = letter_words(column)
         out = np.full(n, self.bias)
         if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = self.words[at] == hashes
-            seen = np.unique(rows[hit] * len(self.words) + at[hit])  # presence, not counts
+            places, at = find(self.words, hashes)
+            seen = np.unique(rows[places] * len(self.words) + at)  # presence, not counts
             out += np.bincount(seen // len(self.words), weights=self.weights[seen % len(self.words)], minlength=n)
         return out
 
@@ -67,7 +84,7 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(self.margins(column), -35, 35)))
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 200, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model under the non-negative risk (logistic loss, Adam)."""
     rng = np.random.default_rng(seed)
     theta = np.zeros(pos.shape[1] + 1)
@@ -95,6 +112,20 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, b
     return theta[:-1], float(theta[-1])
 
 
+def calibrate(pos: np.ndarray, neg: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift that turn margins into log odds, with the classes weighed by the prior."""
+    if not len(pos) or not len(neg):
+        return 1.0, 0.0
+    x = np.column_stack([np.concatenate([pos, neg]), np.ones(len(pos) + len(neg))])
+    y = np.repeat([1.0, 0.0], [len(pos), len(neg)])
+    w = np.repeat([prior / len(pos), (1 - prior) / len(neg)], [len(pos), len(neg)]) * len(y)
+    theta = np.array([1.0, 0.0])
+    for _ in range(40):  # Newton's method, lightly damped
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        theta += np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (w * (y - p)) - 0.1 * (theta - [1.0, 0.0]))
+    return float(max(theta[0], 0.1)), float(theta[1])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, vocabulary: int = VOCABULARY) -> PuModel:
     """Learn from rows whose crc32(doc_id) mod 3 is not 1."""
     spark = docs.sparkSession
@@ -105,7 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     positive = label_sample(labels, "doc_id", "toxic", fold_of & (F.col("toxic") == 1), max_positive)
     ids = docs.select(F.col("doc_id").alias("_id")).where("_id is not null")
     unlabelled = ids.join(labels.select(F.col("doc_id").alias("_id")), "_id", "left_anti").distinct().orderBy(F.xxhash64("_id", F.lit(23)), "_id").limit(max_unlabelled).withColumn("_label", F.lit(0))
-    sample = positive.select("_id", F.col("_label").cast("int")).unionByName(unlabelled)
+    clean = label_sample(labels, "doc_id", "toxic", fold_of & (F.col("toxic") == 0), MAX_CALIBRATION)
+    # 1: positive, 0: unlabelled, 2: labelled clean, for calibration only
+    sample = positive.select("_id", F.col("_label").cast("int")).unionByName(unlabelled).unionByName(clean.select("_id", F.lit(2).alias("_label")))
 
     def distinct_words(column: pa.Array) -> pa.Array:
         hashes, rows, n = letter_words(column)
@@ -120,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         return empty
     share1, share0 = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("b") + 0.5) / (n0 + 1.0)
     chosen = (
-        rows.select("_label", F.explode("_w").alias("w")).groupBy("w").agg(F.count_if(F.expr("_label = 1")).alias("a"), F.count_if(F.expr("_label = 0")).alias("b"))
-        .where(F.col("a") >= max(2, n1 // 200)).withColumn("gain", share1 * F.log(share1 / share0)).where("gain > 0").orderBy(F.desc("gain"), "w").limit(vocabulary)
+        rows.where("_label < 2").select("_label", "_w").distinct().select("_label", F.explode("_w").alias("w")).groupBy("w").agg(F.count_if(F.expr("_label = 1")).alias("a"), F.count_if(F.expr("_label = 0")).alias("b"))
+        .where((F.col("a") >= max(2, n1 // 100)) & (share1 / share0 >= max(1.5, MIN_RATIO / prior))).withColumn("gain", share1 * F.log(share1 / share0)).orderBy(F.desc("gain"), "w").limit(vocabulary)
         .select("w").toPandas()["w"].to_numpy(np.int64).view(np.uint64)
     )
     if not len(chosen):
@@ -130,9 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
     def columns(column: pa.Array) -> pa.Array:
         hashes, rows_of, n = letter_words(column)
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        hit = words[at] == hashes
-        got, off = unique_per_row(at[hit], rows_of[hit], n)
+        places, at = find(words, hashes)
+        got, off = unique_per_row(at, rows_of[places], n)
         return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(got.astype(np.int32)))
 
     got = (
@@ -146,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     if not (y == 1).any() or not (y == 0).any():
         return empty
     weights, bias = fit_nnpu(x[y == 1], x[y == 0], prior)
-    return PuModel(words, weights, bias)
+    slope, shift = calibrate(x[y == 1] @ weights + bias, x[y == 2] @ weights + bias, prior)
+    return PuModel(words, weights * slope, bias * slope + shift)
 
 
 def score(docs: DataFrame, model: PuModel, out: str = "score") -> DataFrame:
