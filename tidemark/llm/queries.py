@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality_gam, topk_bitslice, toxicity_nnpu
+from tidemark.llm import near_dup, quality_gam, topk_bitslice, toxicity_nnpu
 
 
 def queries() -> dict:
     return {
+        "op4_near_duplicates": near_dup.op4_near_duplicates,
         "op7_exact_topk": topk_bitslice.op7_exact_topk,
         "op8_quality_gam": quality_gam.op8_quality_gam,
         "op9_toxicity_nnpu": toxicity_nnpu.op9_toxicity_nnpu,
