@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.quality import is_good
 from tidemark.points import SECOND, ordered
 
-_V = F.col("value")
-_AT = F.struct("us", "seq")
 
 
 def _dt() -> Column:
@@ -22,19 +20,19 @@ def _dt() -> Column:
 
 
 def _area() -> Column:
-    return (_V + F.col("_next_value")) * 0.5 * _dt()
+    return (F.col("value") + F.col("_next_value")) * 0.5 * _dt()
 
 
 def kinds(percentile: float = 0.5) -> dict[str, Column]:
     """Aggregate expressions by name, over points with _next_us and _next_value."""
-    first, last = F.min_by("value", _AT), F.max_by("value", _AT)
+    first, last = F.min_by("value", F.struct("us", "seq")), F.max_by("value", F.struct("us", "seq"))
     span = (F.max("us") - F.min("us")) / SECOND
     area, width = F.sum(_area()), F.sum(F.when(_area().isNotNull(), _dt()))
     return {
-        "average": F.avg(_V), "time_average": F.coalesce(F.try_divide(area, width), first),
-        "minimum": F.min(_V), "maximum": F.max(_V), "range": F.max(_V) - F.min(_V), "sum": F.coalesce(F.sum(_V), F.lit(0.0)), "count": F.count("*"),
-        "stddev_pop": F.stddev_pop(_V), "stddev_samp": F.stddev_samp(_V), "var_pop": F.var_pop(_V), "var_samp": F.var_samp(_V),
-        "percentile": F.percentile(_V, F.lit(percentile)), "median": F.median(_V),
+        "average": F.avg(F.col("value")), "time_average": F.coalesce(F.try_divide(area, width), first),
+        "minimum": F.min(F.col("value")), "maximum": F.max(F.col("value")), "range": F.max(F.col("value")) - F.min(F.col("value")), "sum": F.coalesce(F.sum(F.col("value")), F.lit(0.0)), "count": F.count("*"),
+        "stddev_pop": F.stddev_pop(F.col("value")), "stddev_samp": F.stddev_samp(F.col("value")), "var_pop": F.var_pop(F.col("value")), "var_samp": F.var_samp(F.col("value")),
+        "percentile": F.percentile(F.col("value"), F.lit(percentile)), "median": F.median(F.col("value")),
         "duration_good": F.coalesce(F.sum(F.when(is_good(F.col("quality")), _dt())), F.lit(0.0)),
         "duration_bad": F.coalesce(F.sum(F.when(~is_good(F.col("quality")), _dt())), F.lit(0.0)),
         "first": first, "last": last, "delta": F.when(F.count("*") > 1, last - first), "rate": F.try_divide(last - first, F.when(span > 0, span)),
@@ -119,7 +117,7 @@ def good_fraction(points: DataFrame, start: int, end: int) -> DataFrame:
 def zscores(points: DataFrame) -> DataFrame:
     """Each point's distance from its series' mean in sample deviations; 0 where that is 0."""
     w = Window.partitionBy("tag_id")
-    z = F.coalesce(F.try_divide(_V - F.avg(_V).over(w), F.nullif(F.stddev_samp(_V).over(w), F.lit(0.0))), F.lit(0.0))
+    z = F.coalesce(F.try_divide(F.col("value") - F.avg(F.col("value")).over(w), F.nullif(F.stddev_samp(F.col("value")).over(w), F.lit(0.0))), F.lit(0.0))
     return points.select("tag_id", "us", "seq", z.alias("z"))
 
 
@@ -128,16 +126,16 @@ def tukey_outliers(points: DataFrame, k: float = 1.5) -> DataFrame:
     q = points.groupBy("tag_id").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("value").alias("n")).where("n >= 4")
     j = points.join(q, "tag_id")
     iqr = F.col("q")[1] - F.col("q")[0]
-    return j.where((_V < F.col("q")[0] - k * iqr) | (_V > F.col("q")[1] + k * iqr)).select("tag_id", "us", "seq", "value")
+    return j.where((F.col("value") < F.col("q")[0] - k * iqr) | (F.col("value") > F.col("q")[1] + k * iqr)).select("tag_id", "us", "seq", "value")
 
 
 def cross_correlation(points: DataFrame, lag: int) -> DataFrame:
     """Mean product of each series with itself `lag` rows on."""
-    return points.withColumn("_y", F.lead("value", lag).over(ordered())).groupBy("tag_id").agg(F.avg(_V * F.col("_y")).alias("cross_correlation"))
+    return points.withColumn("_y", F.lead("value", lag).over(ordered())).groupBy("tag_id").agg(F.avg(F.col("value") * F.col("_y")).alias("cross_correlation"))
 
 
 def signal_energy(points: DataFrame) -> DataFrame:
-    return points.groupBy("tag_id").agg(F.sum(_V * _V).alias("energy"))
+    return points.groupBy("tag_id").agg(F.sum(F.col("value") * F.col("value")).alias("energy"))
 
 
 def entropy(symbols: DataFrame, keys: tuple[str, ...], symbol: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.operators.aggregates import bucket
 from tidemark.points import SECOND, ordered
 
-_V, _US = F.col("value"), F.col("us")
 
 
 def lag_lead(points: DataFrame, n: int) -> DataFrame:
@@ -30,7 +29,7 @@ def rate_of_change(points: DataFrame) -> DataFrame:
     """Slope per second: central inside, one-sided at both ends of a series."""
     w = ordered()
     pv, pt, nv, nt = F.lag("value").over(w), F.lag("us").over(w), F.lead("value").over(w), F.lead("us").over(w)
-    v0, t0, v1, t1 = F.coalesce(pv, _V), F.coalesce(pt, _US), F.coalesce(nv, _V), F.coalesce(nt, _US)
+    v0, t0, v1, t1 = F.coalesce(pv, F.col("value")), F.coalesce(pt, F.col("us")), F.coalesce(nv, F.col("value")), F.coalesce(nt, F.col("us"))
     return points.select("tag_id", "us", "seq", F.try_divide(v1 - v0, (t1 - t0) / SECOND).alias("rate"))
 
 
@@ -50,7 +49,7 @@ def islands(df: DataFrame, flag: Column, order: Window) -> DataFrame:
 def roc_events(points: DataFrame, threshold: float) -> DataFrame:
     """Runs of points whose slope from the point before is steeper than the threshold."""
     w = ordered()
-    roc = F.try_divide(_V - F.lag("value").over(w), (_US - F.lag("us").over(w)) / SECOND)
+    roc = F.try_divide(F.col("value") - F.lag("value").over(w), (F.col("us") - F.lag("us").over(w)) / SECOND)
     p = points.withColumn("roc", roc)
     runs = islands(p, F.coalesce(F.abs("roc") > threshold, F.lit(False)), w)
     return runs.groupBy("tag_id", "island").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n"), F.max(F.abs("roc")).alias("peak"))
@@ -58,7 +57,7 @@ def roc_events(points: DataFrame, threshold: float) -> DataFrame:
 
 def crossings(points: DataFrame, level: float, direction: str = "up") -> DataFrame:
     before = F.lag("value").over(ordered())
-    up, down = (before <= level) & (_V > level), (before >= level) & (_V < level)
+    up, down = (before <= level) & (F.col("value") > level), (before >= level) & (F.col("value") < level)
     p = points.withColumn("_hit", {"up": up, "down": down, "both": up | down}[direction])
     return p.where("_hit").select("tag_id", "us", "seq", "value")
 
@@ -67,7 +66,7 @@ def peaks(points: DataFrame, threshold: float) -> DataFrame:
     """Strict local maxima above the threshold."""
     w = ordered()
     p = points.withColumn("_a", F.lag("value").over(w)).withColumn("_b", F.lead("value").over(w))
-    return p.where((_V > F.col("_a")) & (_V > F.col("_b")) & (_V > threshold)).select("tag_id", "us", "seq", "value")
+    return p.where((F.col("value") > F.col("_a")) & (F.col("value") > F.col("_b")) & (F.col("value") > threshold)).select("tag_id", "us", "seq", "value")
 
 
 def cusum(points: DataFrame, mean: float, slack: float, limit: float) -> DataFrame:
@@ -77,7 +76,7 @@ def cusum(points: DataFrame, mean: float, slack: float, limit: float) -> DataFra
     two running windows over one sort replace the recurrence.
     """
     w = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    p = points.withColumn("_up", F.sum(_V - mean - slack).over(w)).withColumn("_dn", F.sum(mean - _V - slack).over(w))
+    p = points.withColumn("_up", F.sum(F.col("value") - mean - slack).over(w)).withColumn("_dn", F.sum(mean - F.col("value") - slack).over(w))
     p = p.withColumn("high", F.col("_up") - F.least(F.lit(0.0), F.min("_up").over(w))).withColumn("low", F.col("_dn") - F.least(F.lit(0.0), F.min("_dn").over(w)))
     return p.select("tag_id", "us", "seq", "high", "low", ((F.col("high") > limit) | (F.col("low") > limit)).alias("alarm"))
 
@@ -110,17 +109,17 @@ def exceptions(points: DataFrame, step: float, rate: float, low: float, high: fl
     w = ordered()
     q = F.col("quality")
     pq, pv, pt = F.lag("quality").over(w), F.lag("value").over(w), F.lag("us").over(w)
-    jump = F.abs(_V - pv)
+    jump = F.abs(F.col("value") - pv)
     kind = (
         F.when(is_bad(q) & ~is_bad(pq), "BAD_QUALITY").when(is_bad(pq) & ~is_bad(q), "RECOVERED").when(major(q) != major(pq), "QUALITY_CHANGE")
-        .when(jump >= step, "STEP").when(F.try_divide(jump, (_US - pt) / SECOND) >= rate, "RATE").when(_V < low, "LOW").when(_V > high, "HIGH"))
+        .when(jump >= step, "STEP").when(F.try_divide(jump, (F.col("us") - pt) / SECOND) >= rate, "RATE").when(F.col("value") < low, "LOW").when(F.col("value") > high, "HIGH"))
     return points.withColumn("kind", kind).where("kind is not null").select("tag_id", "us", "seq", "value", "kind")
 
 
 def threshold_trigger(points: DataFrame, level: float, hysteresis: float) -> DataFrame:
     """Rising crossings that pass the whole hysteresis band from one point to the next."""
     before = F.lag("value").over(ordered())
-    p = points.withColumn("_hit", (before <= level - hysteresis) & (_V >= level + hysteresis))
+    p = points.withColumn("_hit", (before <= level - hysteresis) & (F.col("value") >= level + hysteresis))
     return p.where("_hit").select("tag_id", "us", "seq", "value")
 
 
@@ -131,7 +130,7 @@ def state_held(points: DataFrame, state: Column, hold: int) -> DataFrame:
     change = F.coalesce(F.col("_s") != F.lag("_s").over(w), F.lit(True))
     p = p.withColumn("run", F.sum(change.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     start = p.withColumn("start_us", F.min("us").over(Window.partitionBy("tag_id", "run")))
-    hit = start.where(_US >= F.col("start_us") + hold)
+    hit = start.where(F.col("us") >= F.col("start_us") + hold)
     return hit.groupBy("tag_id", "run").agg(F.min("us").alias("fired_us"), F.first("start_us").alias("start_us"), F.first("_s").alias("state"))
 
 
@@ -144,20 +143,20 @@ def _summary(df: DataFrame, *keys: str) -> DataFrame:
 def tumbling(points: DataFrame, width: int) -> DataFrame:
     """Windows counted from each series' first point; empty ones are not given."""
     first = F.min("us").over(Window.partitionBy("tag_id"))
-    p = points.withColumn("start_us", bucket(_US, width, first))
+    p = points.withColumn("start_us", bucket(F.col("us"), width, first))
     return _summary(p, "tag_id", "start_us").withColumn("end_us", F.col("start_us") + width)
 
 
 def calendar(points: DataFrame, width: int, offset: int = 0) -> DataFrame:
     """Windows aligned to the epoch plus an offset."""
-    p = points.withColumn("start_us", bucket(_US, width, offset))
+    p = points.withColumn("start_us", bucket(F.col("us"), width, offset))
     return _summary(p, "tag_id", "start_us").withColumn("end_us", F.col("start_us") + width)
 
 
 def sliding(points: DataFrame, width: int, slide: int) -> DataFrame:
     """Overlapping windows from each series' first point; a point goes to width / slide of them."""
     first = F.min("us").over(Window.partitionBy("tag_id"))
-    p = points.withColumn("_d", _US - first).withColumn("_o", first)
+    p = points.withColumn("_d", F.col("us") - first).withColumn("_o", first)
     hi = F.floor(F.col("_d") / slide).cast("long")
     lo = F.greatest(F.lit(0).cast("long"), F.floor((F.col("_d") - width) / slide).cast("long") + 1)
     p = p.withColumn("k", F.explode(F.sequence(lo, hi))).withColumn("start_us", F.col("_o") + F.col("k") * slide)
@@ -167,7 +166,7 @@ def sliding(points: DataFrame, width: int, slide: int) -> DataFrame:
 def sessions(points: DataFrame, max_gap: int) -> DataFrame:
     """Runs of points no further apart than max_gap, with the times of their first and last point."""
     w = ordered()
-    new = F.coalesce(_US - F.lag("us").over(w) > max_gap, F.lit(True))
+    new = F.coalesce(F.col("us") - F.lag("us").over(w) > max_gap, F.lit(True))
     p = points.withColumn("session", F.sum(new.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return p.groupBy("tag_id", "session").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n"), F.avg("value").alias("average"))
 
@@ -187,11 +186,11 @@ def envelope(points: DataFrame, buckets: int) -> DataFrame:
     """Extremes of each series in equal parts of its time span, without the last point."""
     w = Window.partitionBy("tag_id")
     p = points.withColumn("_lo", F.min("us").over(w)).withColumn("_hi", F.max("us").over(w)).where("us < _hi")
-    part = F.floor((_US - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo"))).cast("long")
+    part = F.floor((F.col("us") - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo"))).cast("long")
     return p.groupBy("tag_id", part.alias("part")).agg(F.min("value").alias("lower"), F.max("value").alias("upper"))
 
 
 def alarm_rate(points: DataFrame, limit: float, width: int, allowed: int) -> DataFrame:
     """Alarms (values over the limit) in fixed windows, and whether their number is acceptable."""
-    a = points.where(_V > limit).groupBy(bucket(_US, width).alias("start_us")).agg(F.count("*").alias("alarms"))
+    a = points.where(F.col("value") > limit).groupBy(bucket(F.col("us"), width).alias("start_us")).agg(F.count("*").alias("alarms"))
     return a.withColumn("acceptable", F.col("alarms") <= allowed)
