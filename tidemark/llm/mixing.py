@@ -65,8 +65,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to the budget as found.
 
-    The sum never passes the budget, and falls short by less than the smallest
-    length that is left.
+    A budget within DP_BUDGET is fitted over all documents, and so as well as any choice
+    can; a larger one is first filled evenly.
     """
     take = np.zeros(len(lengths), np.int64)
     total = int(lengths @ counts)
@@ -74,6 +74,8 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     if budget <= 0 or not total:
         return take
+    if budget <= DP_BUDGET:
+        return _knapsack(lengths, counts, budget)
     take = np.array([int(c) * budget // total for c in counts], np.int64)
     rest = budget - int(lengths @ take)
     for i in np.argsort(-lengths, kind="stable"):  # long ones first, down to what the program covers
@@ -92,11 +94,14 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack over one bit for each sum; lengths split into powers of two."""
+    """Bounded knapsack over one bit for each sum up to twice the budget; lengths split into powers of two.
+
+    The sum nearest the budget wins, the smaller one of two as near.
+    """
     take = np.zeros(len(lengths), np.int64)
-    reach, mask, steps = 1, (1 << (budget + 1)) - 1, []
+    reach, mask, steps = 1, (1 << (2 * budget + 1)) - 1, []
     for i in np.argsort(lengths, kind="stable"):
-        left = min(int(counts[i]), budget // int(lengths[i]))
+        left = min(int(counts[i]), 2 * budget // int(lengths[i]))
         part = 1
         while left > 0 and not reach >> budget & 1:
             part = min(part, left)
@@ -106,7 +111,10 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
                 reach = new
             left -= part
             part *= 2
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    over = reach >> budget
+    above = budget + (over & -over).bit_length() - 1 if over else None
+    at = above if above is not None and above - budget < budget - below else below
     for i, part, before in reversed(steps):
         if not before >> at & 1:
             take[i] += part
