@@ -207,3 +207,77 @@ def top_coefficients(column: Column, k: int) -> Column:
     """The k coefficients of largest size as (index, value), largest first, ties to the lower index."""
     pairs = F.transform(column, lambda x, i: F.struct((-F.abs(x)).alias("o"), i.alias("index"), x.alias("value")))
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct(p["index"].alias("index"), p["value"].alias("value")))
+
+
+#: Values in a word and bits of each, by selector (fixed values of the 64-bit word layout).
+_PACKS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
+
+
+def words_encode(values: list[int]) -> bytes:
+    """Non-negative integers below 2^60 packed into 64-bit words with a 4-bit selector; the count goes first."""
+    out, i = [struct.pack("<Q", len(values))], 0
+    while i < len(values):
+        for sel, (n, bits) in enumerate(_PACKS):
+            part = values[i : i + n]
+            if len(part) < n and bits == 0:
+                continue
+            if all(0 <= v < 1 << bits if bits else v == 0 for v in part):
+                word = sel << 60
+                for k, v in enumerate(part):
+                    word |= v << (k * bits) if bits else 0
+                out.append(struct.pack("<Q", word))
+                i += len(part)
+                break
+        else:
+            raise ValueError("a value does not fit 60 bits")
+    return b"".join(out)
+
+
+def words_decode(data: bytes) -> list[int]:
+    (total,), out = struct.unpack_from("<Q", data), []
+    for at in range(8, len(data), 8):
+        (word,) = struct.unpack_from("<Q", data, at)
+        n, bits = _PACKS[word >> 60]
+        out += [(word >> (k * bits)) & ((1 << bits) - 1) if bits else 0 for k in range(min(n, total - len(out)))]
+    return out
+
+
+def huffman_encode(values: list[int], codes: dict[int, tuple[int, int]]) -> bytes:
+    out = Bits()
+    out.put(len(values), 32)
+    for v in values:
+        out.put(*codes[v])
+    return out.done()
+
+
+def huffman_decode(data: bytes, codes: dict[int, tuple[int, int]]) -> list[int]:
+    back = {(n, c): s for s, (c, n) in codes.items()}
+    r = Reader(data)
+    total, out = r.get(32), []
+    while len(out) < total:
+        c = n = 0
+        while (n, c) not in back:
+            c, n = c << 1 | r.get(1), n + 1
+        out.append(back[(n, c)])
+    return out
+
+
+#: Cosine terms of the window shapes (fixed values).
+_WINDOWS = {"rectangular": (1.0,), "hann": (0.5, 0.5), "hamming": (0.54, 0.46), "blackman": (0.42, 0.5, 0.08), "blackman_harris": (0.35875, 0.48829, 0.14128, 0.01168)}
+
+
+def window_shape(kind: str, n: int) -> Column:
+    """An array of n weights."""
+    terms = _WINDOWS[kind]
+
+    def weight(i: Column) -> Column:
+        total = F.lit(0.0)
+        for k, a in enumerate(terms):
+            total = total + (-1) ** k * a * F.cos(2 * np.pi * k * i / max(1, n - 1))
+        return total
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), weight)
+
+
+def hard_threshold(column: Column, level: float) -> Column:
+    return F.transform(column, lambda x: F.when(F.abs(x) >= level, x).otherwise(F.lit(0.0)))

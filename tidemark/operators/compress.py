@@ -172,3 +172,78 @@ def errors(points: DataFrame, kept: DataFrame, method: str = "linear") -> DataFr
     return e.join(n, "tag_id").select(
         "tag_id", "n", "kept", "max_error", "rmse", F.try_divide("rmse", F.nullif("_range", F.lit(0.0))).alias("nrmse"), F.when(F.col("_e") > 0, 10 * F.log10(F.col("_s") / F.col("_e"))).alias("snr_db"),
         (F.col("n") / F.col("kept")).alias("ratio"))
+
+
+def bottom_up_mask(t: np.ndarray, v: np.ndarray, tolerance: float) -> np.ndarray:
+    """Knots left when the cheapest are taken out one by one while all points stay within the tolerance."""
+    import heapq
+
+    n = len(v)
+    keep = np.ones(n, bool)
+    left, right = np.arange(n) - 1, np.arange(n) + 1
+
+    def cost(i: int) -> float:
+        a, b = left[i], right[i]
+        dt = t[b] - t[a]
+        line = v[a] + (v[b] - v[a]) * ((t[a + 1 : b] - t[a]) / dt if dt else 0.0)
+        return float(np.abs(v[a + 1 : b] - line).max())
+
+    heap = [(cost(i), i, 0) for i in range(1, n - 1)]
+    heapq.heapify(heap)
+    version = np.zeros(n, int)
+    while heap:
+        c, i, k = heapq.heappop(heap)
+        if not keep[i] or version[i] != k:
+            continue
+        if c > tolerance:
+            break
+        keep[i] = False
+        a, b = left[i], right[i]
+        right[a], left[b] = b, a
+        for j in (a, b):
+            if 0 < j < n - 1:
+                version[j] += 1
+                heapq.heappush(heap, (cost(j), j, version[j]))
+    return keep
+
+
+def bottom_up(points: DataFrame, tolerance: float, segment: int = 30 * DAY) -> DataFrame:
+    return _apply(points, lambda t, v: bottom_up_mask(t, v, tolerance), segment)
+
+
+def deadband_or_timeout(points: DataFrame, width: float, max_gap_s: float, segment: int = 30 * DAY) -> DataFrame:
+    """Points that leave the band around the last kept value, or come too long after it."""
+
+    def keep(t: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out, last, at = np.zeros(len(v), bool), None, 0.0
+        for i, (x, y) in enumerate(zip(t.tolist(), v.tolist(), strict=True)):
+            if last is None or abs(y - last) > width or x - at >= max_gap_s:
+                out[i], last, at = True, y, x
+        return out
+
+    return _apply(points, keep, segment)
+
+
+def rate_filter(points: DataFrame, limit: float) -> DataFrame:
+    """Points whose slope from the one before is steeper than the limit per second."""
+    w = ordered()
+    p = points.withColumn("_r", F.abs(F.try_divide(F.col("value") - F.lag("value").over(w), (F.col("us") - F.lag("us").over(w)) / 1e6)))
+    return p.where(F.col("_r") > limit).select("tag_id", "us", "seq", "value")
+
+
+def expand_runs(table: DataFrame) -> DataFrame:
+    """The values of run lengths, one row each, with their place in the run."""
+    return table.select("tag_id", "run", F.posexplode(F.array_repeat("value", F.col("length").cast("int"))).alias("place", "value"))
+
+
+def estimated_ratio(points: DataFrame, deviation: float) -> DataFrame:
+    """Expected compression of each series by its spread: 5 (sd / deviation)^-0.7 + 1, in 1..10000 (fixed formula)."""
+    sd = F.stddev_pop("value")
+    ratio = F.when(sd > 0, F.greatest(F.lit(1.0), F.least(F.lit(10_000.0), 5 * F.pow(sd / deviation, F.lit(-0.7)) + 1))).otherwise(1000.0)
+    return points.groupBy("tag_id").agg(ratio.alias("ratio"))
+
+
+def noise_ratio(points: DataFrame) -> DataFrame:
+    """Signal to noise in decibels of each series: variance against the mean square of its steps."""
+    p = points.withColumn("_d", F.col("value") - F.lag("value").over(ordered()))
+    return p.groupBy("tag_id").agg(F.coalesce(10 * F.log10(F.try_divide(F.var_pop("value"), F.nullif(F.avg(F.col("_d") * F.col("_d")), F.lit(0.0)))), F.lit(100.0)).alias("snr_db"))

@@ -1,0 +1,93 @@
+"""Policies of a driver that feeds streams: rate limits, circuit breakers, back pressure, batch sizes."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+
+@dataclass
+class RateLimiter:
+    """A token bucket."""
+
+    per_second: float
+    burst: float
+    clock: Callable[[], float] = time.monotonic
+    tokens: float = field(init=False)
+    at: float = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.tokens, self.at = self.burst, self.clock()
+
+    def consume(self, n: float = 1.0) -> bool:
+        now = self.clock()
+        self.tokens, self.at = min(self.burst, self.tokens + (now - self.at) * self.per_second), now
+        if self.tokens < n:
+            return False
+        self.tokens -= n
+        return True
+
+
+@dataclass
+class CircuitBreaker:
+    """Opens after failures in a row, tries again after a while, closes after successes."""
+
+    failures: int = 5
+    successes: int = 2
+    wait_s: float = 30.0
+    clock: Callable[[], float] = time.monotonic
+    state: str = "CLOSED"
+    count: int = 0
+    opened: float = 0.0
+
+    def allow(self) -> bool:
+        if self.state == "OPEN" and self.clock() - self.opened >= self.wait_s:
+            self.state, self.count = "HALF_OPEN", 0
+        return self.state != "OPEN"
+
+    def success(self) -> None:
+        if self.state == "HALF_OPEN":
+            self.count += 1
+            if self.count >= self.successes:
+                self.state, self.count = "CLOSED", 0
+        else:
+            self.count = 0
+
+    def failure(self) -> None:
+        self.count += 1
+        if self.state == "HALF_OPEN" or self.count >= self.failures:
+            self.state, self.opened, self.count = "OPEN", self.clock(), 0
+
+
+@dataclass
+class BackPressure:
+    """Throttles above the high mark until the depth is under the low one."""
+
+    capacity: int
+    high: float = 0.8
+    low: float = 0.5
+    on: bool = False
+
+    def update(self, depth: int) -> bool:
+        share = depth / self.capacity
+        self.on = share >= self.high or (self.on and share > self.low)
+        return self.on
+
+
+@dataclass
+class BatchSizer:
+    """Rows of the next batch from the smoothed time of the last ones."""
+
+    target_s: float
+    rows: int = 1000
+    least: int = 100
+    most: int = 1_000_000
+    smoothing: float = 0.3
+    mean_s: float | None = None
+
+    def feedback(self, took_s: float) -> int:
+        self.mean_s = took_s if self.mean_s is None else self.smoothing * took_s + (1 - self.smoothing) * self.mean_s
+        scale = max(0.5, min(2.0, self.target_s / max(self.mean_s, 1e-9)))
+        self.rows = max(self.least, min(self.most, int(self.rows * scale)))
+        return self.rows
