@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 32
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its plan cut by a checkpoint, where the session has a folder for them."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 def closure(tree: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(ancestor, id, distance) for every node and each of its ancestors, itself included."""
     up = tree.select(F.col("id").alias("_c"), F.col("parent").alias("_p"))
@@ -20,6 +25,7 @@ def closure(tree: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     out = level
     for d in range(1, max_depth + 1):
         level = level.join(up, F.col("ancestor") == F.col("_c")).where("_p is not null").select(F.col("_p").alias("ancestor"), "id", F.lit(d).alias("distance"))
+        level = cut(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)

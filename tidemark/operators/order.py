@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.hierarchy import cut
+
 
 def build_levels(nodes: DataFrame, needs: DataFrame, max_levels: int = 64) -> DataFrame:
     """(id, level): every node after all that it needs (id, needed); an error for cycles.
@@ -16,6 +18,7 @@ def build_levels(nodes: DataFrame, needs: DataFrame, max_levels: int = 64) -> Da
     out = reached.select("id", F.lit(0).alias("level"))
     for k in range(1, max_levels + 1):
         reached = needs.join(reached.select(F.col("id").alias("needed")), "needed").select("id").distinct()
+        reached = cut(reached)
         if reached.isEmpty():
             break
         out = out.unionByName(reached.select("id", F.lit(k).alias("level")))
@@ -45,6 +48,7 @@ def causal_chains(links: DataFrame, max_length: int = 32) -> DataFrame:
         done = nxt.where(~grows).select("source", "events")
         out = done if out is None else out.unionByName(done)
         chain = nxt.where(grows).select("source", F.array_append("events", F.col("_b")).alias("events"), F.col("_b").alias("_end"))
+        chain = cut(chain)
         if chain.isEmpty():
             break
     else:
