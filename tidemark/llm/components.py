@@ -23,6 +23,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every larger end occurs once, and never as a smaller end."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(0).alias("low")).union(edges.select("b", F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("low").alias("lows"), F.min("low").alias("least"))
+    return seen.where((F.col("lows") > 1) | ((F.col("lows") > 0) & (F.col("least") == 0))).isEmpty()
+
+
 def connected(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every node of edges (a, b); the component is its least node.
 
@@ -31,15 +38,11 @@ def connected(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataF
     step's table is written to the shared folder, so lost executors cost one step.
     """
     now = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     for _ in range(max_rounds):
+        if _settled(now):
+            break
         then, now = now, scratch.save(_small_star(_large_star(now)), "edges")
         scratch.drop(then)
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_if(F.col("a") >= F.col("b"))).first())
-        if state == mark:
-            break
-        mark = state
     else:
         raise RuntimeError("components did not settle")
-    stars = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    return stars.union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()).distinct()
+    return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select("a", "a").distinct())

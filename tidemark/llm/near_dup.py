@@ -4,14 +4,18 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles (of
 its whole word sequence if that is shorter). One hash of each shingle picks both
 its bin and its value; an empty bin borrows the value of the bin that its own
 seeded probe order meets first. The signature is cut into bands, equal bands meet
-in a bucket, and each bucket proposes a star: its hub against the others. Stars
-are confirmed on full sets (100 * shared >= 75 * union). In later rounds a
-bucket whose members still lie in several components gets further hubs, twice
-as many each round, until every pair of members has been compared or joined, so
-a star loses no link that its bucket holds.
+in a bucket, and each bucket proposes a star: its hub against the others. Pairs
+whose signatures agree in too few bins (MIN_EQUAL) are dropped, the others
+confirmed on full sets (100 * shared >= 75 * union). A bucket whose members then
+still lie in several components is gone through once more: blocks of its members
+are compared across components inside a task, by signature and then by sets of
+hashes cut to 16 bits, which can only overstate what two texts share; what is
+left goes on to be confirmed. So a star loses no link that its bucket holds, and no
+bucket's pairs are written out.
 
 With 32 bands of 4 values a pair of similarity exactly 0.75 is missed with a
-probability of about 5e-6, of 0.8 with 5e-8.
+probability of about 5e-6, of 0.8 with 5e-8; that it agrees in under 72 of 128
+bins has a probability of about 5e-7.
 
 Equal sets are one class from the start and take part once. Empty and null texts
 have empty sets and link with nothing. Rows of one doc_id are one document.
@@ -21,6 +25,7 @@ Rows without doc_id get no component and are not kept. Extra columns are ignored
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,10 @@ from tidemark.llm.components import connected
 SHINGLE = 5
 BINS, ROWS = 128, 4
 PERCENT = 75
+#: Bins in which two signatures must agree; 96 are expected at similarity 0.75, with a deviation of 5.
+MIN_EQUAL = 72
+#: Members of a bucket in one block; a task compares two blocks.
+BLOCK = 512
 _BIN_BITS = 7
 _MULT = seeded(64, 31) | np.uint64(1)
 _TAG = seeded(SHINGLE + 1, 37)
@@ -68,8 +77,8 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return unique_per_row(whole, of, n)
 
 
-def band_keys(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Signatures of sets as one key for each band; rows of empty sets are meaningless."""
+def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One value for each bin of each set; rows of empty sets are meaningless."""
     n = len(offsets) - 1
     rows = np.repeat(np.arange(n), np.diff(offsets))
     bins = (sets >> np.uint64(64 - _BIN_BITS)).astype(np.int64)
@@ -86,16 +95,20 @@ def band_keys(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         hit = full[row, source]
         sig[row[hit], empty[hit]] = sig[row[hit], source[hit]]
         row, empty = row[~hit], empty[~hit]
-    bands = sig.reshape(n, BINS // ROWS, ROWS)
+    return sig
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    bands = sig.reshape(len(sig), BINS // ROWS, ROWS)
     with np.errstate(over="ignore"):
         return mix((bands * _MULT[:ROWS]).sum(axis=2, dtype=np.uint64) + seeded(BINS // ROWS, 43)[None, :])
 
 
-_SKETCH = "struct<n:bigint,d1:bigint,d2:bigint,keys:array<bigint>>"
+_SKETCH = "struct<n:bigint,d1:bigint,d2:bigint,keys:array<bigint>,sig:binary>"
 
 
 def sketch(column: pa.Array) -> pa.Array:
-    """Set size, two sums that tell sets apart, and the band keys (none for an empty set)."""
+    """Set size, two sums that tell sets apart, the band keys (none for an empty set), and 16 bits of each bin."""
     sets, offsets = shingle_sets(column)
     n = len(offsets) - 1
     size = np.diff(offsets)
@@ -103,11 +116,26 @@ def sketch(column: pa.Array) -> pa.Array:
     other = np.concatenate([[0], np.cumsum(mix(sets + np.uint64(0x14057B7EF767814F)), dtype=np.uint64)])
     with np.errstate(over="ignore"):
         d1, d2 = at[offsets[1:]] - at[offsets[:-1]], other[offsets[1:]] - other[offsets[:-1]]
-    keys = band_keys(sets, offsets)[size > 0].ravel().view(np.int64)
+    sig = signatures(sets, offsets)
+    keys = band_keys(sig)[size > 0].ravel().view(np.int64)
+    short = sig.astype(np.uint16)
     key_offsets = np.concatenate([[0], np.cumsum((size > 0) * (BINS // ROWS))]).astype(np.int32)
     return pa.StructArray.from_arrays(
-        [pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(key_offsets), pa.array(keys))],
-        names=["n", "d1", "d2", "keys"])
+        [pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(key_offsets), pa.array(keys)), pa.array([x.tobytes() for x in short], pa.binary())],
+        names=["n", "d1", "d2", "keys", "sig"])
+
+
+def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Whether two signatures agree in enough bins."""
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, BINS) for x in (left, right))
+    return pa.array((a == b).sum(axis=1) >= MIN_EQUAL)
+
+
+def short_sets(column: pa.Array) -> pa.Array:
+    """Every shingle of each text's set as 16 bits of its hash, repeats kept."""
+    sets, offsets = shingle_sets(column)
+    cut = sets.astype(np.uint16)
+    return pa.array([cut[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
 
 
 def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -119,11 +147,18 @@ def linked(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((100 * shared >= PERCENT * union) & (union > 0))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts link; texts travel, as they are smaller than their sets."""
-    text = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    both = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
-    return both.where(F.arrow_udf(linked, "boolean")("ta", "tb")).select("a", "b").distinct()
+def _confirm(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) whose texts link. Texts travel, as they are smaller than their sets."""
+    both = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
+    near = scratch.save(both.where(F.arrow_udf(alike, "boolean")("sa", "sb")).select("a", "b").distinct(), "near")
+    if near.isEmpty():
+        return near
+    ids = scratch.save(near.select("a").union(near.select("b")).distinct().toDF("doc_id"), "ids")
+    texts = scratch.save(docs.join(ids, "doc_id", "left_semi"), "texts")
+    full = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    links = scratch.save(full.where(F.arrow_udf(linked, "boolean")("ta", "tb")).select("a", "b").distinct(), "links")
+    scratch.drop(texts)
+    return links
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -138,10 +173,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = scratch.save(live.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "rep"), "members")
     twice = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
 
-    bands = (
-        live.select(F.col("doc_id").alias("rep"), "n", "d1", "d2", "keys").join(classes, ["rep", "n", "d1", "d2"])
-        .select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
-    )
+    reps = live.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "n", "d1", "d2"]).select(F.col("rep").alias("id"), "n", "keys", "sig")
+    bands = reps.select(F.explode("keys").alias("key"), "id", "n")
     shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     cand = scratch.save(bands.join(shared, "key"), "buckets")
     # Hubs follow one seeded order of all documents, so that the buckets of a group mostly share theirs.
@@ -149,21 +182,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     star = cand.groupBy("key").agg(F.min(order).alias("hub"))
     pairs = _pairs(cand.join(star, "key").select("id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
     tested = scratch.save(pairs, "pairs")
-    links = scratch.save(_confirm(tested, docs).union(twice), "links")
-    groups = scratch.save(connected(links, scratch), "groups")
+    in_pairs = cand.select("id").distinct()
+    sigs = scratch.save(reps.select("id", "sig").join(in_pairs, "id", "left_semi"), "signatures")
+    groups = scratch.save(connected(_confirm(tested, sigs, docs, scratch).union(twice), scratch), "groups")
 
-    hubs = 1
-    while True:
-        rest = scratch.save(_unsettled(cand, groups, hubs), "unsettled")
-        if rest.isEmpty():
-            break
-        last, hubs = hubs, hubs * 4
-        fresh = scratch.save(_further(rest, last, hubs).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            more = _confirm(fresh, docs)
-            links = scratch.save(links.union(more), "links")
-            groups = scratch.save(connected(links, scratch), "groups")
-            tested = scratch.save(tested.union(fresh), "tested")
+    rest = scratch.save(_unsettled(cand, groups), "unsettled")
+    if not rest.isEmpty():
+        fresh = scratch.save(_across(rest, sigs, docs, scratch).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = _confirm(fresh, sigs, docs, scratch)
+        if not more.isEmpty():
+            groups = scratch.save(_merge(groups, more, scratch), "groups")
 
     component = members.join(groups, members.rep == groups.id, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return (
@@ -173,26 +201,63 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def _merge(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after further links, found among the components that the links touch."""
+    of = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = scratch.save(connected(between, scratch).select(F.col("id").alias("component"), F.col("component").alias("to")), "moved")
+    kept = groups.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    fresh = moved.select(F.col("component").alias("id"), F.col("to").alias("component")).join(groups.select("id"), "id", "left_anti")
+    return kept.union(fresh)
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
     """Distinct pairs a < b whose sizes allow the similarity."""
     fits = (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")) & (F.col("id") != F.col("hub"))
     return edges.where(fits).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def _unsettled(cand: DataFrame, groups: DataFrame, hubs: int) -> DataFrame:
-    """Bucket rows with ranks and components, for buckets where rows after the first `hubs` lie in several components."""
-    from pyspark.sql import Window
+def _unsettled(cand: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of buckets of three and more whose members lie in several components, with the number of blocks.
 
+    In a bucket of two the star has compared the only pair.
+    """
     now = cand.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where((F.col("lo") != F.col("hi")) & (F.col("m") > hubs + 1)).select("key")
-    w = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(3)), "id")
-    return now.join(mixed, "key").withColumn("r", F.row_number().over(w))
-
-
-def _further(rest: DataFrame, last: int, hubs: int) -> DataFrame:
-    """Pairs of the hubs of ranks (last, hubs] with the rows after them that lie in other components."""
-    h = rest.where((F.col("r") > last) & (F.col("r") <= hubs)).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hc"), F.col("r").alias("hr"))
-    return _pairs(rest.join(h, "key").where("c <> hc and r > hr"))
+    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2")
+    return now.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+
+
+def _across(rest: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of different components of a bucket that may link."""
+    ids = rest.select(F.col("id").alias("doc_id")).distinct()
+    short = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.arrow_udf(short_sets, "binary")("text").alias("short"))
+    members = scratch.save(sigs.join(short, "id"), "members")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
+    cells = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "c").join(members, "id")
+    return cells.groupBy("key", "x", "y").applyInPandas(_cell, "a long, b long").distinct()
+
+
+def _cell(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs between two blocks of a bucket (or inside one)."""
+    x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+    ids, n, c, own = (rows[k].to_numpy() for k in ("id", "n", "c", "own"))
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, BINS)
+    short = [np.frombuffer(s, np.uint16) for s in rows["short"]]
+    mark, out = np.zeros(1 << 16, bool), [np.zeros((0, 2), np.int64)]
+    for i in np.flatnonzero(own == x):
+        later = ids > ids[i] if x == y else own == y
+        may = np.flatnonzero(later & (c != c[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        may = may[(sig[may] == sig[i]).sum(axis=1) >= MIN_EQUAL] if len(may) else may
+        if not len(may):
+            continue
+        mark[short[i]] = True
+        shared = np.array([np.count_nonzero(mark[short[j]]) for j in may])
+        mark[short[i]] = False
+        may = may[100 * shared >= PERCENT * (n[i] + n[may] - shared)]
+        out.append(np.stack([np.minimum(ids[may], ids[i]), np.maximum(ids[may], ids[i])], axis=1))
+    pairs = np.concatenate(out)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
