@@ -37,11 +37,18 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those that it doesn't take are gone."""
-    taken = mixing.mix_sources(docs).where("repeats > 0").select("doc_id", "h", "repeats").distinct()
-    key = docs.withColumn("_h", mixing.row_key(F.col("doc_id"), F.col("text"))).alias("d")
-    both = key.join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._h") == F.col("t.h")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("t.repeats")))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    """Documents as often as the mix takes them; those that it doesn't take are gone.
+
+    Rows that repeat id and text share their copies: one of them stands for all.
+    """
+    taken = mixing.mix_sources(docs).groupBy("doc_id", "h").agg(F.sum("repeats").alias("repeats"), F.count("*").alias("rows"))
+    taken = Scratch(spark, "taken").save(taken, "taken")
+    key = docs.withColumn("_h", mixing.row_key(F.col("doc_id"), F.col("text")))
+    if not taken.where("rows > 1").isEmpty():
+        key = key.dropDuplicates(["doc_id", "_h"])
+    t = taken.where("repeats > 0").alias("t")
+    both = key.alias("d").join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._h") == F.col("t.h")))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.repeats").cast("long")))).select(*[F.col(f"d.{c}") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
