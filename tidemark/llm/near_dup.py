@@ -147,18 +147,14 @@ def linked(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((100 * shared >= PERCENT * union) & (union > 0))
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) whose texts link. Texts travel, as they are smaller than their sets."""
     both = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
     near = scratch.save(both.where(F.arrow_udf(alike, "boolean")("sa", "sb")).select("a", "b").distinct(), "near")
     if near.isEmpty():
         return near
-    ids = scratch.save(near.select("a").union(near.select("b")).distinct().toDF("doc_id"), "ids")
-    texts = scratch.save(docs.join(ids, "doc_id", "left_semi"), "texts")
     full = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    links = scratch.save(full.where(F.arrow_udf(linked, "boolean")("ta", "tb")).select("a", "b").distinct(), "links")
-    scratch.drop(texts)
-    return links
+    return scratch.save(full.where(F.arrow_udf(linked, "boolean")("ta", "tb")).select("a", "b").distinct(), "links")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -182,17 +178,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     star = cand.groupBy("key").agg(F.min(order).alias("hub"))
     pairs = _pairs(cand.join(star, "key").select("id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
     tested = scratch.save(pairs, "pairs")
-    in_pairs = cand.select("id").distinct()
-    sigs = scratch.save(reps.select("id", "sig").join(in_pairs, "id", "left_semi"), "signatures")
-    groups = scratch.save(connected(_confirm(tested, sigs, docs, scratch).union(twice), scratch), "groups")
+    # The texts of bucket members are shuffled once; their ids grow with the input, so they are never broadcast.
+    in_buckets = scratch.save(cand.select("id").distinct(), "ids").hint("merge")
+    sigs = scratch.save(reps.select("id", "sig").join(in_buckets, "id", "left_semi"), "signatures")
+    texts = scratch.save(docs.join(in_buckets.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "texts")
+    groups = scratch.save(connected(_confirm(tested, sigs, texts, scratch).union(twice), scratch), "groups")
 
     rest = scratch.save(_unsettled(cand, groups), "unsettled")
     if not rest.isEmpty():
-        fresh = scratch.save(_across(rest, sigs, docs, scratch).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = _confirm(fresh, sigs, docs, scratch)
+        fresh = scratch.save(_across(rest, sigs, texts, scratch).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = _confirm(fresh, sigs, texts, scratch)
         if not more.isEmpty():
             groups = scratch.save(_merge(groups, more, scratch), "groups")
 
+    scratch.drop(texts)
     component = members.join(groups, members.rep == groups.id, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return (
         base.select("doc_id", F.col("n").alias("n_shingles")).join(component, "doc_id", "left")
@@ -227,10 +226,10 @@ def _unsettled(cand: DataFrame, groups: DataFrame) -> DataFrame:
     return now.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
 
 
-def _across(rest: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _across(rest: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of different components of a bucket that may link."""
     ids = rest.select(F.col("id").alias("doc_id")).distinct()
-    short = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.arrow_udf(short_sets, "binary")("text").alias("short"))
+    short = texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.arrow_udf(short_sets, "binary")("text").alias("short"))
     members = scratch.save(sigs.join(short, "id"), "members")
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     cells = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -262,3 +261,18 @@ def _cell(rows: pd.DataFrame) -> pd.DataFrame:
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), e AS (SELECT doc_id, unnest(sh) AS x FROM s), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+y AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT y.b, r.c FROM r JOIN y ON r.id = y.a)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, min(r.c) = n.doc_id AS kept FROM n JOIN r ON n.doc_id = r.id GROUP BY n.doc_id, n.n
+"""

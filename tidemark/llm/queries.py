@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": topk_bitslice.SQL}
+    return {"op4_near_duplicates": near_dup.SQL, "op7_exact_topk": topk_bitslice.SQL}
