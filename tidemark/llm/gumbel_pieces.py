@@ -46,7 +46,9 @@ _LITERAL = 0x110000
 
 @dataclass
 class Vocabulary:
-    pieces: list[bytes]  # with spaces for word marks
+    bytes: np.ndarray  # of all pieces in a row, with spaces for word marks
+    starts: np.ndarray  # of each id's bytes
+    lengths: np.ndarray
     keys: np.ndarray  # sorted hashes of the pieces that aren't bytes
     ids: np.ndarray
     logp: np.ndarray  # of each id
@@ -100,7 +102,8 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
         pieces[i] = names[i].replace("▁", " ").encode()
     for b, i in enumerate(byte_ids):
         pieces[i] = bytes([b])
-    return Vocabulary(pieces, hashes[at], np.array(plain)[at], logp, byte_ids, max(len(names[i]) for i in plain), seen)
+    size = np.array([len(p) for p in pieces])
+    return Vocabulary(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size, hashes[at], np.array(plain)[at], logp, byte_ids, max(len(names[i]) for i in plain), seen)
 
 
 def _byte_count(points: np.ndarray) -> np.ndarray:
@@ -113,7 +116,7 @@ class Lattices:
     """Words of one length: chosen-piece tables by word and place."""
 
     cum: np.ndarray  # [word, place, pieces by length] running conditional probabilities
-    ids: np.ndarray  # the same shape; -1 spells one character in bytes
+    ids: np.ndarray  # the same shape; -1 spells one character in several bytes
 
 
 def lattices(v: Vocabulary, points: np.ndarray, starts: np.ndarray, length: int, sums: np.ndarray, back: np.ndarray) -> Lattices:
@@ -132,7 +135,11 @@ def lattices(v: Vocabulary, points: np.ndarray, starts: np.ndarray, length: int,
     lone = ids[:, :, 0] < 0  # characters without a piece
     if lone.any():
         row, place = np.nonzero(lone)
-        logp[row, place, 0] = _byte_count(points[starts[row] + place]) * v.logp[v.byte_ids[0]]
+        p = points[starts[row] + place]
+        logp[row, place, 0] = _byte_count(p) * v.logp[v.byte_ids[0]]
+        ids[row, place, 0] = np.where(p < 0x80, v.byte_ids[np.minimum(p, 0x7F)], -1)
+    m = int(np.flatnonzero((ids >= 0).any(axis=(0, 1)))[-1]) + 1 if (ids >= 0).any() else 1  # the longest piece in these words
+    logp, ids = logp[:, :, :m], np.ascontiguousarray(ids[:, :, :m])
     beta = np.zeros((w, length + 1))
     cum = np.zeros((w, length, m), np.float64)
     for p in range(length - 1, -1, -1):
@@ -241,7 +248,7 @@ class Batch:
         return np.concatenate([*parts, ids[last:]])
 
 
-def _gumbel_under(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
+def _gumbel_under(phi: np.ndarray, top: np.ndarray | float, u: np.ndarray) -> np.ndarray:
     """Largest perturbed value of sets of log mass phi, given that it is at most top."""
     x = phi - np.log(-np.log(u))
     return np.where(np.isfinite(phi), -np.logaddexp(-top, -x), -np.inf)
@@ -259,41 +266,18 @@ class _Search:
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]] = []  # piece lengths, ids, log probabilities, value
         self.heap: list[tuple[float, int, int, tuple[int, ...]]] = []
 
-    def _draw(self, n: int, *salt: int) -> np.ndarray:
+    def salted(self, *salt: int) -> int:
         h = int(self.key)
         for s in salt:
             h = ((h ^ (s + 1)) * 0xA0761D6478BD642F + (h >> 29)) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def _draw(self, n: int, *salt: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return _uniform(U64(h) + np.arange(n, dtype=U64) * U64(0xE7037ED1A0B428DB))
-
-    @staticmethod
-    def _mass(before: np.ndarray, logc: np.ndarray) -> np.ndarray:
-        """Log probability of the siblings of each piece."""
-        with np.errstate(divide="ignore"):
-            phi = before + np.log(-np.expm1(np.minimum(logc, 0.0)))
-        phi[logc > -1e-13] = -np.inf
-        return phi
-
-    def add(self, sizes: np.ndarray, ids: np.ndarray, logc: np.ndarray, value: float, since: int) -> None:
-        """A new segmentation, whose siblings from piece `since` on are new sets; only k of them can matter."""
-        path = len(self.found)
-        self.found.append((sizes, ids, logc, value))
-        tail = logc[since:]
-        if not len(tail):
-            return
-        before = np.cumsum(tail) - tail + logc[:since].sum()
-        # a set so much lighter than the heaviest could overtake it with a chance below e^-80: its values aren't drawn
-        n, phi = min(256, len(tail)), self._mass(before[:256], tail[:256])
-        if n < len(tail):
-            n = max(n, int(np.searchsorted(-before, 80 - phi.max(), side="right"))) if np.isfinite(phi.max()) else len(tail)
-            tail, phi = tail[:n], self._mass(before[:n], tail[:n])
-        g = _gumbel_under(phi, value, self._draw(len(tail), 1, path))
-        for t in np.argpartition(-g, min(self.k, len(g) - 1))[: self.k + 1]:
-            if g[t] > -np.inf:
-                heapq.heappush(self.heap, (-g[t], path, since + int(t), (int(sizes[since + t]),)))
-
-    def next(self, fresh: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Open the best set: its best member goes on with a fresh sample, the rest is a set again."""
+            return _uniform(U64(self.salted(*salt)) + np.arange(n, dtype=U64) * U64(0xE7037ED1A0B428DB))
+
+    def next(self, fresh: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> tuple:
+        """Open the best set: its best member goes on with a fresh sample, the rest is a set again. The new segmentation, for add()."""
         value, path, t, gone = heapq.heappop(self.heap)
         value = -value
         sizes, ids, logc, _ = self.found[path]
@@ -323,11 +307,44 @@ class _Search:
             place, i = place + pick + 1, i + 1
         fs, fi, fl, first = fresh
         after = slice(first[w + 1], first[z])
-        self.add(
-            np.concatenate([sizes[:t], np.array(new_sizes, np.int32), fs[after]]), np.concatenate([ids[:t], np.array(new_ids, np.int32), fi[after]]),
+        return (
+            self, np.concatenate([sizes[:t], np.array(new_sizes, np.int32), fs[after]]), np.concatenate([ids[:t], np.array(new_ids, np.int32), fi[after]]),
             np.concatenate([logc[:t], np.array(new_logc), fl[after]]), value, t + 1)
 
 
+def add(news: list[tuple], k: int) -> None:
+    """Give searches a new segmentation each: (search, piece lengths, ids, log probabilities, value, since).
+
+    Its siblings from piece `since` on are new sets, and only the best of them can
+    matter. A set so much lighter than the heaviest of its text that it could overtake
+    it with a chance below e^-80 gets no value.
+    """
+    for s, sizes, ids, logc, value, _ in news:
+        s.found.append((sizes, ids, logc, value))
+    news = [x for x in news if len(x[3]) > x[5]]
+    if not news:
+        return
+    n = np.array([len(x[3]) for x in news])
+    begin = np.cumsum(n) - n
+    of, logc = np.repeat(np.arange(len(news)), n), np.concatenate([x[3] for x in news])
+    place, ends = np.arange(len(logc)) - begin[of], np.cumsum(logc)
+    before = ends - logc - (ends[begin] - logc[begin])[of]
+    open_ = (logc < -1e-13) & (place >= np.array([x[5] for x in news])[of])
+    phi = np.full(len(logc), -np.inf)
+    phi[open_] = before[open_] + np.log(-np.expm1(logc[open_]))
+    at = np.flatnonzero(open_ & (phi > np.maximum.reduceat(phi, begin)[of] - 80))
+    with np.errstate(over="ignore"):
+        seeds = np.array([x[0].salted(1, len(x[0].found) - 1) for x in news], U64)
+        u = _uniform(seeds[of[at]] + place[at].astype(U64) * U64(0xE7037ED1A0B428DB))
+    g = _gumbel_under(phi[at], np.array([x[4] for x in news])[of[at]], u)
+    cuts = np.searchsorted(of[at], np.arange(len(news) + 1))
+    for (s, sizes, *_), lo, hi in zip(news, cuts[:-1], cuts[1:], strict=True):
+        best = np.arange(lo, hi) if hi - lo <= k + 1 else lo + np.argpartition(-g[lo:hi], k)[: k + 1]
+        for j in best:
+            t = int(place[at[j]])
+            heapq.heappush(s.heap, (-float(g[j]), len(s.found) - 1, t, (int(sizes[t]),)))
+
+
 def encode_batch(v: Vocabulary, texts: list[str | None], row_keys: np.ndarray, k: int, seed: int) -> list[list[dict]]:
     """For each text up to k distinct segmentations, by perturbed value."""
     b = Batch(v, texts)
@@ -335,14 +352,11 @@ def encode_batch(v: Vocabulary, texts: list[str | None], row_keys: np.ndarray, k
     roots = -np.log(-np.log(_uniform(keys ^ U64(0x2545F4914F6CDD1D))))
     searches = [_Search(b, d, keys[d], k) for d in range(len(texts))]
     size, ids, logc, first = b.sample(keys, 0)
-    for d, s in enumerate(searches):
-        lo, hi = first[b.doc_word[d]], first[b.doc_word[d + 1]]
-        s.add(size[lo:hi], ids[lo:hi], logc[lo:hi], float(roots[d]), 0)
+    cuts = first[b.doc_word]
+    add([(s, size[lo:hi], ids[lo:hi], logc[lo:hi], float(roots[d]), 0) for d, (s, lo, hi) in enumerate(zip(searches, cuts[:-1], cuts[1:], strict=True))], k)
     for r in range(1, k):
         fresh = b.sample(keys, r)
-        for s in searches:
-            if s.heap:
-                s.next(fresh)
+        add([s.next(fresh) for s in searches if s.heap], k)
     out = []
     for d, s in enumerate(searches):
         kappa = -s.heap[0][0] if s.heap and len(s.found) == k else -np.inf
@@ -356,10 +370,18 @@ def encode_batch(v: Vocabulary, texts: list[str | None], row_keys: np.ndarray, k
     return out
 
 
+def decode_all(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and offsets of the texts of sequences of ids; the mark that encoding puts first goes."""
+    length, start = v.lengths[ids], v.starts[ids]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    length[first] -= 1
+    start[first] += 1
+    ends = np.concatenate([[0], np.cumsum(length)])
+    return v.bytes[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])], ends[offsets]
+
+
 def decode(v: Vocabulary, ids: np.ndarray) -> str:
-    """The text of a sequence of ids; the mark that encoding puts first goes."""
-    whole = b"".join(map(v.pieces.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
-    return whole[1:]
+    return decode_all(v, np.asarray(ids), np.array([0, len(ids)]))[0].tobytes().decode("utf-8", "surrogatepass")
 
 
 _SAMPLES = "array<struct<sample:int,ids:array<int>,log_prob:double,perturbed:double,log_inclusion:double>>"
@@ -367,7 +389,7 @@ _SAMPLES = "array<struct<sample:int,ids:array<int>,log_prob:double,perturbed:dou
 
 def encode_samples(docs: DataFrame, k: int = 2, seed: int = 13, model: str = MODEL) -> DataFrame:
     """doc_id, text and one row for each sampled segmentation: sample, ids, log_prob, perturbed, log_inclusion."""
-    small_batches(docs.sparkSession, "400")
+    small_batches(docs.sparkSession, "600")
 
     def run(key: pa.Array, text: pa.Array) -> pa.Array:
         rows = encode_batch(vocabulary(model), text.to_pylist(), key.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), k, seed)
@@ -385,7 +407,14 @@ def encode_samples(docs: DataFrame, k: int = 2, seed: int = 13, model: str = MOD
 
 def decode_ids(ids_col: str, model: str = MODEL):
     """Column of the texts that sequences of ids spell."""
-    return F.arrow_udf(lambda ids: pa.array([decode(vocabulary(model), i.values.to_numpy(zero_copy_only=False)) if i.is_valid else None for i in ids], pa.string()), "string")(F.col(ids_col))
+    def run(ids: pa.Array) -> pa.Array:
+        lists = ids.fill_null(pa.scalar([], ids.type))
+        off = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+        raw, cuts = decode_all(vocabulary(model), flat, off - off[0])
+        return pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())).cast(pa.string())
+
+    return F.arrow_udf(run, "string")(F.col(ids_col))
 
 
 def op3_gumbel_pieces(spark, sf_dir: str) -> DataFrame:
