@@ -89,6 +89,19 @@ def test_many_names_get_distinct_surrogates(spark):
     assert got.nunique() == len(names) and not set(got) & set(names)
 
 
+def test_more_names_than_slots(spark):
+    syllables = ["ba", "co", "du", "fe", "gi", "ha", "jo", "ku"]
+    made = ["".join(x) for x in itertools.product(syllables, repeat=3)]
+    rows = [f"Mr {a.title()} {made[-1 - i].title()}" for i, a in enumerate(made)] + [f"Mr {a.title()} {made[i // 2].title()}" for i, a in enumerate(made[:200])]
+    rows += [f"{('Mr', 'Mrs', 'Dr')[i % 3]} {a.title()}" for i, a in enumerate(made[:300])] + [f"Mrs {x}" for x in pii.FAMILY["latin"]]
+    got = pii.replace_entities(docs_of(spark, [(i, n, "a") for i, n in enumerate(rows)])).toPandas().sort_values("doc_id")["text"]
+    after = [x.partition(" ")[2] for x in got]
+    assert len(set(rows)) == len(rows) == len(set(after)) and not set(after) & {x.partition(" ")[2] for x in rows}
+    assert [x.partition(" ")[0] for x in got] == [x.partition(" ")[0] for x in rows] and all(x.count(" ") == y.count(" ") for x, y in zip(got, rows, strict=True))
+    laps = [pii.name_surrogate("m Bado", k) for k in range(20_000)]
+    assert len(set(laps)) == len(laps) and max(map(len, laps)) < 60
+
+
 # 3. Pieces
 
 

@@ -9,11 +9,12 @@ surrogate wherever it occurs. Card numbers keep whether their check digit holds,
 account numbers keep valid check digits, private addresses stay private.
 
 Names have no such domain: a name is replaced from a list of its script and
-gender, picked by a keyed hash, with a number of the attempt. The names of the
-corpus are gathered by a grouped distinct; where two share a surrogate, or a
-surrogate is itself a name of the corpus, all but the least take the next attempt
-until no collision is left. Only names past their first attempt are joined back to
-documents.
+gender, picked by a keyed hash. The names of the corpus are gathered by a grouped
+distinct; those that meet at one name of the list are ranked, and a name's rank is
+told by further family names behind a hyphen, as many as it takes. No name found in a
+text has a hyphen, so only the first of a list name can clash with a name of the
+corpus; its ranks then start one later. Only names past the first rank are joined
+back to documents.
 
 Null texts stay null, empty ones empty. Rows repeat as they come. Extra columns
 pass through replace_entities(); a column named like an output is replaced.
@@ -25,12 +26,14 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, read, small_batches
 
 KEY = b"tidemark surrogate key"
+#: Names of one slot are ranked in so many parts.
+PARTS = 64
 
 _MALE, _FEMALE, _ANY = "m", "f", "x"
 #: Titles and the gender that they tell.
@@ -200,24 +203,26 @@ def _script(name: str) -> str:
     return "cyrillic" if re.match(r"[Ѐ-ӿ]", name) else "greek" if re.match(r"[Ͱ-Ͽἀ-῿]", name) else "latin"
 
 
-def name_surrogate(canon: str, attempt: int, key: bytes = KEY) -> str:
-    """A name of the same script, gender and number of words; later attempts count up."""
+def name_surrogate(canon: str, lap: int, key: bytes = KEY) -> str:
+    """A name of the same script, gender and number of words; a later lap is told by a tail of its digits."""
     gender, _, name = canon.partition(" ")
     script, two = _script(name), " " in name
     given = GIVEN.get((script, gender)) or GIVEN[(script, _MALE)] + GIVEN[(script, _FEMALE)]
     family = FAMILY[script]
     n = len(given) * len(family) if two else len(family)
-    lap, x = divmod(int.from_bytes(hashlib.blake2b(canon.encode(), key=key, digest_size=8).digest(), "big") % n + attempt, n)
-    tail = "" if not lap else "-" + family[lap % len(family)] * (1 + lap // len(family))
+    x, tail = int.from_bytes(hashlib.blake2b(canon.encode(), key=key, digest_size=8).digest(), "big") % n, ""
+    while lap:
+        lap, digit = divmod(lap, len(family))
+        tail = f"-{family[digit]}{tail}"
     return f"{given[x % len(given)]} {family[x // len(given)]}{tail}" if two else family[x] + tail
 
 
-def surrogate(kind: str, s: str, attempts: dict[str, int], key: bytes = KEY) -> str:
+def surrogate(kind: str, s: str, laps: dict[str, int], key: bytes = KEY) -> str:
     if kind != "name":
         return _MAKE[kind](s, key)
     title = s.partition(" ")[0]
     canon = canonical(kind, s)
-    return f"{title} {name_surrogate(canon, attempts.get(canon, 0), key)}"
+    return f"{title} {name_surrogate(canon, laps.get(canon, 0), key)}"
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -227,22 +232,21 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m.lastgroup) for m in PATTERN.finditer(text)]
 
 
-def _resolve(names: DataFrame, scratch: Scratch, key: bytes, max_rounds: int = 200) -> DataFrame:
-    """(canon, attempt) of names that don't get their first surrogate, until all differ."""
-    of = F.arrow_udf(lambda c, a: pa.array([name_surrogate(x, y, key) for x, y in zip(c.to_pylist(), a.to_pylist(), strict=True)]), "string")
-    state = scratch.save(names.select("canon", F.lit(0).alias("attempt")), "names")
-    for _ in range(max_rounds):
-        made = scratch.save(state.withColumn("made", of("canon", "attempt")), "made")
-        least = made.groupBy("made").agg(F.min("canon").alias("first"))
-        taken = names.select(F.expr("substr(canon, 3)").alias("made")).distinct().withColumn("real", F.lit(True))
-        lost = (
-            made.join(least, "made").join(taken, "made", "left")
-            .select("canon", "attempt", (F.coalesce("real", F.lit(False)) | (F.col("canon") != F.col("first"))).alias("lost")))
-        state = scratch.save(lost.select("canon", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"), "lost"), "names")
-        if state.where("lost").isEmpty():
-            return state.where("attempt > 0").select("canon", "attempt")
-        state = state.drop("lost")
-    raise RuntimeError("surrogate names did not settle")
+def _resolve(names: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
+    """(canon, lap) of names past lap 0, so that all surrogates differ from each other and from all names.
+
+    The names of a slot are ranked in parts, behind the counts of the parts before: slots
+    are few, so one of them can hold a large share of all names.
+    """
+    of = F.arrow_udf(lambda c: pa.array([name_surrogate(x, 0, key) for x in c.to_pylist()], pa.string()), "string")
+    made = scratch.save(names.select("canon", of("canon").alias("made"), F.pmod(F.xxhash64("canon"), F.lit(PARTS)).alias("part")), "made")
+    real = names.select(F.expr("substr(canon, 3)").alias("made")).distinct().withColumn("real", F.lit(1))
+    up = Window.partitionBy("made").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        made.groupBy("made", "part").agg(F.count("*").alias("n")).join(real, "made", "left")
+        .select("made", "part", (F.coalesce(F.sum("n").over(up), F.lit(0)) + F.coalesce("real", F.lit(0))).alias("before")))
+    rank = F.row_number().over(Window.partitionBy("made", "part").orderBy("canon"))
+    return scratch.save(made.join(before, ["made", "part"]).select("canon", (F.col("before") + rank - 1).alias("lap")).where("lap > 0"), "laps")
 
 
 def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -260,15 +264,15 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     moved = _resolve(named.select("canon").distinct(), scratch, key)
     # one short row for each document with a moved name; Spark broadcasts it only if it is small
     by_doc = scratch.save(
-        named.join(moved, "canon").where("doc_id is not null").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("canon", "attempt"))).alias("_moved")), "moved")
+        named.join(moved, "canon").where("doc_id is not null").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("canon", "lap"))).alias("_moved")), "moved")
 
     def replace(text: pa.Array, moved: pa.Array) -> pa.Array:
         texts, counts, kinds = [], [], []
         for t, m in zip(text.to_pylist(), moved.to_pylist(), strict=True):
             spans = find(t) if t else []
-            attempts, at, parts = dict(m or ()), 0, []
+            laps, at, parts = dict(m or ()), 0, []
             for a, b, k in spans:
-                parts += [t[at:a], surrogate(k, t[a:b], attempts, key)]
+                parts += [t[at:a], surrogate(k, t[a:b], laps, key)]
                 at = b
             texts.append("".join([*parts, t[at:]]) if spans else t)
             counts.append(len(spans))
