@@ -68,7 +68,7 @@ PATTERN = re.compile(
     r"|(?P<token>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z]{16,64})(?![0-9A-Za-z]))"
     rf"|(?P<name>\b(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?)")
 #: A cheap test: no entity occurs in a text without one of these.
-_MAY = re.compile(rf"@|\d{{2}}|\b(?:{'|'.join(TITLES)})\b")
+_MAY = re.compile(rf"@|\d\.?\d|AKIA|ASIA|(?:sk|pk|ghp|xox[bp])[-_]|[0-9a-f]{{32}}|[0-9A-F]{{32}}|\b(?:{'|'.join(TITLES)})\b")
 
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _HEX = ("0123456789abcdef", "0123456789ABCDEF")
