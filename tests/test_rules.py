@@ -11,6 +11,7 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import compress as C
 from tidemark.operators import hierarchy as H
 from tidemark.operators import interpolate as I
+from tidemark.operators import order as G
 from tidemark.operators import state as T
 from tidemark.operators import windows as W
 from tidemark.plans.expression import FormulaError, compile_formula, validate
@@ -156,3 +157,27 @@ def test_archive(spark, tmp_path):
     got = archive.scan(spark, str(tmp_path / "a"), (1,), 0, 24 * 3_600_000_000 - 1)
     assert got.count() == 24
     assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString()
+
+
+def test_build_levels_of_long_chains(spark):
+    ids = lambda n: spark.range(n).select("id")
+    chain = ids(70).where("id > 0").select("id", (F.col("id") - 1).alias("needed"))
+    more = spark.createDataFrame([(69, 0), (69, 0), (71, 70)], "id long, needed long")  # a shorter way, and a node by itself
+    got = {r["id"]: r["level"] for r in G.build_levels(ids(72), chain.union(more)).collect()}
+    assert got == {i: i for i in range(70)} | {70: 0, 71: 1}
+    with pytest.raises(ValueError, match="cycle"):
+        G.build_levels(ids(6), spark.createDataFrame([(1, 0), (2, 1), (3, 2), (2, 3), (4, 5), (5, 4)], "id long, needed long"))
+
+
+def test_build_levels_of_all_parts(spark, sf):
+    import duckdb
+
+    from tidemark.plans import q_more, registry
+
+    whole = registry.oracle_sql()["build_levels"].rpartition(" WHERE ")[0]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
+    want, parts = dict(con.execute(whole).fetchall()), {x for (x,) in con.execute("SELECT p_partkey FROM part").fetchall()}
+    got = {r["id"]: r["level"] for r in q_more.part_levels(spark, sf).collect()}
+    assert set(got) == parts and max(got.values()) == 49
+    assert {i: k for i, k in got.items() if i > 0} == want and got.get(0, 0) == 0

@@ -8,26 +8,38 @@ from pyspark.sql import functions as F
 from tidemark.operators.hierarchy import cut
 
 
-def build_levels(nodes: DataFrame, needs: DataFrame, max_levels: int = 64) -> DataFrame:
+#: Levels whose rows are held apart before they are put together.
+_LEVELS_APART = 64
+
+
+def build_levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """(id, level): every node after all that it needs (id, needed); an error for cycles.
 
-    Each level is one join with the nodes that the level before reached, so a node's
-    level is its longest chain of needs.
+    Each level is one join of the nodes that the level before reached with the counts of
+    needs that others still wait for, so a node's level is its longest chain of needs.
+    Nodes still waiting when a level reaches none are a cycle, or need what isn't there.
     """
-    reached = nodes.select("id").join(needs.select("id").distinct(), "id", "left_anti")
-    out = reached.select("id", F.lit(0).alias("level"))
-    for k in range(1, max_levels + 1):
-        reached = needs.join(reached.select(F.col("id").alias("needed")), "needed").select("id").distinct()
-        reached = cut(reached)
-        if reached.isEmpty():
-            break
-        out = out.unionByName(reached.select("id", F.lit(k).alias("level")))
-    else:
-        raise ValueError("the needs have a cycle, or a chain longer than max_levels")
-    levels = out.groupBy("id").agg(F.max("level").alias("level"))
-    if not nodes.select("id").join(levels, "id", "left_anti").isEmpty():
+    ids = nodes.select("id").union(needs.select("id")).distinct()
+    needs = needs.select("id", "needed").distinct().join(ids.withColumnRenamed("id", "_known"), F.col("needed") == F.col("_known"), "left")
+    waits = needs.groupBy("id").agg(F.greatest(F.count("_known"), F.lit(1)).alias("n"))
+    needs = _settle(needs.where("_known is not null").select("id", "needed"))
+    state = _settle(ids.join(waits, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
+    out, level = state.where("n = 0").select("id", F.lit(0).alias("level")), 0
+    while not state.where("n = 0").isEmpty():
+        level += 1
+        done = needs.join(state.where("n = 0").select(F.col("id").alias("needed")), "needed").groupBy("id").agg(F.count("*").alias("_done"))
+        state = _settle(state.where("n > 0").join(done, "id", "left").select("id", (F.col("n") - F.coalesce("_done", F.lit(0))).alias("n")))
+        out = out.unionByName(state.where("n = 0").select("id", F.lit(level).alias("level")))
+        if level % _LEVELS_APART == 0:
+            out = _settle(out)
+    if not state.isEmpty():
         raise ValueError("the needs have a cycle")
-    return levels
+    return out
+
+
+def _settle(df: DataFrame) -> DataFrame:
+    """df computed once: each level reads the one before several times."""
+    return cut(df) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
 
 
 def strongest_successors(links: DataFrame) -> DataFrame:

@@ -68,9 +68,13 @@ def _words(spark, sf_dir):
 
 @register("build_levels", "WITH RECURSIVE l AS (SELECT p_partkey AS id, 0 AS level FROM part WHERE p_partkey % 50 = 1 OR p_partkey = 1 UNION ALL SELECT id + 1, level + 1 FROM l WHERE (id + 1) % 50 <> 1 AND id + 1 <= (SELECT max(p_partkey) FROM part)) SELECT id, level FROM l WHERE id % 50 BETWEEN 1 AND 10")
 def _levels(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 50 between 1 and 10").select(F.col("p_partkey").alias("id"))
-    needs = p.where("id % 50 > 1").select("id", (F.col("id") - 1).alias("needed"))
-    return G.build_levels(p, needs)
+    return part_levels(spark, sf_dir).where("id % 50 between 1 and 10")  # the SQL returns these of all that it builds
+
+
+def part_levels(spark, sf_dir):
+    """Levels of all parts, in chains of 50."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"))
+    return G.build_levels(p, p.where("id % 50 <> 1 and id > 0").select("id", (F.col("id") - 1).alias("needed")))
 
 
 @register("causal_chains")
