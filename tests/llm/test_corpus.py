@@ -166,11 +166,15 @@ def brute_groups(rows):
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 75 * len(x | y):
-            p, q = sorted((root(a), root(b)))
-            parent[q] = p
+    ids, code = sorted(sets), {}
+    has = np.zeros((len(ids), sum(map(len, sets.values()))), np.float32)
+    for k, i in enumerate(ids):
+        has[k, [code.setdefault(x, len(code)) for x in sets[i]]] = 1
+    has = has[:, : len(code)]
+    shared, size = has @ has.T, has.sum(axis=1)
+    for p, q in np.argwhere((shared > 0) & (100 * shared >= 75 * (size[:, None] + size - shared))).tolist():
+        p, q = sorted((root(ids[p]), root(ids[q])))
+        parent[q] = p
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
@@ -188,6 +192,45 @@ def test_near_duplicates(spark, sf):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_bucket_of_many_components(spark):
+    """3,000 near copies that stars alone don't join: cells return fewer rows than they read, and no link is lost."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for f in range(6):  # families that share two thirds of their words, each a random walk of edits
+        base = [f"w{k}" for k in range(80)] + [f"f{f}x{k}" for k in range(40)]
+        for i in range(500):
+            if i % 25 == 0:
+                walk = list(base)
+            walk[rng.integers(0, 120)] = f"n{f}x{i}"
+            rows.append((f * 1000 + i, " ".join(walk)))
+    ids = np.array([i for i, _ in rows])
+    sets, off = near_dup.shingle_sets(pa.array([t for _, t in rows]))
+    sig = near_dup.signatures(sets, off).astype(np.uint16)
+    frame = pd.DataFrame({"x": 0, "y": 0, "id": ids, "n": np.diff(off), "own": 0, "c": ids, "sig": [x.tobytes() for x in sig], "set": [sets[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]})
+    forest = near_dup._cell(frame)
+    assert len(forest) < len(rows)
+    want = brute_groups(rows)
+    parent = {i: i for i in ids.tolist()}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in zip(forest["a"].tolist(), forest["b"].tolist(), strict=True):
+        p, q = sorted((root(a), root(b)))
+        assert p != q  # a forest has no cycle
+        parent[q] = p
+    assert {i: root(i) for i in parent} == {i: c for i, (_, c) in want.items()}
+    old = near_dup.BLOCK, near_dup.STARS
+    near_dup.BLOCK, near_dup.STARS = 64, 1
+    try:
+        got = near_dup.near_groups(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
+    finally:
+        near_dup.BLOCK, near_dup.STARS = old
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_near_duplicate_edges(spark):
     got = near_dup.near_groups(edge_docs(spark)).collect()
     assert len(got) == 8 and {r["component_id"] for r in got if r["doc_id"] in (5, 6)} == {5}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import suppress
@@ -27,19 +29,23 @@ def small_batches(spark: SparkSession, rows: str = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; on local[*] a temporary one where none is set."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, conf, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; drop() removes them."""
+    """Tables written to the shared folder to cut lineage; drop() removes them, the end of the program at the latest."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1

@@ -6,12 +6,14 @@ its bin and its value; an empty bin borrows the value of the bin that its own
 seeded probe order meets first. The signature is cut into bands, equal bands meet
 in a bucket, and each bucket proposes a star: its hub against the others. Pairs
 whose signatures agree in too few bins (MIN_EQUAL) are dropped, the others
-confirmed on full sets (100 * shared >= 75 * union). A bucket whose members then
-still lie in several components is gone through once more: blocks of its members
-are compared across components inside a task, by signature and then by sets of
-hashes cut to 16 bits, which can only overstate what two texts share; what is
-left goes on to be confirmed. So a star loses no link that its bucket holds, and no
-bucket's pairs are written out.
+confirmed on full sets (100 * shared >= 75 * union). Buckets whose members then still
+lie in several components propose further stars (STARS), each from a new hub to the
+members of other components. What is left after them is gone through exactly:
+blocks of a bucket's members are compared across components inside a task, on full
+sets, and a task returns a spanning forest of the links it found, so fewer rows than
+it read. Blocks by themselves come first; only buckets that they leave in several
+components are compared block against block. So a star loses no link that its
+bucket holds, and no bucket's pairs are written out.
 
 With 32 bands of 4 values a pair of similarity exactly 0.75 is missed with a
 probability of about 5e-6, of 0.8 with 5e-8; that it agrees in under 72 of 128
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, mix, read, seeded, small_batches, unique_per_row, word_hashes
+from tidemark.llm.common import Scratch, mix, read, row_sums, seeded, small_batches, unique_per_row, word_hashes
 from tidemark.llm.components import connected
 
 SHINGLE = 5
@@ -38,8 +40,10 @@ BINS, ROWS = 128, 4
 PERCENT = 75
 #: Bins in which two signatures must agree; 96 are expected at similarity 0.75, with a deviation of 5.
 MIN_EQUAL = 72
-#: Members of a bucket in one block; a task compares two blocks.
-BLOCK = 512
+#: Rounds of stars before buckets are compared in blocks.
+STARS = 3
+#: Members of a bucket, and shingles of theirs, in one block; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 _BIN_BITS = 7
 _MULT = seeded(64, 31) | np.uint64(1)
 _TAG = seeded(SHINGLE + 1, 37)
@@ -131,11 +135,10 @@ def alike(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((a == b).sum(axis=1) >= MIN_EQUAL)
 
 
-def short_sets(column: pa.Array) -> pa.Array:
-    """Every shingle of each text's set as 16 bits of its hash, repeats kept."""
+def set_bytes(column: pa.Array) -> pa.Array:
+    """The sorted shingle hashes of each text."""
     sets, offsets = shingle_sets(column)
-    cut = sets.astype(np.uint16)
-    return pa.array([cut[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+    return pa.array([sets[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
 
 
 def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -173,25 +176,34 @@ def near_groups(docs: DataFrame) -> DataFrame:
     bands = reps.select(F.explode("keys").alias("key"), "id", "n")
     shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     cand = scratch.save(bands.join(shared, "key"), "buckets")
-    # Hubs follow one seeded order of all documents, so that the buckets of a group mostly share theirs.
-    order = F.struct(F.xxhash64("id", F.lit(3)).alias("o"), F.col("id"), F.col("n"))
-    star = cand.groupBy("key").agg(F.min(order).alias("hub"))
-    pairs = _pairs(cand.join(star, "key").select("id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
-    tested = scratch.save(pairs, "pairs")
     # The texts of bucket members are shuffled once; their ids grow with the input, so they are never broadcast.
     in_buckets = scratch.save(cand.select("id").distinct(), "ids").hint("merge")
     sigs = scratch.save(reps.select("id", "sig").join(in_buckets, "id", "left_semi"), "signatures")
     texts = scratch.save(docs.join(in_buckets.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "texts")
-    groups = scratch.save(connected(_confirm(tested, sigs, texts, scratch).union(twice), scratch), "groups")
-
-    rest = scratch.save(_unsettled(cand, groups), "unsettled")
+    groups = scratch.save(connected(twice, scratch), "groups")
+    rest, tested = _unsettled(cand, groups, scratch, 2), None
+    for seed in range(STARS):
+        if rest.isEmpty():
+            break
+        pairs = _stars(rest, seed)
+        pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        tested = tested.union(pairs) if tested else pairs
+        groups = _merge(groups, _confirm(pairs, sigs, texts, scratch), scratch)
+        rest = _unsettled(rest, groups, scratch)
     if not rest.isEmpty():
-        fresh = scratch.save(_across(rest, sigs, texts, scratch).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = _confirm(fresh, sigs, texts, scratch)
-        if not more.isEmpty():
-            groups = scratch.save(_merge(groups, more, scratch), "groups")
-
-    scratch.drop(texts)
+        ids = rest.select(F.col("id").alias("doc_id")).distinct()
+        full = texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.arrow_udf(set_bytes, "binary")("text").alias("set"))
+        full = scratch.save(sigs.join(full, "id"), "members")
+        for across in (False, True):
+            cells = _cells(rest, across).join(full, "id")
+            found = scratch.save(cells.groupBy("key", "x", "y").applyInPandas(_cell, "a long, b long").distinct(), "links")
+            groups = _merge(groups, found, scratch)
+            rest = _unsettled(rest, groups, scratch)
+            if rest.where("blocks > 1").isEmpty():
+                break
+        scratch.drop(full)
+
+    scratch.drop(cand, sigs, texts)
     component = members.join(groups, members.rep == groups.id, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return (
         base.select("doc_id", F.col("n").alias("n_shingles")).join(component, "doc_id", "left")
@@ -202,60 +214,70 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def _merge(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Components after further links, found among the components that the links touch."""
+    if links.isEmpty():
+        return groups
     of = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     moved = scratch.save(connected(between, scratch).select(F.col("id").alias("component"), F.col("component").alias("to")), "moved")
     kept = groups.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     fresh = moved.select(F.col("component").alias("id"), F.col("to").alias("component")).join(groups.select("id"), "id", "left_anti")
-    return kept.union(fresh)
+    return scratch.save(kept.union(fresh), "groups")
 
 
-def _pairs(edges: DataFrame) -> DataFrame:
-    """Distinct pairs a < b whose sizes allow the similarity."""
-    fits = (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")) & (F.col("id") != F.col("hub"))
-    return edges.where(fits).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+def _unsettled(cand: DataFrame, groups: DataFrame, scratch: Scratch, least: int = 3) -> DataFrame:
+    """Rows of buckets whose members lie in several components: key, id, n, c, and the bucket's number of blocks.
+
+    In a bucket of two, the first star has compared the only pair.
+    """
+    now = cand.select("key", "id", "n").join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), blocks.alias("blocks"), F.count("*").alias("m"))
+    mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("m") >= least)).select("key", "blocks")
+    return scratch.save(now.join(mixed, "key"), "unsettled")
 
 
-def _unsettled(cand: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of buckets of three and more whose members lie in several components, with the number of blocks.
+def _stars(rest: DataFrame, seed: int) -> DataFrame:
+    """Pairs a < b of each bucket's hub and its members of other components whose sizes allow the similarity.
 
-    In a bucket of two the star has compared the only pair.
+    Hubs follow one seeded order of all documents, so that the buckets of a group mostly share theirs.
     """
-    now = cand.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2")
-    return now.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    hub = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(3 + seed)).alias("o"), F.col("id"), F.col("n"), F.col("c"))).alias("hub"))
+    fits = (F.col("c") != F.col("hub.c")) & (100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n"))
+    return rest.join(hub, "key").where(fits).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
-def _across(rest: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of different components of a bucket that may link."""
-    ids = rest.select(F.col("id").alias("doc_id")).distinct()
-    short = texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.arrow_udf(short_sets, "binary")("text").alias("short"))
-    members = scratch.save(sigs.join(short, "id"), "members")
-    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
-    cells = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "c").join(members, "id")
-    return cells.groupBy("key", "x", "y").applyInPandas(_cell, "a long, b long").distinct()
+def _cells(rest: DataFrame, across: bool) -> DataFrame:
+    """Members dealt to the cells (key, x, y) of their buckets: x = y for blocks by themselves, x < y for two blocks."""
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    if not across:
+        return dealt.select("key", F.col("own").alias("x"), F.col("own").alias("y"), "own", "id", "n", "c")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = dealt.where("blocks > 1").withColumn("other", other).where("other <> own")
+    return pairs.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "c")
 
 
 def _cell(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs between two blocks of a bucket (or inside one)."""
+    """A spanning forest of the links between the components of a cell's members."""
     x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
-    ids, n, c, own = (rows[k].to_numpy() for k in ("id", "n", "c", "own"))
+    ids, n, own = (rows[k].to_numpy() for k in ("id", "n", "own"))
+    _, label = np.unique(rows["c"].to_numpy(), return_inverse=True)
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, BINS)
-    short = [np.frombuffer(s, np.uint16) for s in rows["short"]]
-    mark, out = np.zeros(1 << 16, bool), [np.zeros((0, 2), np.int64)]
+    sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
+    out = []
     for i in np.flatnonzero(own == x):
-        later = ids > ids[i] if x == y else own == y
-        may = np.flatnonzero(later & (c != c[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        later = np.arange(len(ids)) > i if x == y else own == y
+        may = np.flatnonzero(later & (label != label[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
         may = may[(sig[may] == sig[i]).sum(axis=1) >= MIN_EQUAL] if len(may) else may
         if not len(may):
             continue
-        mark[short[i]] = True
-        shared = np.array([np.count_nonzero(mark[short[j]]) for j in may])
-        mark[short[i]] = False
-        may = may[100 * shared >= PERCENT * (n[i] + n[may] - shared)]
-        out.append(np.stack([np.minimum(ids[may], ids[i]), np.maximum(ids[may], ids[i])], axis=1))
-    pairs = np.concatenate(out)
+        other = np.concatenate([sets[j] for j in may])
+        at = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
+        shared = row_sums(sets[i][at] == other, np.concatenate([[0], np.cumsum([len(sets[j]) for j in may])]))
+        for j in may[100 * shared >= PERCENT * (n[i] + n[may] - shared)]:
+            if label[j] != label[i]:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                label[label == label[j]] = label[i]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
