@@ -67,6 +67,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """These names with underscores before them, as many as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken or not name.startswith("_"):
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key written as text, modulo n."""
     return F.crc32(key.cast("string").cast("binary")) % n

@@ -1,23 +1,29 @@
 """Surrogates for personal data: keyed, type-consistent and injective.
 
 Detected entities (e-mail and IPv4 addresses, telephone, card, account and
-identity numbers, secret tokens, and names after a title) are replaced by
-surrogates that keep type, format, script and a name's gender. Numbers, tokens
-and addresses go through a keyed Feistel permutation of all strings of their own
-format, so two entities never share a surrogate and one entity has the same
-surrogate wherever it occurs. Card numbers keep whether their check digit holds,
-account numbers keep valid check digits, private addresses stay private.
-
-Names have no such domain: a name is replaced from a list of its script and
-gender, picked by a keyed hash. The names of the corpus are gathered by a grouped
-distinct; those that meet at one name of the list are ranked, and a name's rank is
-told by further family names behind a hyphen, as many as it takes. No name found in a
-text has a hyphen, so only the first of a list name can clash with a name of the
-corpus; its ranks then start one later. Only names past the first rank are joined
-back to documents.
-
-Null texts stay null, empty ones empty. Rows repeat as they come. Extra columns
-pass through replace_entities(); a column named like an output is replaced.
+identity numbers, secret tokens, and names) are replaced by surrogates that keep
+type, format, script and a name's gender. Numbers, tokens and addresses go through
+a keyed permutation of all strings of their own format that leaves none in place:
+a shift by one between a Feistel permutation and its inverse. So two entities never
+share a surrogate, none is its own, and one entity has the same surrogate wherever it
+occurs. Only numbers with a right check digit are cards, and stay so; account
+numbers keep valid check digits, private addresses stay private, and a telephone
+number keeps a 555.
+
+Names are found by a title. A given and a family name are replaced each by itself, so
+"Dr John Smith", "Mr John Smith" and "Mrs Smith" stay the persons and the family that
+they were; further mentions of a document's titled persons without a title ("John
+Smith", "Smith") are replaced like the titled ones. A given name's gender is what its
+titles in the whole corpus tell, and open where they disagree. Its surrogate comes from
+the list of its script and gender, picked by a keyed hash. The names of the corpus are
+gathered by a grouped aggregate; those that meet at one name of the list are ranked, and a
+name's rank is told by further names behind a hyphen, as many as it takes. No name
+found in a text has a hyphen, so only the first of a list name can clash with a name
+of the corpus; its ranks then start one later.
+
+Null texts stay null, empty ones empty. Rows repeat as they come; rows without doc_id
+are treated like others. Extra columns pass through replace_entities(); a column named
+like an output is replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +32,11 @@ import hashlib
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, read, small_batches
+from tidemark.llm.common import Scratch, read, small_batches, spare
 
 KEY = b"tidemark surrogate key"
 #: Names of one slot are ranked in so many parts.
@@ -60,15 +67,16 @@ _NAME = r"[^\W\d_a-z][^\W\d_]+"
 #: In order of precedence at the same place.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-]))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\d-]))"
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<ip>(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9]))"
+    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9]))"
+    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<card>(?<![0-9.-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9-]))"
     r"|(?P<token>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z]{16,64})(?![0-9A-Za-z]))"
     rf"|(?P<name>\b(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?)")
-#: A cheap test: no entity occurs in a text without one of these.
-_MAY = re.compile(rf"@|\d\.?\d|AKIA|ASIA|(?:sk|pk|ghp|xox[bp])[-_]|[0-9a-f]{{32}}|[0-9A-F]{{32}}|\b(?:{'|'.join(TITLES)})\b")
+#: Cheap tests: no entity, and no name, occurs in a text without one of these.
+_TITLED = rf"(?:{'|'.join(TITLES)})\.? [^a-z\d\s]"
+_MAY = rf"@|\d\.?\d|AKIA|ASIA|(?:sk|pk|ghp|xox[bp])[-_]|[0-9a-f]{{32}}|[0-9A-F]{{32}}|{_TITLED}"
 
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _HEX = ("0123456789abcdef", "0123456789ABCDEF")
@@ -78,24 +86,28 @@ def _round(key: bytes, n: int, i: int, x: int, tweak: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b"%d|%d|%x|" % (n, i, x) + tweak, key=key, digest_size=16 + n.bit_length() // 8).digest(), "big")
 
 
-def permute(x: int, n: int, tweak: bytes, key: bytes = KEY) -> int:
-    """A keyed permutation of 0..n-1: Feistel over two halves, walked until it lands inside."""
-    if n < 2:
-        return x
+def _feistel(x: int, n: int, tweak: bytes, key: bytes, back: bool = False) -> int:
+    """A keyed permutation of 0..n-1, or its inverse: Feistel over two halves, walked until it lands inside."""
     a = max(2, int(n**0.5)) if n < 1 << 50 else 1 << (n.bit_length() // 2)
     b = -(-n // a)
     while True:
         left, right = divmod(x, b)
-        for i in range(8):
+        for i in reversed(range(8)) if back else range(8):
+            sign = -1 if back else 1
             if i % 2:
-                right = (right + _round(key, b, i, left, tweak)) % b
+                right = (right + sign * _round(key, b, i, left, tweak)) % b
             else:
-                left = (left + _round(key, a, i, right, tweak)) % a
+                left = (left + sign * _round(key, a, i, right, tweak)) % a
         x = left * b + right
         if x < n:
             return x
 
 
+def permute(x: int, n: int, tweak: bytes, key: bytes = KEY) -> int:
+    """One step on a keyed cycle through all of 0..n-1, so no number stays in place."""
+    return x if n < 2 else _feistel((_feistel(x, n, tweak, key) + 1) % n, n, tweak, key, back=True)
+
+
 def _permute_string(s: str, tweak: bytes, alphabets: list[str | None], key: bytes) -> str:
     """Permute the characters that have an alphabet, all together."""
     x, n = 0, 1
@@ -130,21 +142,25 @@ def _email(s: str, key: bytes) -> str:
     return f"{_permute_string(local, b'local', _by_class(local), key)}@{'.'.join([host, *labels[1:]])}"
 
 
+def _range(o: list[int]) -> int:
+    """How many octets of an address tell its use: 0 for public ones, -1 for those that no host has."""
+    if o[0] in (10, 127):
+        return 1
+    if (o[0], o[1]) in ((192, 168), (169, 254)) or o[0] == 172 and 16 <= o[1] < 32:
+        return 2
+    return -1 if o[0] == 0 or o[0] >= 224 else 0
+
+
 def _ip(s: str, key: bytes) -> str:
     o = [int(x) for x in s.split(".")]
-    fixed = 1 if o[0] in (10, 127) else 2 if (o[0], o[1]) in ((192, 168), (169, 254)) or o[0] == 172 and 16 <= o[1] < 32 else 0
-    if fixed:
-        n = 256 ** (4 - fixed)
-        x = permute(int.from_bytes(bytes(o[fixed:]), "big"), n, b"ip%d" % fixed + bytes(o[:fixed]), key)
-        return ".".join(map(str, [*o[:fixed], *x.to_bytes(4 - fixed, "big")]))
-    special = lambda p: p[0] in (10, 127) or (p[0], p[1]) in ((192, 168), (169, 254)) or p[0] == 172 and 16 <= p[1] < 32 or p[0] in (0, *range(224, 256))
-    x, odd = int.from_bytes(bytes(o), "big"), o[0] in (0, *range(224, 256))
+    kind = _range(o)
+    keep = max(kind, 0)
+    x = int.from_bytes(bytes(o[keep:]), "big")
     while True:
-        x = permute(x, 1 << 32, b"ip", key)
-        p = list(x.to_bytes(4, "big"))
-        if odd or not special(p):
-            if not odd or p[0] in (0, *range(224, 256)):
-                return ".".join(map(str, p))
+        x = permute(x, 256 ** (4 - keep), b"ip%d" % keep + bytes(o[:keep]), key)
+        new = [*o[:keep], *x.to_bytes(4 - keep, "big")]
+        if _range(new) == kind:
+            return ".".join(map(str, new))
 
 
 def _card(s: str, key: bytes) -> str:
@@ -156,12 +172,17 @@ def _card(s: str, key: bytes) -> str:
 
 
 def _phone(s: str, key: bytes) -> str:
+    """Numbers keep the place of their first 555, and those without get none, so the two never meet."""
     head = re.match(r"\+\d{1,3}", s)
     keep = head.end() if head else 0
     cut = s[keep:]
     fixed = cut.find("555")
-    al = [("0123456789" if c.isdigit() and not (fixed >= 0 and fixed <= i < fixed + 3) else None) for i, c in enumerate(cut)]
-    return s[:keep] + _permute_string(cut, b"phone" + s[:keep].encode(), al, key)
+    al = ["0123456789" if c.isdigit() and not (fixed >= 0 and fixed <= i < fixed + 3) else None for i, c in enumerate(cut)]
+    new = cut
+    while True:
+        new = _permute_string(new, b"phone%d" % fixed + s[:keep].encode(), al, key)
+        if new.find("555") == fixed:
+            return s[:keep] + new
 
 
 def _iban(s: str, key: bytes) -> str:
@@ -177,7 +198,10 @@ def _iban(s: str, key: bytes) -> str:
 def _token(s: str, key: bytes) -> str:
     hexed = next((a for a in _HEX if all(c in a for c in s)), None)
     if hexed and not s.isdigit():
-        return _permute_string(s, b"hex", [hexed] * len(s), key)
+        while True:
+            s = _permute_string(s, b"hex", [hexed] * len(s), key)
+            if not s.isdigit():
+                return s
     head = re.match(r"(?:AKIA|ASIA|(?:sk|pk|ghp|xox[bp])[-_])?", s).end()
     return s[:head] + _permute_string(s[head:], b"token" + s[:head].encode(), _by_class(s[head:]), key)
 
@@ -189,64 +213,97 @@ def _ssn(s: str, key: bytes) -> str:
 _MAKE = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "iban": _iban, "token": _token, "ssn": _ssn}
 
 
-def canonical(kind: str, s: str) -> str:
-    """The form under which mentions of one entity meet."""
-    if kind == "email":
-        return s.lower()
-    if kind == "name":
-        title, _, name = s.partition(" ")
-        return f"{TITLES[title.rstrip('.')]} {name}"
-    return s
-
-
 def _script(name: str) -> str:
     return "cyrillic" if re.match(r"[Ѐ-ӿ]", name) else "greek" if re.match(r"[Ͱ-Ͽἀ-῿]", name) else "latin"
 
 
-def name_surrogate(canon: str, lap: int, key: bytes = KEY) -> str:
-    """A name of the same script, gender and number of words; a later lap is told by a tail of its digits."""
-    gender, _, name = canon.partition(" ")
-    script, two = _script(name), " " in name
-    given = GIVEN.get((script, gender)) or GIVEN[(script, _MALE)] + GIVEN[(script, _FEMALE)]
-    family = FAMILY[script]
-    n = len(given) * len(family) if two else len(family)
-    x, tail = int.from_bytes(hashlib.blake2b(canon.encode(), key=key, digest_size=8).digest(), "big") % n, ""
+def name_surrogate(kind: str, gender: str, word: str, lap: int, key: bytes = KEY) -> str:
+    """A given ("g") or family ("f") name of the same script and gender; a later lap is told by a tail of its digits."""
+    script = _script(word)
+    both = GIVEN[(script, _MALE)] + GIVEN[(script, _FEMALE)]
+    own, tails = (FAMILY[script],) * 2 if kind == "f" else (GIVEN.get((script, gender)) or both, both)
+    tail = ""
+    x = int.from_bytes(hashlib.blake2b(f"{kind}{gender if kind == 'g' else ''} {word}".encode(), key=key, digest_size=8).digest(), "big")
     while lap:
-        lap, digit = divmod(lap, len(family))
-        tail = f"-{family[digit]}{tail}"
-    return f"{given[x % len(given)]} {family[x // len(given)]}{tail}" if two else family[x] + tail
+        lap, digit = divmod(lap, len(tails))
+        tail = f"-{tails[digit]}{tail}"
+    return own[x % len(own)] + tail
 
 
-def surrogate(kind: str, s: str, laps: dict[str, int], key: bytes = KEY) -> str:
+def surrogate(kind: str, s: str, names: dict[str, str], key: bytes = KEY) -> str:
+    """The surrogate of one entity; names maps "g word" and "f word" to theirs."""
     if kind != "name":
         return _MAKE[kind](s, key)
-    title = s.partition(" ")[0]
-    canon = canonical(kind, s)
-    return f"{title} {name_surrogate(canon, laps.get(canon, 0), key)}"
+    title, *words = s.split(" ")
+    return " ".join([title, *(names[f"{k} {w}"] for k, w in zip("gf"[-len(words):], words, strict=True))])
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """Spans (start, end, type) of the entities of a text, in order."""
-    if not text or not _MAY.search(text):
-        return []
-    return [(m.start(), m.end(), m.lastgroup) for m in PATTERN.finditer(text)]
+    """Spans (start, end, type) of the entities of a text that need no other mention, in order."""
+    out = []
+    for m in PATTERN.finditer(text or ""):
+        digits = re.sub(r"\D", "", m[0]) if m.lastgroup == "card" else ""
+        if not digits or int(digits[-1]) == _luhn(digits[:-1]):
+            out.append((m.start(), m.end(), m.lastgroup))
+    return out
+
+
+def names_in(text: str) -> set[str]:
+    """The titled names of a text: "g word gender" and "f word x"."""
+    out = set()
+    for a, b, kind in find(text):
+        if kind == "name":
+            title, *words = text[a:b].split(" ")
+            out.add(f"f {words[-1]} {_ANY}")
+            if len(words) > 1:
+                out.add(f"g {words[0]} {TITLES[title.rstrip('.')]}")
+    return out
+
+
+def replace(text: str, names: dict[str, str], key: bytes = KEY) -> tuple[str, int, list[str]]:
+    """A text with all its entities replaced, their number and their types."""
+    untitled = None
+    if names:
+        given, family = ("|".join(sorted(re.escape(n[2:]) for n in names if n[0] == k)) for k in "gf")
+        untitled = re.compile(rf"(?<!\w)(?:({given or '(?!)'}) )?({family})(?!\w)")
+    parts, kinds, n, at = [], set(), 0, 0
+
+    def gap(a: int, b: int) -> None:
+        nonlocal n
+        for m in untitled.finditer(text, a, b) if untitled else ():
+            parts.extend((text[a : m.start()], f"{names[f'g {m[1]}']} " if m[1] else "", names[f"f {m[2]}"]))
+            kinds.add("name")
+            n, a = n + 1, m.end()
+        parts.append(text[a:b])
+
+    for a, b, kind in find(text):
+        gap(at, a)
+        parts.append(surrogate(kind, text[a:b], names, key))
+        kinds.add(kind)
+        n, at = n + 1, b
+    gap(at, len(text))
+    return "".join(parts), n, sorted(kinds)
 
 
 def _resolve(names: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
-    """(canon, lap) of names past lap 0, so that all surrogates differ from each other and from all names.
+    """(kind, word, made): the surrogates of distinct names (kind, word, gender), different from each other and from all names.
 
     The names of a slot are ranked in parts, behind the counts of the parts before: slots
     are few, so one of them can hold a large share of all names.
     """
-    of = F.arrow_udf(lambda c: pa.array([name_surrogate(x, 0, key) for x in c.to_pylist()], pa.string()), "string")
-    made = scratch.save(names.select("canon", of("canon").alias("made"), F.pmod(F.xxhash64("canon"), F.lit(PARTS)).alias("part")), "made")
-    real = names.select(F.expr("substr(canon, 3)").alias("made")).distinct().withColumn("real", F.lit(1))
-    up = Window.partitionBy("made").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    def make(kind: pa.Array, word: pa.Array, gender: pa.Array, lap: pa.Array) -> pa.Array:
+        return pa.array([name_surrogate(*x, key) for x in zip(kind.to_pylist(), gender.to_pylist(), word.to_pylist(), lap.to_pylist(), strict=True)], pa.string())
+
+    of = F.arrow_udf(make, "string")
+    slots = scratch.save(names.select("*", of("kind", "word", "gender", F.lit(0)).alias("slot"), F.pmod(F.xxhash64("word"), F.lit(PARTS)).alias("part")), "slots")
+    real = names.select("kind", F.col("word").alias("slot"), F.lit(1).alias("real"))
+    up = Window.partitionBy("kind", "slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        made.groupBy("made", "part").agg(F.count("*").alias("n")).join(real, "made", "left")
-        .select("made", "part", (F.coalesce(F.sum("n").over(up), F.lit(0)) + F.coalesce("real", F.lit(0))).alias("before")))
-    rank = F.row_number().over(Window.partitionBy("made", "part").orderBy("canon"))
-    return scratch.save(made.join(before, ["made", "part"]).select("canon", (F.col("before") + rank - 1).alias("lap")).where("lap > 0"), "laps")
+        slots.groupBy("kind", "slot", "part").agg(F.count("*").alias("n")).join(real, ["kind", "slot"], "left")
+        .select("kind", "slot", "part", (F.coalesce(F.sum("n").over(up), F.lit(0)) + F.coalesce("real", F.lit(0))).alias("before")))
+    rank = F.row_number().over(Window.partitionBy("kind", "slot", "part").orderBy("word"))
+    ranked = slots.join(before, ["kind", "slot", "part"]).withColumn("lap", F.col("before") + rank - 1)
+    return scratch.save(ranked.select("kind", "word", of("kind", "word", "gender", "lap").alias("made")), "names")
 
 
 def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -255,32 +312,34 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     small_batches(spark, "500")
     scratch = Scratch(spark, "pii")
 
-    def names_in(text: pa.Array) -> pa.Array:
-        return pa.array([sorted({canonical(k, t[a:b]) for a, b, k in find(t) if k == "name"}) if t else [] for t in text.to_pylist()], pa.list_(pa.string()))
-
-    titled = F.col("text").rlike(rf"(?:{'|'.join(TITLES)})\.? [^a-z\d\s]")
-    named = docs.where(titled).select("doc_id", F.explode(F.arrow_udf(names_in, "array<string>")("text")).alias("canon"))
-    named = scratch.save(named, "mentions")
-    moved = _resolve(named.select("canon").distinct(), scratch, key)
-    # one short row for each document with a moved name; Spark broadcasts it only if it is small
-    by_doc = scratch.save(
-        named.join(moved, "canon").where("doc_id is not null").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("canon", "lap"))).alias("_moved")), "moved")
-
-    def replace(text: pa.Array, moved: pa.Array) -> pa.Array:
+    def list_names(text: pa.Array) -> pa.Array:
+        may = pc.match_substring_regex(text, _TITLED).to_pylist()
+        return pa.array([sorted(names_in(t)) if ok else [] for t, ok in zip(text.to_pylist(), may, strict=True)], pa.list_(pa.string()))
+
+    row = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(7)).alias("b"), F.length("text").alias("n"))
+    named = docs.select(row.alias("row"), F.explode(F.arrow_udf(list_names, "array<string>")("text")).alias("name")).withColumn("name", F.split("name", " "))
+    named = scratch.save(named.select("row", F.col("name")[0].alias("kind"), F.col("name")[1].alias("word"), F.col("name")[2].alias("gender")).distinct(), "mentions")
+    told = lambda g: F.max(F.col("gender") == g)
+    gender = F.when(told(_MALE) & ~told(_FEMALE), _MALE).when(told(_FEMALE) & ~told(_MALE), _FEMALE).otherwise(_ANY)
+    made = _resolve(named.groupBy("kind", "word").agg(gender.alias("gender")), scratch, key)
+    # one short row for each text with a name; Spark broadcasts it only if it is small
+    pair = F.struct(F.concat_ws(" ", "kind", "word").alias("k"), F.col("made").alias("v"))
+    by_row = scratch.save(named.select("row", "kind", "word").distinct().join(made, ["kind", "word"]).groupBy("row").agg(F.map_from_entries(F.collect_set(pair)).alias("_names")), "by_row")
+
+    def replace_all(text: pa.Array, names: pa.Array) -> pa.Array:
         texts, counts, kinds = [], [], []
-        for t, m in zip(text.to_pylist(), moved.to_pylist(), strict=True):
-            spans = find(t) if t else []
-            laps, at, parts = dict(m or ()), 0, []
-            for a, b, k in spans:
-                parts += [t[at:a], surrogate(k, t[a:b], laps, key)]
-                at = b
-            texts.append("".join([*parts, t[at:]]) if spans else t)
-            counts.append(len(spans))
-            kinds.append(sorted({k for _, _, k in spans}))
+        may = pc.match_substring_regex(text, _MAY).to_pylist()
+        for t, ok, m in zip(text.to_pylist(), may, names.to_pylist(), strict=True):
+            t, n, k = replace(t, dict(m or ()), key) if ok else (t, 0, [])
+            texts.append(t)
+            counts.append(n)
+            kinds.append(k)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(kinds, pa.list_(pa.string()))], names=["text", "n", "types"])
 
-    done = docs.join(by_doc, "doc_id", "left").withColumn("_r", F.arrow_udf(replace, "struct<text:string,n:int,types:array<string>>")("text", "_moved"))
-    return done.withColumn("text", F.col("_r.text")).withColumn("n_entities", F.col("_r.n")).withColumn("types", F.col("_r.types")).drop("_r", "_moved")
+    key_col, map_col, got = spare(docs, "row", "names", "replaced")
+    done = docs.withColumn(key_col, row).join(by_row.toDF(key_col, map_col), key_col, "left")
+    done = done.withColumn(got, F.arrow_udf(replace_all, "struct<text:string,n:int,types:array<string>>")("text", map_col))
+    return done.withColumns({"text": F.col(f"{got}.text"), "n_entities": F.col(f"{got}.n"), "types": F.col(f"{got}.types")}).drop(key_col, map_col, got)
 
 
 def op2_pii_surrogates(spark, sf_dir: str) -> DataFrame:
