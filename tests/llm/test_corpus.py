@@ -43,6 +43,32 @@ def test_html_rules(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "col no-sidebar", "post type-post comment-open", "content share-enabled", "search-result", "related", "widget", "discussion", "modal", "aspnetForm"])
+def test_html_names_that_are_no_noise(name):
+    for page in (f'<body><div class="menu">Home</div><div class="{name}"><h1>Head</h1><p>Some text.</div></body>', f'<form id="{name}"><main><h1>Head</h1><p>Some text.</main></form>'):
+        assert html_extract.text_of(page, None) == "Head Some text."
+
+
+@pytest.mark.parametrize("name", ["menu", "site-header", "main-nav", "cookieBanner", "cookie-notice gdpr", "comments", "post-comments", "comment-list", "ad", "ad-slot-3", "sidebar", "newsletter signup", "social-links", "footer_wrap"])
+def test_html_names_that_are_noise(name):
+    page = f'<div class="content"><h1>Head</h1><p>Some longer text than that.</p><div class="{name}"><p><a href=x>Other words</a></div><p>End.</div>'
+    assert html_extract.text_of(page, None) == "Head Some longer text than that. End."
+    assert html_extract.text_of(page.replace("class", "id"), None) == "Head Some longer text than that. End."
+
+
+def test_html_keeps_what_no_rule_names(spark):
+    page = "<article><p>Euler: <math><mi>x</mi>=2</math> end<p hidden>shown<noscript><p>plain</noscript><canvas>drawn</canvas><svg><text>label</text></svg><textarea>typed</textarea></article>"
+    assert html_extract.text_of(page, None) == "Euler: x=2 end shown plain drawnlabel"
+    deep = "<div class='a'>" * 3000 + "core" + "</div>" * 3000
+    long = "<div><p>" + "<p>".join(f"word{i} &amp; more" for i in range(60_000)) + "</div>"
+    pages = pages_of(spark, [(1, "http://d.example.com/", deep), (2, "http://l.example.com/", long), (2, "http://l.example.com/", long), (3, "http://l.example.com/x", None)])
+    pages = pages.select("*", *(F.lit(7).alias(c) for c in ("host", "path", "_host", "_path", "votes")))
+    got = html_extract.extract(pages)
+    assert got.columns == [*pages.columns, "text"] and {r["_host"] for r in got.collect()} == {7}
+    text = {r["page_id"]: r["text"] for r in got.collect()}
+    assert text[1] == "core" and text[2] == " ".join(f"word{i} & more" for i in range(60_000)) and text[3] == ""
+
+
 def test_html_table(spark, sf):
     import html
 

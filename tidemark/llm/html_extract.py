@@ -4,19 +4,25 @@ Each page's containers are scored by the share of the page's free text that they
 hold, and every container votes with its score for its generalised tag-class
 path (digits in class names become #). Votes are summed by host and path in
 Spark; the page is then extracted again from the containers on its host's winning
-path, or from its own best one where it has none on that path.
+path, or from its own best one where it has none on that path. A path is told by a
+hash of all its steps and its last step, so deep pages stay small.
 
-Left out are menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts and styles, by element name, role, and class or id words.
+Left out are menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments, scripts and styles: by element name, role, and class or id names that are
+such a word or made of such words (COMPANIONS may stand beside them: "site-header"
+is one, "has-sidebar" and "comment-open" aren't). Boxes named like things that can
+also be text (SOFT) go only where they are mostly links. A form, or a box by its
+class, that holds most of the page's free text and its heading or article is kept.
 Character references are decoded once. White space is one space, blocks are
 joined by one space, and nothing else is dropped. Null html, and pages without
 text, give the empty string. Pages without url or host vote together under the
 empty host. Unclosed elements end with their parent or the page; repeated rows
-each give a row; extra columns pass through extract().
+each give a row; extra columns pass through extract(), whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, read, small_batches
+from tidemark.llm.common import Scratch, read, small_batches, spare
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
@@ -33,7 +39,7 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.DOTALL,
 )
-_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "xmp", "noembed", "noframes", "canvas", "audio", "video"}
+_RAW = {"script", "style", "template", "iframe", "textarea", "title", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _DROP = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "datalist", "head"}
 _HOLD = {"html", "body", "main", "article", "section", "div", "td", "center", "blockquote", "table", "tbody", "tr", "ul", "ol", "dl", "figure", "details"}
@@ -42,29 +48,46 @@ _BLOCK = _HOLD | _DROP | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = (_BLOCK - {"br", "option", "legend", "caption", "td", "tr", "th"})
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
-_NOISE = set(
+_HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_NAMES = re.compile(r"[a-z0-9]+(?:[-_]+[a-z0-9]+)*")
+COMMENTS = set("comment comments commentlist commentform disqus reply replies respond".split())
+NOISE = COMMENTS | set(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside footer header masthead ad ads adv advert adverts advertisement advertising "
     "sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
-    "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion widget widgets pagination pager "
-    "toolbar login signin signup register search searchform copyright skip dialog paywall".split())
-_NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form"}
+    "pagination pager toolbar login signin signup register search searchform copyright skip dialog paywall".split())
+SOFT = set("share sharing social related recommended recommendations discussion widget widgets".split())
+#: Words that leave a name of noise words what it is.
+COMPANIONS = set(
+    "site page main top bottom left right primary secondary global inner outer wrapper wrap container box area bar block section list links link item items posts post "
+    "slot unit form button buttons icon icons bubble thread count group row col column panel mobile desktop fixed sticky js the".split())
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form"}
 _GOOD = set("article content entry post story main text body".split())
 _KEEP = {"html", "body", "main", "article"}
+_HARD, _FORM, _BY_NAME, _COMMENT, _LINKS = range(1, 6)
 
 
-def _noise(tag: str, attrs: str) -> bool:
-    if _HIDDEN.search(attrs) and tag not in ("html", "body"):
-        return True
-    for name, a, b, c in _ATTR.findall(attrs):
-        words = _WORDS.findall((a or b or c).lower())
+def _noise(tag: str, attrs: str) -> int:
+    """What kind of noise an element is, 0 for none."""
+    if tag in _DROP:
+        return _FORM if tag == "form" else _HARD
+    worst = 0
+    for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
+        value = _HUMPS.sub("-", a or b or c).lower()
         if name.lower() == "role":
-            if tag not in ("html", "body") and any(w in _NOISE_ROLES for w in words):
-                return True
-        elif any(w in _NOISE for w in words) and (tag not in _KEEP or any(w.startswith(("comment", "repl", "ad", "sponsor", "promo")) and w in _NOISE for w in words) and tag == "article"):
-            return True
-    return False
+            if tag not in _KEEP and any(w in ROLES for w in value.split()):
+                worst = max(worst, _BY_NAME)
+            continue
+        for token in _NAMES.findall(value):
+            words = [w for w in re.split(r"[-_0-9]+", token) if w]
+            said = [w for w in words if w in NOISE or w in SOFT]
+            if not said or not all(w in NOISE or w in SOFT or w in COMPANIONS for w in words):
+                continue
+            comment = any(w in COMMENTS for w in said)
+            if tag in _KEEP and not (tag == "article" and comment):
+                continue
+            worst = max(worst, _COMMENT if comment else _BY_NAME if any(w in NOISE for w in said) else _LINKS if not worst else 0)
+    return worst
 
 
 def _step(tag: str, attrs: str) -> str:
@@ -75,11 +98,12 @@ def _step(tag: str, attrs: str) -> str:
     return tag
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, str, int]]]:
-    """Runs of kept text (text, container, in a link) and containers (path, tag, parent)."""
-    runs: list[tuple[str, int, bool]] = []
-    holds: list[tuple[str, str, int]] = [("", "", -1)]
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, dropped, in a link
+def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, str, int, int]]]:
+    """Runs of kept text (text, container, in a link) and containers (path, step, parent, depth)."""
+    runs: list[tuple[str, int, bool, int]] = []  # the last is the noisy region it lies in
+    holds: list[tuple[str, str, int, int]] = [("", "", -1, 0)]
+    regions: list[list] = [[0, 0, False]]  # parent, kind, holds a heading or article
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, container, region (-1: dropped), in a link
     open_: dict[str, int] = {}
     at, end = 0, len(page)
     while at < end:
@@ -93,9 +117,9 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, str,
                 nxt = page.find("<", lt + 1)
                 lt = end if nxt < 0 else nxt
         if lt > at:
-            _, hold, dropped, link = stack[-1]
-            if not dropped:
-                runs.append((page[at:lt], hold, link))
+            _, hold, region, link = stack[-1]
+            if region >= 0:
+                runs.append((page[at:lt], hold, link, region))
         if m is None:
             at = lt
             continue
@@ -105,13 +129,15 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, str,
             continue
         tag, attrs = tag.lower(), m[3] or m[6] or ""
         block = tag in _BLOCK
-        if block and not stack[-1][2]:
-            runs.append((" ", stack[-1][1], False))
+        if block and stack[-1][2] >= 0:
+            runs.append((" ", stack[-1][1], False, stack[-1][2]))
         if m[1] or m[4]:  # an end tag closes down to its element, if that is open
             if open_.get(tag, 0):
                 while True:
-                    closed = stack.pop()[0]
+                    closed, hold, region, _ = stack.pop()
                     open_[closed] -= 1
+                    if closed in _BLOCK and not block and region >= 0:
+                        runs.append((" ", hold, False, region))
                     if closed == tag:
                         break
             continue
@@ -133,43 +159,67 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, str,
         if ends and stack[-1][0] in ends:
             while stack[-1][0] in ends:
                 open_[stack.pop()[0]] -= 1
-        _, hold, dropped, link = stack[-1]
-        if not dropped:
-            dropped = tag in _DROP or bool(attrs) and _noise(tag, attrs)
-            if tag in _HOLD and not dropped:
-                holds.append((f"{holds[hold][0]}/{_step(tag, attrs)}", tag, hold))
+        _, hold, region, link = stack[-1]
+        if region >= 0:
+            kind = _noise(tag, attrs)
+            if kind == _HARD:
+                region = -1
+            elif kind:
+                regions.append([region, kind, False])
+                region = len(regions) - 1
+            if tag in ("h1", "article", "main") and kind != _COMMENT:
+                up = region
+                while up and not regions[up][2]:
+                    regions[up][2] = True
+                    up = regions[up][0]
+            if tag in _HOLD and region >= 0:
+                path, step = holds[hold][0], _step(tag, attrs)
+                holds.append((hashlib.blake2b(f"{path}/{step}".encode(), digest_size=8).hexdigest() + "/" + step, step, hold, holds[hold][3] + 1))
                 hold = len(holds) - 1
-        stack.append((tag, hold, dropped, link or tag == "a"))
+        stack.append((tag, hold, region, link or tag == "a"))
         open_[tag] = open_.get(tag, 0) + 1
-    return runs, holds
+    return _kept(runs, regions), holds
+
+
+def _kept(runs: list[tuple[str, int, bool, int]], regions: list[list]) -> list[tuple[str, int, bool]]:
+    """The runs outside the regions that are noise."""
+    free, linked = [0] * len(regions), [0] * len(regions)
+    for text, _, link, region in runs:
+        (linked if link else free)[region] += len(text) - text.count(" ")
+    for i in range(len(regions) - 1, 0, -1):  # regions follow those around them
+        free[regions[i][0]] += free[i]
+        linked[regions[i][0]] += linked[i]
+    drop = [False] * len(regions)
+    for i, (parent, kind, heading) in enumerate(regions):
+        if i:
+            most = heading and 2 * free[i] > free[0]
+            drop[i] = drop[parent] or kind == _COMMENT or (linked[i] >= free[i] if kind == _LINKS else not most)
+    return [(text, hold, link) for text, hold, link, region in runs if not drop[region]]
 
 
 def scores(page: str) -> dict[str, float]:
-    """Votes of a page: the score of each path that holds a good part of its free text."""
-    runs, holds = parse(page)
-    free, linked, depth = [0] * len(holds), [0] * len(holds), [h[0].count("/") for h in holds]
+    """Votes of a page: the score of each path by its part of the free text."""
+    return _scores(*parse(page))
+
+
+def _scores(runs: list[tuple[str, int, bool]], holds: list[tuple[str, str, int, int]]) -> dict[str, float]:
+    free, linked = [0] * len(holds), [0] * len(holds)
     for text, hold, link in runs:
-        n = len(text) - text.count(" ")
-        free[hold] += 0 if link else n
-        linked[hold] += n if link else 0
+        (linked if link else free)[hold] += len(text) - text.count(" ")
     for i in range(len(holds) - 1, 0, -1):  # children follow their parents
         free[holds[i][2]] += free[i]
         linked[holds[i][2]] += linked[i]
     by: dict[str, list] = {}
-    for i, (path, tag, _) in enumerate(holds):
-        if i:
-            v = by.setdefault(path, [0, 0, tag, depth[i]])
+    for i, (path, step, _, depth) in enumerate(holds):
+        if i and free[i]:
+            v = by.setdefault(path, [0, 0, step, depth])
             v[0] += free[i]
             v[1] += linked[i]
-    total = free[0] or 1
     out = {}
-    for path, (f, k, tag, d) in by.items():
-        share = f / total
-        if share < 0.2:
-            continue
-        last = path.rsplit("/", 1)[1].split(".")
-        bonus = 1.6 if tag in ("article", "main") else 1.3 if any(w in _GOOD for c in last[1:] for w in _WORDS.findall(c)) else 1.0
-        out[path] = share**2 * (1 - k / (f + k)) * bonus * (1 + 0.01 * min(d, 20))
+    for path, (f, k, step, d) in by.items():
+        tag, *classes = step.split(".")
+        bonus = 1.6 if tag in ("article", "main") else 1.3 if any(w in _GOOD for c in classes for w in _WORDS.findall(c)) else 1.0
+        out[path] = min(1.0, f / free[0]) ** 2 * (1 - k / (f + k)) * bonus * (1 + 0.01 * min(d, 20))
     return out
 
 
@@ -178,7 +228,7 @@ def text_of(page: str, path: str | None) -> str:
     runs, holds = parse(page)
     wanted = {i for i, h in enumerate(holds) if path and h[0] == path}
     if not wanted:
-        votes = scores(page)
+        votes = _scores(runs, holds)
         best = max(votes, key=lambda p: (votes[p], p), default=None)
         wanted = {i for i, h in enumerate(holds) if h[0] == best} or {0}
     for i, h in enumerate(holds):
@@ -211,13 +261,14 @@ def extract(pages: DataFrame, out: str = "text") -> DataFrame:
     """
     spark = pages.sparkSession
     small_batches(spark, "500")
-    paths = Scratch(spark, "paths").save(host_paths(pages), "paths").select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    host, path = spare(pages, "host", "path")
+    paths = Scratch(spark, "paths").save(host_paths(pages), "paths").select(F.col("host").alias(host), F.col("path").alias(path))
 
     def take(html: pa.Array, path: pa.Array) -> pa.Array:
         return pa.array([text_of(h, p) if h else "" for h, p in zip(html.to_pylist(), path.to_pylist(), strict=True)], pa.string())
 
-    joined = pages.withColumn("_host", host_of(F.col("url"))).join(paths, "_host", "left")
-    return joined.withColumn(out, F.arrow_udf(take, "string")("html", "_path")).drop("_host", "_path")
+    joined = pages.withColumn(host, host_of(F.col("url"))).join(paths, host, "left")
+    return joined.withColumn(out, F.arrow_udf(take, "string")("html", path)).drop(host, path)
 
 
 def op1_html_extract(spark, sf_dir: str) -> DataFrame:
