@@ -58,7 +58,7 @@ def test_html_names_that_are_noise(name):
 
 def test_html_keeps_what_no_rule_names(spark):
     page = "<article><p>Euler: <math><mi>x</mi>=2</math> end<p hidden>shown<noscript><p>plain</noscript><canvas>drawn</canvas><svg><text>label</text></svg><textarea>typed</textarea></article>"
-    assert html_extract.text_of(page, None) == "Euler: x=2 end shown plain drawnlabel"
+    assert html_extract.text_of(page, None) == "Euler: x=2 end shown plaindrawnlabel"
     deep = "<div class='a'>" * 3000 + "core" + "</div>" * 3000
     long = "<div><p>" + "<p>".join(f"word{i} &amp; more" for i in range(60_000)) + "</div>"
     pages = pages_of(spark, [(1, "http://d.example.com/", deep), (2, "http://l.example.com/", long), (2, "http://l.example.com/", long), (3, "http://l.example.com/x", None)])
