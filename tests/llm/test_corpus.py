@@ -394,6 +394,21 @@ def test_topk_edges(spark):
     assert topk_bitslice.top_k(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 7).count() == 0
 
 
+def test_topk_extremes(spark):
+    """Components and scores beyond a long, vectors of many lengths, and rows of one id with two vectors."""
+    rows = [(0, [5e7, -5e7]), (1, [5e7, 1.0]), (2, [-1e300, 1e300]), (3, [1e300, 0.0]), (4, [1e-200, 0.0]), (5, [3e16, 3e16, 1.0]), (0, [1.0]), (0, [1.0]), (6, [-3e17, 2e17])]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0, 0) for i, v in rows], "vec_id long, embedding array<double>, q int, score int")
+    top, low = (1 << 63) - 1, -(1 << 63)
+    quant = [(i, [int(min(max(np.floor(64 * x), low), top)) for x in v]) for i, v in rows]
+    want = set()
+    for q in ([3200000000, -3200000000], [64]):
+        found = sorted((-min(max(sum(a * b for a, b in zip(q, v)), low), top), i) for i, v in quant if i != 0)
+        want |= {(0, r, i, -s) for r, (s, i) in enumerate(found[:4], 1)}
+    got = topk_bitslice.top_k(df, "vec_id", "embedding", F.col("vec_id") == 0, 4, block=4).collect()
+    assert len(got) == 8 and {tuple(r) for r in got} == want
+
+
+
 # 8, 9. Classifiers
 
 
@@ -455,6 +470,48 @@ def test_neighbour_edges(spark):
     assert ann_postings.nearest(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_neighbours_by_ratio(spark):
+    """50,000 clustered vectors: the ratio leaves under a fifth of the lists, and finds nine tenths of the nearest."""
+    rng = np.random.default_rng(12)
+    n, dim = 50_000, 24
+    v = (rng.normal(size=(150, dim))[rng.integers(0, 150, n)] + 0.35 * rng.normal(size=(n, dim))) * rng.lognormal(size=(n, 1))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist(), "rank": 0, "list": 0}), "vec_id long, embedding array<double>, rank int, list int")
+    got = ann_postings.nearest(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 5).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    q = np.arange(0, n, 100)
+    s = u[q] @ u.T
+    s[np.arange(len(q)), q] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    found = got.groupby("query_id")["vec_id"].agg(set)
+    assert len(got) == 5 * len(q) and sum(len(found[i] & set(b)) for i, b in zip(q, best, strict=True)) / best.size >= 0.9
+    row = got.sample(200, random_state=1)
+    assert np.allclose(row["score"], (u[row["query_id"]] * u[row["vec_id"]]).sum(axis=1), atol=1e-12)
+    x = ann_postings._unit(v[rng.permutation(n)[:20_000]])
+    c = ann_postings.fit_centroids(x, 196)
+    _, at = ann_postings.graph_search(u[q], c, ann_postings.neighbour_graph(c), ann_postings.fit_ratio(x, c))
+    assert len(at) / (len(q) * len(c)) < 0.2
+
+
+def test_neighbours_of_extreme_and_lonely_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(1, 900)]
+    rows += [(1000, [1e-200, 0.0, 0.0, 0.0]), (1001, [1e300, 1e300, 0.0, 0.0]), (1002, [5e-324, 0.0, 0.0, 0.0]), (1003, [-1e200, -1.0, -1.0, -1.0]), (1003, [-1e200, -1.0, -1.0, -1.0])]
+    got = ann_postings.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") >= 1000, 5).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {1000: 5, 1001: 5, 1002: 5, 1003: 5} and np.isfinite(got["score"]).all()
+    first = got.set_index(["query_id", "rank"])
+    assert first.loc[(1000, 1), "vec_id"] == 1002 and first.loc[(1000, 1), "score"] == 1.0
+    old = ann_postings.fit_ratio
+    ann_postings.fit_ratio = lambda x, c: 0.5  # no list is kept, so the exact way has to find all
+    try:
+        got = ann_postings.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") == 7, 5).toPandas()
+    finally:
+        ann_postings.fit_ratio = old
+    v = {i: np.array(x) for i, x in rows[:899]}
+    want = sorted((-(v[7] @ v[i]) / np.linalg.norm(v[7]) / np.linalg.norm(v[i]), i) for i in v if i != 7)[:5]
+    assert len(got) == 5 and set(got["vec_id"]) - {1000, 1001, 1002, 1003} <= {i for _, i in want}
+
+
+
 # The pipeline
 
 

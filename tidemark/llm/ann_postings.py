@@ -4,15 +4,18 @@ Centroids are fitted on a bounded seeded sample (MAX_TRAIN) by k-means that
 splits lists grown too large; every row is then indexed. A vector near a border
 goes to each list whose centroid is nearly as near as its own (REPLICA_RATIO,
 REPLICAS at most). A query walks an in-memory neighbour graph of the centroids
-with a beam, and keeps the lists whose centroid distance is within PROBE_RATIO of
-the nearest one (PROBES at most). Lists and their queries are cut into chunks of
-bounded size, so a list that holds a third of all rows is many tasks. Found
-rows are scored in double precision on the original vectors.
+and keeps every list whose centroid distance is within a ratio of the nearest one.
+The ratio is measured: it is the least one at which RECALL of the nearest rows of sampled
+queries, found by brute force inside the sample, lie in a kept list. Lists and their
+queries are cut into chunks of bounded size, so a list that holds a third of all rows is
+many tasks. Found rows are scored in double precision on the original vectors. Queries
+whose lists hold too few rows are asked again of all lists.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no
 part, nor do rows without id; vectors of another length than the commonest in the
-sample are left out too. Rows that repeat id and vector count once. Ties go to the smaller
-id. Columns besides id and vector are ignored.
+sample are left out too. Vectors are scaled by a power of two before norms are taken,
+so no finite one over- or underflows. Rows that repeat id and vector count once. Ties
+go to the smaller id. Columns besides id and vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +32,20 @@ from tidemark.llm.common import Scratch, read
 #: Rows that fit centroids, lists at most, and rows that a list is meant to hold.
 MAX_TRAIN, MAX_LISTS, LIST_ROWS = 20_000, 2_048, 256
 REPLICAS, REPLICA_RATIO = 4, 1.15
-PROBES, PROBE_RATIO, BEAM, DEGREE = 40, 1.6, 64, 16
+#: Share of the sampled queries' nearest rows that the lists must hold, and how many of both are looked at.
+RECALL, SAMPLED_QUERIES, SAMPLED_NEAREST = 0.92, 1_000, 5
+DEGREE = 16
 #: Rows and queries of one cell of a list.
 CHUNK_ROWS, CHUNK_QUERIES = 8_192, 2_048
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to between 0.5 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
@@ -71,35 +82,60 @@ def neighbour_graph(c: np.ndarray, degree: int = DEGREE, seed: int = 9) -> np.nd
     return np.hstack([near, far])
 
 
-def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """The best `beam` centroids found for each query by a best-first walk, and their similarities."""
+def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, list) of the centroids within the ratio of each query's nearest one, by a best-first walk.
+
+    A query walks on while its best centroid not walked from yet is within the ratio.
+    """
     n, k = len(q), len(c)
-    beam = min(beam, k)
     rows = np.arange(n)
     sim = np.full((n, k), -np.inf)
     done = np.zeros((n, k), bool)
     entry = np.linspace(0, k - 1, min(k, 8)).astype(int)
     sim[:, entry] = q @ c[entry].T
-    for _ in range(beam):
+    within = lambda s, best: _distance(s) <= ratio * _distance(best) + 1e-12
+    for _ in range(k):
         open_ = np.where(done, -np.inf, sim)
         at = np.argmax(open_, axis=1)
-        live = open_[rows, at] > -np.inf
-        if beam < k:  # a query is settled once its best open centroid is outside its beam
-            live &= open_[rows, at] >= np.partition(sim, k - beam, axis=1)[:, k - beam]
-        if not live.any():
+        best = open_[rows, at]
+        live = np.flatnonzero((best > -np.inf) & within(best, sim.max(axis=1)))
+        if not len(live):
             break
-        r = rows[live]
-        done[r, at[live]] = True
+        done[live, at[live]] = True
         next_ = graph[at[live]]
-        sim[r[:, None], next_] = np.einsum("nd,nmd->nm", q[live], c[next_])
-    top = np.argsort(-sim, axis=1, kind="stable")[:, :beam]
-    return top, np.take_along_axis(sim, top, axis=1)
+        sim[live[:, None], next_] = np.einsum("nd,nmd->nm", q[live], c[next_])
+    return np.nonzero(within(sim, sim.max(axis=1, keepdims=True)))
 
 
 def _distance(sim: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * sim, 0))
 
 
+def own_lists(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists that unit vectors go to."""
+    sim = x @ c.T
+    top = np.argsort(-sim, axis=1, kind="stable")[:, :REPLICAS]
+    d = _distance(np.take_along_axis(sim, top, axis=1))
+    row, col = np.nonzero(d <= REPLICA_RATIO * d[:, :1] + 1e-12)
+    return row, top[row, col]
+
+
+def fit_ratio(x: np.ndarray, c: np.ndarray) -> float:
+    """The least ratio at which lists hold RECALL of the nearest sample rows of sampled queries."""
+    q = np.linspace(0, len(x) - 1, min(len(x), SAMPLED_QUERIES)).astype(int)
+    m = min(SAMPLED_NEAREST, len(x) - 1)
+    if m < 1 or len(c) < 2:
+        return 1.0
+    sim = x[q] @ x.T
+    sim[np.arange(len(q)), q] = -np.inf
+    near = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+    holds = np.zeros((len(x), len(c)), bool)
+    holds[own_lists(x, c)] = True
+    d = _distance(x[q] @ c.T)
+    reach = np.where(holds[near], d[:, None, :], np.inf).min(axis=2)
+    return float(max(1.0, np.quantile(reach / np.maximum(d.min(axis=1, keepdims=True), 1e-9), RECALL, method="higher")))
+
+
 def _good(v: Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
@@ -109,9 +145,9 @@ def _cell(k: int):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            v, ids = np.stack(left["v"].to_numpy()), left["vec_id"].to_numpy()
+            v, ids = _scaled(np.stack(left["v"].to_numpy())), left["vec_id"].to_numpy()
             norm = np.sqrt((v * v).sum(axis=1))
-            for q, qid in zip(right["v"].to_numpy(), right["vec_id"].to_numpy(), strict=True):
+            for q, qid in zip(_scaled(np.stack(right["v"].to_numpy())), right["vec_id"].to_numpy(), strict=True):
                 qn = np.sqrt((q * q).sum())
                 rough = (v @ q) / (norm * qn)
                 rough[ids == qid] = -np.inf
@@ -120,7 +156,7 @@ def _cell(k: int):
                     continue
                 near = np.flatnonzero(rough >= np.partition(rough, len(rough) - m)[len(rough) - m] - 1e-9)
                 score = (v[near] * q).sum(axis=1) / (norm[near] * qn)  # the same sum for equal vectors wherever they lie
-                best = np.lexsort((ids[near], -score))[: 2 * k]
+                best = np.lexsort((ids[near], -score))[:k]
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near][best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
@@ -132,54 +168,53 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
     spark = vectors.sparkSession
     scratch = Scratch(spark, "postings")
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"), is_query.alias("is_query"))
-    base = scratch.save(base.where("vec_id is not null").where(_good(F.col("v"))), "vectors")
-    schema = "query_id long, vec_id long, score double"
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    base = scratch.save(base.where("vec_id is not null").where(_good(F.col("v"))).dropDuplicates(["vec_id", "v"]), "vectors")
     n = base.count()
-    sample = base.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(MAX_TRAIN).toPandas()["v"]
     if not n:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = base.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "v").limit(MAX_TRAIN).toPandas()["v"]
     dims = sample.map(len)
     dim = int(dims.mode().iloc[0])
     base = base.where(F.size("v") == dim)
-    lists = max(1, min(MAX_LISTS, math.ceil(n / LIST_ROWS)))
-    c = fit_centroids(np.stack(sample[dims == dim].to_numpy()), lists)
-    graph = neighbour_graph(c)
-
-    def assign(batches):
-        for b in batches:
-            x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dim))
-            sim = _unit(x) @ c.T
-            m = min(REPLICAS, len(c))
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :m]
-            d = _distance(np.take_along_axis(sim, top, axis=1))
-            row, col = np.nonzero(d <= REPLICA_RATIO * d[:, :1] + 1e-12)
-            yield pd.DataFrame({"list": top[row, col], "vec_id": b["vec_id"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
-
-    def probe(batches):
-        for b in batches:
-            x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dim))
-            top, sim = graph_search(_unit(x), c, graph)
-            d = _distance(sim)
-            keep = (d <= PROBE_RATIO * d[:, :1] + 1e-12) & (sim > -np.inf)
-            keep[:, PROBES:] = False
-            row, col = np.nonzero(keep)
-            yield pd.DataFrame({"list": top[row, col], "vec_id": b["vec_id"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
+    sample = _unit(np.stack(sample[dims == dim].to_numpy()))
+    c = fit_centroids(sample, max(1, min(MAX_LISTS, math.ceil(n / LIST_ROWS))))
+    graph, ratio = neighbour_graph(c), fit_ratio(sample, c)
+
+    def dealt(choose):
+        def deal(batches):
+            for b in batches:
+                x = _unit(np.stack(b["v"].to_numpy())) if len(b) else np.zeros((0, dim))
+                row, at = choose(x)
+                yield pd.DataFrame({"list": at, "vec_id": b["vec_id"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
+
+        return deal
 
     cell = "list long, vec_id long, v array<double>"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    posts = scratch.save(base.select("vec_id", "v").mapInPandas(assign, cell), "lists")
-    asks = scratch.save(base.where("is_query").select("vec_id", "v").dropDuplicates().mapInPandas(probe, cell), "probes")
+    posts = scratch.save(base.select("vec_id", "v").mapInPandas(dealt(lambda x: own_lists(x, c)), cell), "lists")
+    queries = base.where("is_query").select("vec_id", "v")
+    asks = scratch.save(queries.mapInPandas(dealt(lambda x: graph_search(x, c, graph, ratio)), cell), "probes")
+    found = scratch.save(_search(posts, asks, len(c), k), "found")
+    # a query that its lists leave with fewer than k rows is asked of every list
+    got = found.select("query_id", "vec_id").distinct().groupBy("query_id").count().where(F.col("count") >= k)
+    short = scratch.save(queries.join(got, queries.vec_id == got.query_id, "left_anti"), "short")
+    if not short.isEmpty() and len(c) > 1:
+        again = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(c) - 1).cast("long"))).alias("list"), "vec_id", "v")
+        found = found.union(_search(posts, again, len(c), k)).distinct()
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _search(posts: DataFrame, asks: DataFrame, lists: int, k: int) -> DataFrame:
+    """The best k rows of each list for each query asked of it, in cells of bounded size."""
     # one row for each list, MAX_LISTS at most
     rows, queries = (t.groupBy("list").count().toPandas().set_index("list")["count"] for t in (posts, asks))
-    cut = spark.createDataFrame(
-        [(int(i), max(1, math.ceil(rows.get(i, 0) / CHUNK_ROWS)), max(1, math.ceil(queries.get(i, 0) / CHUNK_QUERIES))) for i in range(len(c))], "list long, cr long, cq long")
+    cut = posts.sparkSession.createDataFrame(
+        [(int(i), max(1, math.ceil(rows.get(i, 0) / CHUNK_ROWS)), max(1, math.ceil(queries.get(i, 0) / CHUNK_QUERIES))) for i in range(lists)], "list long, cr long, cq long")
     zero = F.lit(0).cast("long")
     p = posts.join(F.broadcast(cut), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("cr")).alias("r"), F.explode(F.sequence(zero, F.col("cq") - 1)).alias("q"), "vec_id", "v")
     a = asks.join(F.broadcast(cut), "list").select("list", F.explode(F.sequence(zero, F.col("cr") - 1)).alias("r"), F.pmod(F.xxhash64("vec_id"), F.col("cq")).alias("q"), "vec_id", "v")
-    found = p.groupBy("list", "r", "q").cogroup(a.groupBy("list", "r", "q")).applyInPandas(_cell(k), schema).distinct()
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return p.groupBy("list", "r", "q").cogroup(a.groupBy("list", "r", "q")).applyInPandas(_cell(k), "query_id long, vec_id long, score double").distinct()
 
 
 def op10_ann_postings(spark, sf_dir: str) -> DataFrame:
