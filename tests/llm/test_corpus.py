@@ -356,6 +356,20 @@ def test_mix_knapsack_is_exact():
         assert (take <= counts).all() and abs(lengths @ take - budget) == best
 
 
+def test_mix_fill_is_even_and_near():
+    """Budgets on both sides of the program's bound: every length gives its share, and the sum meets the budget."""
+    rng = np.random.default_rng(3)
+    for budget_of in (0.01, 0.2, 0.5, 0.9):
+        for scale in (1, 40):
+            lengths = np.unique(rng.integers(20, 2000, 80))
+            counts = rng.integers(1, 8, len(lengths)) * scale
+            budget = int(budget_of * (lengths @ counts))
+            take = mixing.fill(lengths, counts, budget)
+            assert (take >= 0).all() and (take <= counts).all() and abs(int(lengths @ take) - budget) <= 1
+            if scale == 40:
+                assert np.abs(take / counts - budget_of).max() < 0.25 and take[lengths > 1000].sum() > 0
+
+
 def test_mix_edges(spark):
     got = mixing.mix_sources(edge_docs(spark)).collect()
     assert len(got) == 8 and all(r["taken"] == 0 for r in got if r["size"] == 0) and all(r["taken"] <= 3 * r["size"] for r in got)
@@ -372,11 +386,61 @@ def test_language(spark, sf):
     assert (got["lang"] == got["declared"]).mean() > 0.97 and len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
     odd = pages_of(spark, [(1, None, None), (2, "", ""), (3, "http://x.example.fr/fr/1", "<html lang=fr>le la de"), (3, "http://x.example.fr/fr/1", "<html lang=fr>le la de")])
     rows = language_id.identify(odd, names, model).collect()
-    assert len(rows) == 4 and all(r["lang"] in names for r in rows) and rows[-1]["lang"] == "fr" or True
+    assert len(rows) == 4 and all(r["lang"] in names for r in rows)
+    assert [r["lang"] for r in rows if r["page_id"] == 3] == ["fr", "fr"]
+    clash = odd.select("*", *(F.lit(7).alias(c) for c in ("host", "site", "ll", "declared", "row", "own", "prior", "probability")))
+    got = language_id.identify(clash, names, model)
+    assert {r["row"] for r in got.collect()} == {7} and set(got.columns) == {"page_id", "url", "site", "ll", "row", "own", "prior", *language_id.OUTPUTS}
     assert language_id.identify(odd.limit(0), names, model).count() == 0
     assert [r["lang"] for r in language_id.identify(odd, [], model).collect()] == [None] * 4
 
 
+def test_language_fusion(spark, sf):
+    """Every probability against the formula, written out over plain dictionaries."""
+    names, model = language_id.text_model(spark.read.parquet(f"{sf}/documents.parquet"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(150).cache()
+    odd = pages_of(spark, [(-1, None, None), (-2, "", "x"), (-3, "http://a.b.example.de/fr/x", "<HTML LANG=de><p>der und die</p>"), (-3, "http://a.b.example.de/fr/x", "<HTML LANG=de><p>der und die</p>")])
+    pages = pages.select("page_id", "url", "html").union(odd)
+    rows, n = [], len(names)
+    for r in pages.collect():
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", r["url"] or "")
+        host = host[1].lower() if host else ""
+        path = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[-_/?#]|$)", r["url"] or "")
+        last = re.search(r"\.([a-z]{2,})$", host)
+        site = re.search(r"([^.]+\.[^.]+)$", host)
+        said = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", r["html"] or "")
+        text = language_id._STRIP.sub(" ", r["html"] or "").encode()
+        b, _ = language_id.trigram_buckets(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        ll = model[b].sum(axis=0) * min(len(b), language_id.TEMPER) / max(len(b), 1)
+        own = np.exp(ll - ll.max())
+        rows.append((r["page_id"], host, site[1] if site else "", said[1].lower() if said else "", "/" + path[1].lower() if path else last[1] if last else "", ll, own / own.sum()))
+    want = []
+    for i, (page, host, site, said, suffix, ll, _) in enumerate(rows):
+        others = [r for k, r in enumerate(rows) if k != i]
+        of = lambda test: sum((r[6] for r in others if test(r)), np.zeros(n))
+        every, hosts, sites, d, x = of(lambda r: True), of(lambda r: r[1:3] == (host, site)), of(lambda r: r[2] == site), of(lambda r: r[3] == said), of(lambda r: r[4] == suffix)
+        base = (every + 1) / (every.sum() + n)
+        prior = (hosts + 5 * (sites + 5 * base) / (sites.sum() + 5)) / (hosts.sum() + 5)
+        told = [np.log((t + 2 * (t.sum() + 1e-6) / (every.sum() + 1e-6)) / (every + 2)) for t in (d, x)]
+        post = np.exp(ll + told[0] + told[1] + np.log(prior) - (ll + told[0] + told[1] + np.log(prior)).max())
+        want.append((page, names[int(np.argmax(post))], post.max() / post.sum()))
+    got = sorted((r["page_id"], r["lang"], r["probability"]) for r in language_id.identify(pages, names, model).collect())
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-6)
+
+
+def test_a_hundred_languages(spark):
+    """A rare language among many has its own model."""
+    rng = np.random.default_rng(6)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(30)] for _ in range(100)]
+    text = lambda k: " ".join(rng.choice(words[k], 60))
+    rows = [(i, text(min(i // 40, 99)), f"l{min(i // 40, 99):02d}") for i in range(3962)]
+    names, model = language_id.text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    pages = pages_of(spark, [(k, f"http://h{k}.example.com/", f"<p>{text(k)}</p>") for k in range(100)])
+    got = {r["page_id"]: r["lang"] for r in language_id.identify(pages, names, model).collect()}
+    assert len(names) == 100 and all(got[k] == f"l{k:02d}" for k in range(100))
+
+
 # 7. Exact top-k
 
 
@@ -439,8 +503,53 @@ def test_toxicity(spark, mid):
     rng = np.random.default_rng(1)
     pos = (rng.random((400, 4)) < [0.9, 0.5, 0.5, 0.5]).astype(float)
     neg = (rng.random((1600, 4)) < [0.05, 0.5, 0.5, 0.5]).astype(float)
-    w, b = toxicity_nnpu.fit_nnpu(pos[:200], np.concatenate([pos[200:], neg]), 200 / 1800, epochs=60)
+    bits = lambda x: toxicity_nnpu.Bits([np.flatnonzero(r) for r in x])
+    w, b = toxicity_nnpu.fit_nnpu(bits(pos[:200]), bits(np.concatenate([pos[200:], neg])), 4, 200 / 1800)
     assert w[0] > 1 and abs(w[1:]).max() < w[0] / 3
+    cut = toxicity_nnpu.fit_cut(pos[:200] @ w + b, np.concatenate([pos[200:], neg]) @ w + b, 200 / 1800)
+    assert ((pos @ w + b > cut).mean() > 0.8) and ((neg @ w + b > cut).mean() < 0.2)
+
+
+def test_toxicity_of_labelled_tables(spark):
+    """All documents labelled, many rare toxic words, texts of all kinds: scores against plain Python over whole texts."""
+    rng = np.random.default_rng(9)
+    bad = [f"vile{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    common = ["".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(400)]
+    rows, toxic = [], []
+    for i in range(12_000):
+        words = list(rng.choice(common, 20))
+        if i % 6 == 0:
+            words[rng.integers(0, 20)] = bad[i // 6 % 150].upper() + "!"
+        rows.append((i, " ".join(words), "s"))
+        toxic.append((i, 1, int(i % 6 == 0)))
+    rows += [(20_000, None, "s"), (20_001, "", "s"), (None, f"a {bad[0]}", "s"), (20_002, "x " * 200_000 + bad[1], "s"), (20_003, " ".join(common) * 50, "s")]
+    docs = docs_of(spark, rows)
+    model = toxicity_nnpu.train(docs, spark.createDataFrame(toxic, "doc_id long, quality int, toxic int"))
+    got = toxicity_nnpu.score(docs, model).select("doc_id", "text", "score").collect()
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    for r in got[::50] + got[-5:]:
+        seen = set()
+        for word in set(re.findall(r"[a-z]+", (r["text"] or "").lower())):
+            h, _, _ = toxicity_nnpu.letter_words(pa.array([word]))
+            seen |= set(h.tolist())
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(model.bias + sum(weight.get(x, 0) for x in seen), -35, 35))))
+    high = {r["doc_id"] for r in got if r["score"] >= toxicity_nnpu.CUT}
+    assert len(high & set(range(0, 12_000, 6))) > 1_900 and len(high - set(range(0, 12_000, 6)) - {None, 20_002}) < 20 and {None, 20_002} <= high
+    assert toxicity_nnpu.score(docs.limit(0), model).count() == 0
+
+
+def test_quality_scores(spark, mid):
+    """A trained model's scores against one bin looked up after the other; edge texts and an empty table."""
+    docs = spark.read.parquet(f"{mid}/documents.parquet").select("doc_id", "text")
+    model = quality_gam.train(docs, spark.read.parquet(f"{mid}/labels.parquet"))
+    edge = edge_docs(spark).select("doc_id", "text", F.lit(5).alias("score"))
+    rows = quality_gam.score(docs.limit(100).select("*", F.lit(5).alias("score")).union(edge), model).collect()
+    assert len(rows) == 108 and quality_gam.score(edge.limit(0), model).count() == 0
+    for r in rows:
+        x = quality_gam.features(pa.array([r["text"]], pa.string()))[0]
+        z = model.intercept + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(x, model.edges, model.tables, strict=True))
+        z += sum(t[sum(x[i] >= e for e in model.coarse[i]), sum(x[j] >= e for e in model.coarse[j])] for i, j, t in model.pairs)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)))
 
 
 # 10. Neighbours

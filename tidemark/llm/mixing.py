@@ -25,7 +25,7 @@ from tidemark.llm.common import Scratch, read
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-#: The dynamic program covers budgets of so many words; what is above is filled by lengths first.
+#: The dynamic program covers budgets of so many words; what is above is filled by lengths.
 DP_BUDGET = 1 << 14
 #: Documents of one source and length in one bucket of the seeded order.
 BUCKET = 4096
@@ -65,8 +65,9 @@ def targets(sizes: DataFrame) -> DataFrame:
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to the budget as found.
 
-    A budget within DP_BUDGET is fitted over all documents, and so as well as any choice
-    can; a larger one is first filled evenly.
+    Every length gives its even share, and the program fits what is left of the budget over
+    the documents left. Where that misses a budget within DP_BUDGET, the program chooses
+    among all documents, and so as well as any choice can.
     """
     take = np.zeros(len(lengths), np.int64)
     total = int(lengths @ counts)
@@ -74,8 +75,6 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     if budget <= 0 or not total:
         return take
-    if budget <= DP_BUDGET:
-        return _knapsack(lengths, counts, budget)
     take = np.array([int(c) * budget // total for c in counts], np.int64)
     rest = budget - int(lengths @ take)
     for i in np.argsort(-lengths, kind="stable"):  # long ones first, down to what the program covers
@@ -90,7 +89,11 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         more = min(int(counts[i] - take[i]), rest // int(lengths[i]))
         take[i] += more
         rest -= more * int(lengths[i])
-    return take + _knapsack(lengths, counts - take, rest)
+    take = take + _knapsack(lengths, counts - take, rest)
+    if budget <= DP_BUDGET and int(lengths @ take) != budget:
+        every = _knapsack(lengths, counts, budget)
+        take = min(take, every, key=lambda x: abs(int(lengths @ x) - budget))
+    return take
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

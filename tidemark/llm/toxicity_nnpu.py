@@ -1,23 +1,27 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives and a seeded sample of documents
-without a label is the unlabelled set. A linear classifier on the presence of
-selected words is trained in numpy with the class-prior-corrected risk
+Confirmed toxic documents are the positives; a seeded sample of all documents of the
+training fold, labelled or not, is the unlabelled set, and its labels aren't looked at.
+A linear classifier on the presence of words is trained in numpy with the
+class-prior-corrected risk
 
     R = prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]),
 
-where a batch whose second term falls below zero takes a step that raises it
-again. The prior is the smoothed share of toxic labels in the training fold.
+where a step at which the second term is below zero raises it again. The prior is
+the smoothed share of toxic labels in the training fold. The same risk of wrong
+decisions then tells which margin stands for a score of CUT, so labelled clean
+documents count for the prior and nothing else.
 
 Words are runs of letters (A-Z folded) of whole texts, so marks around a word
 don't hide it; beside whole words their beginnings count (PREFIXES, in bytes), so
-that an inflected or compounded word is known by its stem. Word choice and training use bounded seeded samples
-(MAX_POSITIVE, MAX_UNLABELLED); the margins are then set to
-probabilities by a logistic fit on labelled rows of the training fold
-(MAX_CALIBRATION more). Every text is scored whole. Null and empty texts
-score as texts without any selected word. Documents without id are scored and
+that an inflected or compounded word is known by its stem. Features are hashes of
+words; those that lean to positive texts beyond chance (MIN_G, met from some eight
+texts on at any number of them) are weighed, VOCABULARY at most. Word choice and training use bounded seeded samples
+(MAX_POSITIVE, MAX_UNLABELLED). Every text is scored whole. Null and empty texts
+score as texts without any weighed word. Documents without id are scored and
 not held out. Without positives, or without unlabelled texts, all scores are the
-prior. Repeated rows score alike; extra columns pass through.
+prior. Repeated rows score alike; extra columns pass through, and one named like the
+output is replaced.
 """
 
 from __future__ import annotations
@@ -29,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers, fold, label_sample, read, small_batches, prefix_hashes, spans, unique_per_row
+from tidemark.llm.common import buffers, fold, label_sample, prefix_hashes, read, row_sums, small_batches, spans, unique_per_row
 
 #: Documents that training may use at most, of each kind.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 4_000, 12_000, 6_000
-#: Words in the model at most.
-VOCABULARY = 100
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
+#: Words in the model at most, and the likelihood ratio statistic that a word must reach.
+VOCABULARY, MIN_G = 8_192, 16.0
 #: A word is a candidate if it is this share of 1/prior times likelier among positives than among unlabelled texts.
-MIN_RATIO = 0.4
+MIN_RATIO = 0.3
 CUT = 0.7
 #: Bytes of a word's beginnings that are features of their own.
 PREFIXES = [4, 5, 6, 7]
@@ -84,46 +88,56 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(self.margins(column), -35, 35)))
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 200, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear model under the non-negative risk (logistic loss, Adam)."""
-    rng = np.random.default_rng(seed)
-    theta = np.zeros(pos.shape[1] + 1)
+class Bits:
+    """Rows of a sparse 0/1 matrix: the columns of each."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        self.columns = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def take(self, at: np.ndarray) -> Bits:
+        return Bits([self.columns[self.offsets[i] : self.offsets[i + 1]] for i in at])
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        return row_sums(weights[self.columns], self.offsets)
+
+    def sums(self, values: np.ndarray, width: int) -> np.ndarray:
+        """Sums of the rows' values by column."""
+        return np.bincount(self.columns, weights=np.repeat(values, np.diff(self.offsets)), minlength=width)
+
+
+def fit_nnpu(pos: Bits, unl: Bits, width: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear model under the non-negative risk (logistic loss, Adam over whole samples)."""
+    theta = np.zeros(width + 1)
     theta[-1] = np.log(prior / (1 - prior))
-    m, v, t = np.zeros_like(theta), np.zeros_like(theta), 0
-    one = lambda x: np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    pos, unl = one(pos), one(unl)
-    steps = max(1, -(-len(unl) // batch))
-    for _ in range(epochs):
-        pi, ui = rng.permutation(len(pos)), rng.permutation(len(unl))
-        for s in range(steps):
-            p, u = pos[pi[s::steps] if len(pi) > s else pi[:1]], unl[ui[s::steps]]
-            if not len(u):
-                continue
-            zp, zu = p @ theta, u @ theta
-            sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-            up_p = -(p.T @ (1 - sp)) / len(p)  # gradient of E_p[loss(+)]
-            down_p, down_u = (p.T @ sp) / len(p), (u.T @ su) / len(u)
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            grad = prior * up_p + down_u - prior * down_p if negative >= 0 else prior * down_p - down_u
-            grad = grad + decay * np.append(theta[:-1], 0)
-            t += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    up = lambda x, g: np.append(x.sums(g, width), g.sum()) / len(x)
+    for t in range(1, steps + 1):
+        zp, zu = (x.dot(theta[:-1]) + theta[-1] for x in (pos, unl))
+        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
+        up_p, down_p, down_u = -up(pos, 1 - sp), up(pos, sp), up(unl, su)  # gradients of E_p[loss(+)], E_p[loss(-)], E_u[loss(-)]
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        grad = prior * up_p + down_u - prior * down_p if negative >= 0 else prior * down_p - down_u
+        grad = grad + decay * np.append(theta[:-1], 0)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
-def calibrate(pos: np.ndarray, neg: np.ndarray, prior: float) -> tuple[float, float]:
-    """Slope and shift that turn margins into log odds, with the classes weighed by the prior."""
-    if not len(pos) or not len(neg):
-        return 1.0, 0.0
-    x = np.column_stack([np.concatenate([pos, neg]), np.ones(len(pos) + len(neg))])
-    y = np.repeat([1.0, 0.0], [len(pos), len(neg)])
-    w = np.repeat([prior / len(pos), (1 - prior) / len(neg)], [len(pos), len(neg)]) * len(y)
-    theta = np.array([1.0, 0.0])
-    for _ in range(40):  # Newton's method, lightly damped
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        theta += np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (w * (y - p)) - 0.1 * (theta - [1.0, 0.0]))
-    return float(max(theta[0], 0.1)), float(theta[1])
+def fit_cut(pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
+    """The margin at which decisions have the least non-negative risk; the middle of the widest gap of such margins."""
+    z = np.unique(np.concatenate([pos, unl]))
+    if len(z) < 2:
+        return float(z[0]) if len(z) else 0.0
+    low = np.searchsorted(np.sort(pos), z[1:]) / len(pos)  # positives under a cut between z[i] and z[i + 1]
+    high = 1 - np.searchsorted(np.sort(unl), z[1:]) / len(unl)
+    risk = prior * low + np.maximum(0, high - prior * (1 - low))
+    near = np.flatnonzero(risk <= risk.min() + 2e-3 * prior)
+    i = near[np.argmax(np.diff(z)[near])]
+    return float((z[i] + z[i + 1]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, vocabulary: int = VOCABULARY) -> PuModel:
@@ -134,11 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     known = labels.where(fold_of & F.col("toxic").isin(0, 1)).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     prior = float(np.clip((known["p"] + 1) / (known["n"] + 20), 1e-3, 0.9))
     positive = label_sample(labels, "doc_id", "toxic", fold_of & (F.col("toxic") == 1), max_positive)
-    ids = docs.select(F.col("doc_id").alias("_id")).where("_id is not null")
-    unlabelled = ids.join(labels.select(F.col("doc_id").alias("_id")), "_id", "left_anti").distinct().orderBy(F.xxhash64("_id", F.lit(23)), "_id").limit(max_unlabelled).withColumn("_label", F.lit(0))
-    clean = label_sample(labels, "doc_id", "toxic", fold_of & (F.col("toxic") == 0), MAX_CALIBRATION)
-    # 1: positive, 0: unlabelled, 2: labelled clean, for calibration only
-    sample = positive.select("_id", F.col("_label").cast("int")).unionByName(unlabelled).unionByName(clean.select("_id", F.lit(2).alias("_label")))
+    unlabelled = docs.select(F.col("doc_id").alias("_id")).where(F.col("_id").isNotNull() & (fold(F.col("_id"), 3) != 1)).distinct().orderBy(F.xxhash64("_id", F.lit(23)), "_id").limit(max_unlabelled)
+    # 1: positive, 0: unlabelled; a document can be both
+    sample = positive.select("_id", F.col("_label").cast("int")).unionByName(unlabelled.withColumn("_label", F.lit(0)))
+    text = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
 
     def distinct_words(column: pa.Array) -> pa.Array:
         hashes, rows, n = letter_words(column)
@@ -146,15 +159,16 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(got.view(np.int64)))
 
     of = F.arrow_udf(distinct_words, "array<bigint>")
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_label", of("_text").alias("_w")).groupBy("_id", "_label").agg(F.min("_w").alias("_w"))
+    rows = text.join(F.broadcast(sample), "_id").select("_id", "_label", of("_text").alias("_w")).groupBy("_id", "_label").agg(F.min("_w").alias("_w"))
     n1, n0 = sample.agg(F.count_if(F.expr("_label = 1")), F.count_if(F.expr("_label = 0"))).first()
     empty = PuModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not n1 or not n0:
         return empty
     share1, share0 = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("b") + 0.5) / (n0 + 1.0)
+    chance = (F.col("b") + 0.5) * (n1 / n0)  # positive texts that would hold the word if toxic texts were like all
     chosen = (
-        rows.where("_label < 2").select("_label", "_w").distinct().select("_label", F.explode("_w").alias("w")).groupBy("w").agg(F.count_if(F.expr("_label = 1")).alias("a"), F.count_if(F.expr("_label = 0")).alias("b"))
-        .where((F.col("a") >= max(2, n1 // 100)) & (share1 / share0 >= max(1.5, MIN_RATIO / prior))).withColumn("gain", share1 * F.log(share1 / share0)).orderBy(F.desc("gain"), "w").limit(vocabulary)
+        rows.select("_label", "_w").distinct().select("_label", F.explode("_w").alias("w")).groupBy("w").agg(F.count_if(F.expr("_label = 1")).alias("a"), F.count_if(F.expr("_label = 0")).alias("b"))
+        .where((share1 / share0 >= max(1.5, MIN_RATIO / prior)) & (2 * (F.col("a") * F.log(F.col("a") / chance) - (F.col("a") - chance)) >= MIN_G)).withColumn("gain", share1 * F.log(share1 / share0)).orderBy(F.desc("gain"), "w").limit(vocabulary)
         .select("w").toPandas()["w"].to_numpy(np.int64).view(np.uint64)
     )
     if not len(chosen):
@@ -167,19 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         got, off = unique_per_row(at, rows_of[places], n)
         return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(got.astype(np.int32)))
 
-    got = (
-        docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(sample), "_id")
-        .select("_id", "_label", F.arrow_udf(columns, "array<int>")("_text").alias("_c")).groupBy("_id", "_label").agg(F.min("_c").alias("_c")).orderBy("_label", "_id").toPandas()
-    )
-    x = np.zeros((len(got), len(words)))
-    for i, c in enumerate(got["_c"]):
-        x[i, c] = 1
-    y = got["_label"].to_numpy()
-    if not (y == 1).any() or not (y == 0).any():
+    got = text.join(F.broadcast(sample), "_id").select("_id", "_label", F.arrow_udf(columns, "array<int>")("_text").alias("_c")).groupBy("_id", "_label").agg(F.min("_c").alias("_c")).orderBy("_label", "_id").toPandas()
+    pos, unl = (Bits([*got["_c"][got["_label"] == k]]) for k in (1, 0))
+    if not len(pos) or not len(unl):
         return empty
-    weights, bias = fit_nnpu(x[y == 1], x[y == 0], prior)
-    slope, shift = calibrate(x[y == 1] @ weights + bias, x[y == 2] @ weights + bias, prior)
-    return PuModel(words, weights * slope, bias * slope + shift)
+    weights, bias = fit_nnpu(pos, unl, len(words), prior)
+    cut = fit_cut(pos.dot(weights) + bias, unl.dot(weights) + bias, prior)
+    return PuModel(words, weights, bias - cut + float(np.log(CUT / (1 - CUT))))
 
 
 def score(docs: DataFrame, model: PuModel, out: str = "score") -> DataFrame:
