@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import gumbel_pieces, mixing, near_dup, pii, quality_gam
-from tidemark.llm.common import Scratch, read
+from tidemark.llm.common import Scratch, read, spare
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; documents without id or words stay."""
-    groups = near_dup.near_groups(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group.
+
+    A row without doc_id goes by a hash of its text. Of rows that share an id and have
+    words one stays; documents without words stay, all of them.
+    """
+    (key,) = spare(docs, "key")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(53))))
+    groups = Scratch(spark, "groups").save(near_dup.near_groups(keyed.select(F.col(key).alias("doc_id"), "text")), "groups").where("n_shingles > 0")
+    rest = keyed.join(groups.where("not kept").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+    twice = groups.where("kept").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key)
+    if not twice.isEmpty():
+        rest = rest.join(twice, key, "left_anti").select(*docs.columns, key).union(rest.join(twice, key, "left_semi").dropDuplicates([key]).select(*docs.columns, key))
+    return rest.select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
