@@ -639,3 +639,20 @@ def test_pipeline(spark, sf):
     want = mixing.mix_sources(clean).agg(F.sum("repeats")).first()[0]
     assert mixed.columns == docs.columns and mixed.count() == want
     assert P.encode(spark, mixed, sf).select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
+
+
+def test_pipeline_edges(spark, sf):
+    """Nulls, empty and repeated rows, and an empty table, through every stage."""
+    import corpus_pipeline as P
+
+    rows = [(1, None, "a"), (2, "", "a"), (2, "", "a"), (None, "some words without an id here", "b"), (None, "some words without an id here", "b"), (5, "x y z " * 3_000, "b"), (6, "x y z " * 3_000, "b"), (6, "x y z " * 3_000, "b"), (7, "Mail ann@mail.example.com", None), (7, "Mail ann@mail.example.com", None)]
+    docs = docs_of(spark, rows)
+    alone = P.drop_near_duplicates(spark, docs, sf)
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in alone.collect()) == [(0, "some"), (1, ""), (2, ""), (2, ""), (5, "x y "), (7, "Mail")]
+    for table in (docs, docs.limit(0)):
+        for name, stage in P.STAGES:
+            got = stage(spark, table, sf)
+            assert name == "sentencepiece_encoding" or got.columns == docs.columns
+            assert got.count() == 0 if table is not docs else got.count() > 0
+    clean = P.replace_personal_data(spark, docs, sf).where("doc_id = 7").collect()
+    assert len(clean) == 2 and all("ann@" not in r["text"] and r["n_chars"] == len(r["text"]) for r in clean)
