@@ -9,8 +9,8 @@ whose signatures agree in too few bins (MIN_EQUAL) are dropped, the others
 confirmed on full sets (100 * shared >= 75 * union). Buckets whose members then still
 lie in several components propose further stars (STARS), each from a new hub to the
 members of other components. What is left after them is gone through exactly:
-blocks of a bucket's members are compared across components inside a task, on full
-sets, and a task returns a spanning forest of the links it found, so fewer rows than
+blocks of a bucket's members are compared across components inside a task, by signature
+and, where that allows a link, on full sets, and a task returns a spanning forest of the links it found, so fewer rows than
 it read. Blocks by themselves come first; only buckets that they leave in several
 components are compared block against block. So a star loses no link that its
 bucket holds, and no bucket's pairs are written out.
@@ -190,18 +190,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
         tested = tested.union(pairs) if tested else pairs
         groups = _merge(groups, _confirm(pairs, sigs, texts, scratch), scratch)
         rest = _unsettled(rest, groups, scratch)
-    if not rest.isEmpty():
-        ids = rest.select(F.col("id").alias("doc_id")).distinct()
+    for across in (False, True):
+        if rest.isEmpty() or across and rest.where("blocks > 1").isEmpty():
+            break
+        cells = _cells(rest, across).join(sigs, "id").select(*_CELL, "sig")
+        hopeful = scratch.save(cells.groupBy("key", "x", "y").applyInPandas(_hopeful, cells.schema), "hopeful")
+        ids = hopeful.select(F.col("id").alias("doc_id")).distinct()
         full = texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.arrow_udf(set_bytes, "binary")("text").alias("set"))
-        full = scratch.save(sigs.join(full, "id"), "members")
-        for across in (False, True):
-            cells = _cells(rest, across).join(full, "id")
-            found = scratch.save(cells.groupBy("key", "x", "y").applyInPandas(_cell, "a long, b long").distinct(), "links")
-            groups = _merge(groups, found, scratch)
-            rest = _unsettled(rest, groups, scratch)
-            if rest.where("blocks > 1").isEmpty():
-                break
-        scratch.drop(full)
+        found = scratch.save(hopeful.join(full, "id").groupBy("key", "x", "y").applyInPandas(_cell, "a long, b long").distinct(), "links")
+        groups = _merge(groups, found, scratch)
+        rest = _unsettled(rest, groups, scratch)
 
     scratch.drop(cand, sigs, texts)
     component = members.join(groups, members.rep == groups.id, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
@@ -256,6 +254,29 @@ def _cells(rest: DataFrame, across: bool) -> DataFrame:
     return pairs.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "c")
 
 
+_CELL = ("key", "x", "y", "own", "id", "n", "c")
+
+
+def _agree(i: int, x: int, y: int, own: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Members of other components, in the other block or after i in its own, whose size and signature allow a link with i."""
+    later = np.arange(len(own)) > i if x == y else own == y
+    may = np.flatnonzero(later & (label != label[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+    return may[(sig[may] == sig[i]).sum(axis=1) >= MIN_EQUAL] if len(may) else may
+
+
+def _hopeful(rows: pd.DataFrame) -> pd.DataFrame:
+    """The members of a cell that may link with another of it, by signature: only their sets are looked at."""
+    x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+    n, own, label = (rows[k].to_numpy() for k in ("n", "own", "c"))
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, BINS)
+    keep = np.zeros(len(rows), bool)
+    for i in np.flatnonzero(own == x):
+        may = _agree(i, x, y, own, n, label, sig)
+        keep[may] = True
+        keep[i] |= len(may) > 0
+    return rows[keep]
+
+
 def _cell(rows: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the links between the components of a cell's members."""
     x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
@@ -265,9 +286,7 @@ def _cell(rows: pd.DataFrame) -> pd.DataFrame:
     sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
     out = []
     for i in np.flatnonzero(own == x):
-        later = np.arange(len(ids)) > i if x == y else own == y
-        may = np.flatnonzero(later & (label != label[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-        may = may[(sig[may] == sig[i]).sum(axis=1) >= MIN_EQUAL] if len(may) else may
+        may = _agree(i, x, y, own, n, label, sig)
         if not len(may):
             continue
         other = np.concatenate([sets[j] for j in may])
