@@ -9,6 +9,7 @@ from tidemark.functions import quality as Q
 from tidemark.functions import scalar as S
 from tidemark.operators import aggregates as A
 from tidemark.operators import compress as C
+from tidemark.operators import frames as E
 from tidemark.operators import hierarchy as H
 from tidemark.operators import interpolate as I
 from tidemark.operators import order as G
@@ -79,18 +80,58 @@ def test_interpolation(spark):
         assert one(I.smooth(line, mid, m), "value") == pytest.approx(15.0)
 
 
-def test_lossy_masks():
-    assert C.deadband_mask(np.array([0, 0.1, 0.2, 5, 5.1]), 2.0).sum() == 2
-    assert C.deadband_mask(np.array([10, 10.2, 10.7, 10.85]), 0.5).tolist() == [True, False, True, False]
+def test_lossy_filters(spark):
+    kept = lambda df: [r["us"] // SEC for r in df.orderBy("us").collect()]
+    assert kept(C.deadband(series(spark, enumerate([0, 0.1, 0.2, 5, 5.1])), 2.0)) == [0, 3]
+    assert kept(C.deadband(series(spark, enumerate([10, 10.2, 10.7, 10.85])), 0.5)) == [0, 2]
     t = np.arange(50.0)
-    assert C.swinging_door_mask(t, 2 * t, 0.1).sum() == 2
+    assert kept(C.swinging_door(series(spark, [(i, 2 * i) for i in range(50)]), 0.1)) == [0, 49]
     assert C.top_down_mask(t, 2 * t, 0.1).sum() == 2
     v = np.sin(t / 5) * 10
-    keep = C.swinging_door_mask(t, v, 0.5)
-    assert np.abs(np.interp(t, t[keep], v[keep]) - v).max() <= 1.0
+    keep = kept(C.swinging_door(series(spark, enumerate(v.tolist())), 0.5))
+    assert np.abs(np.interp(t, keep, v[keep]) - v).max() <= 1.0
     assert C.largest_triangle_mask(t, v, 10).sum() == 10
 
 
+def test_filters_carry_their_state(spark):
+    """Long series over many batches, beside short ones: the filters against their masks over whole series."""
+    rng = np.random.default_rng(4)
+    sizes = {1: 30_000, 2: 1, 3: 25_000, 4: 2, 5: 400}
+    v = {k: np.cumsum(rng.normal(size=n)) for k, n in sizes.items()}
+    rows = [(k, i * SEC, i, float(x), 192) for k in v for i, x in enumerate(v[k])]
+    p = spark.createDataFrame(rows, "tag_id long, us long, seq long, value double, quality int").repartition(5)
+    count = lambda df: {r["tag_id"]: r["count"] for r in df.groupBy("tag_id").count().collect()}
+    want = {}
+    for k, x in v.items():
+        last, n = None, 0
+        for y in x:
+            if last is None or abs(y - last) > 3:
+                last, n = y, n + 1
+        want[k] = n
+    assert count(C.deadband(p, 3.0)) == want
+    assert count(C.piecewise_linear(p, 3.0)) == {k: int(C.top_down_mask(np.arange(len(x)) * 1.0, x, 3.0).sum()) for k, x in v.items()}
+    door = C.swinging_door(p, 3.0).toPandas().sort_values("us")
+    for k, x in v.items():
+        at = door[door["tag_id"] == k]["seq"].to_numpy()
+        assert {0, len(x) - 1} <= set(at) and np.abs(np.interp(np.arange(len(x)), at, x[at]) - x).max() <= 6.0
+
+
+def test_depth_has_no_bound(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(100)], "id long, parent long")
+    assert H.closure(chain).count() == 100 * 101 // 2
+    with pytest.raises(ValueError):
+        H.closure(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "id long, parent long"))
+    links = spark.createDataFrame([(i, i + 1, 1.0, True) for i in range(40)], "a long, b long, strength double, causal boolean")
+    assert [r["length"] for r in G.causal_chains(links).collect()] == [41]
+
+
+def test_rules_of_any_severity(spark):
+    frames = spark.createDataFrame([(1, "t", 12), (2, "t", 9), (3, "u", 10), (4, "u", 2)], "id long, template string, severity int")
+    rules = spark.createDataFrame([(1, 3, None, ["a"], True), (2, 10, None, ["b"], True), (3, 10, "t", ["c"], True)], "rule_id int, min_severity int, rule_template string, recipients array<string>, enabled boolean")
+    got = {(r["id"], r["recipient"]) for r in E.match_rules(frames, rules).collect()}
+    assert got == {(1, "a"), (2, "a"), (3, "a"), (1, "b"), (3, "b"), (1, "c")}
+
+
 def test_state(spark):
     p = series(spark, [(0, 70), (1, 82), (2, 78), (3, 74), (4, 96), (5, 3), (6, 1)])
     assert [r["alarm"] for r in T.latched_alarms(p, 2, 5, 80, 95, 5).orderBy("us").collect()] == ["NONE", "HI", "HI", "NONE", "HIHI", "LO", "LOLO"]

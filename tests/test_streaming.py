@@ -26,7 +26,7 @@ def test_deadband_matches_batch(spark, sf, tmp_path):
     path, schema = _folder(spark, sf, tmp_path)
     stream = T.deadband(T.event_stream(spark, path, schema, 100), 20.0)
     got = {r["seq"] for r in T.run_once(stream, "d", str(tmp_path / "c")).collect()}
-    want = {r["seq"] for r in C.deadband(from_events(spark, sf), 20.0, segment=10_000 * DAY).collect()}
+    want = {r["seq"] for r in C.deadband(from_events(spark, sf), 20.0).collect()}
     assert got == want
 
 

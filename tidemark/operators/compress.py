@@ -1,82 +1,72 @@
 """Lossy compression of series: deadbands, swinging door, piecewise lines, and their errors.
 
-Rules that look at the last kept point are state machines. They run once over each
-series in time order; a series is cut at multiples of `segment` first, so a
-long one is many tasks and each segment keeps its own first and last point.
+Rules that look at the last kept point are state machines that run once over each whole
+series in time order, in bounded memory. Rules that look both ways hold a series at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregates import bucket
-from tidemark.points import DAY, ordered
+from tidemark.operators.follow import follow, nothing, whole
+from tidemark.points import ordered
 
-_OUT = "tag_id long, us long, seq long, value double"
+def deadband(points: DataFrame, width: float, inclusive: bool = False) -> DataFrame:
+    """Points that leave the band around the last kept value."""
 
+    def start():
+        last = None
 
-def _apply(points: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], segment: int) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna(subset=["value"]).sort_values(["us", "seq"])
-        if not len(p):
-            return p[["tag_id", "us", "seq", "value"]]
-        t, v = (p["us"].to_numpy() - p["us"].iloc[0]) / 1e6, p["value"].to_numpy()
-        return p.loc[keep(t, v), ["tag_id", "us", "seq", "value"]]
+        def step(us: int, seq: int, v: float) -> tuple:
+            nonlocal last
+            d = 0.0 if last is None else abs(v - last)
+            if last is None or d > width or (inclusive and d >= width):
+                last = v
+                return ((us, seq, v),)
+            return ()
 
-    return points.withColumn("_seg", bucket(F.col("us"), segment)).groupBy("tag_id", "_seg").applyInPandas(run, _OUT)
+        return step, nothing
 
+    return follow(points, start)
 
-def deadband_mask(v: np.ndarray, width: float, inclusive: bool = False) -> np.ndarray:
-    """Points that leave the band around the last kept value."""
-    keep = np.zeros(len(v), bool)
-    last = None
-    for i, x in enumerate(v.tolist()):
-        d = 0.0 if last is None else abs(x - last)
-        if last is None or d > width or (inclusive and d >= width):
-            keep[i], last = True, x
-    return keep
 
+def percent_deadband(points: DataFrame, percent: float, span: float) -> DataFrame:
+    return deadband(points, percent / 100 * span)
 
-def deadband(points: DataFrame, width: float, inclusive: bool = False, segment: int = 30 * DAY) -> DataFrame:
-    return _apply(points, lambda t, v: deadband_mask(v, width, inclusive), segment)
 
+def swinging_door(points: DataFrame, deviation: float, max_gap_s: float | None = None) -> DataFrame:
+    """Ends of the longest lines that stay within the deviation of all points between them.
 
-def percent_deadband(points: DataFrame, percent: float, span: float, segment: int = 30 * DAY) -> DataFrame:
-    return deadband(points, percent / 100 * span, segment=segment)
+    A point is kept when the next one shows that no line from the last kept point goes on.
+    """
 
+    def start():
+        base, before, kept, low, high = None, None, True, float("-inf"), float("inf")
 
-def swinging_door_mask(t: np.ndarray, v: np.ndarray, deviation: float, max_gap_s: float | None = None) -> np.ndarray:
-    """Ends of the longest lines that stay within the deviation of all points between them."""
-    n = len(v)
-    keep = np.zeros(n, bool)
-    if not n:
-        return keep
-    keep[[0, n - 1]] = True
-    base, low, high = 0, -np.inf, np.inf
-    for i in range(1, n):
-        dt = t[i] - t[base]
-        if dt <= 0:
-            continue
-        slope = (v[i] - v[base]) / dt
-        if not low <= slope <= high or (max_gap_s is not None and dt > max_gap_s):
-            if i - 1 > base:
-                base = i - 1
-                keep[base] = True
-            low, high = -np.inf, np.inf
-            dt = t[i] - t[base]
-            if dt <= 0:
-                continue
-        low, high = max(low, (v[i] - deviation - v[base]) / dt), min(high, (v[i] + deviation - v[base]) / dt)
-    return keep
+        def step(us: int, seq: int, v: float) -> tuple:
+            nonlocal base, before, kept, low, high
+            now, out = (us, seq, v), ()
+            if base is None:
+                base = before = now
+                return (now,)
+            dt = (us - base[0]) / 1e6
+            if dt > 0:
+                slope = (v - base[2]) / dt
+                if not low <= slope <= high or (max_gap_s is not None and dt > max_gap_s):
+                    if not kept:
+                        base, out = before, (before,)
+                    low, high = float("-inf"), float("inf")
+                    dt = (us - base[0]) / 1e6
+                if dt > 0:
+                    low, high = max(low, (v - deviation - base[2]) / dt), min(high, (v + deviation - base[2]) / dt)
+            before, kept = now, False
+            return out
 
+        return step, lambda: () if kept else (before,)
 
-def swinging_door(points: DataFrame, deviation: float, max_gap_s: float | None = None, segment: int = 30 * DAY) -> DataFrame:
-    return _apply(points, lambda t, v: swinging_door_mask(t, v, deviation, max_gap_s), segment)
+    return follow(points, start)
 
 
 def top_down_mask(t: np.ndarray, v: np.ndarray, tolerance: float, vertical: bool = True) -> np.ndarray:
@@ -104,13 +94,13 @@ def top_down_mask(t: np.ndarray, v: np.ndarray, tolerance: float, vertical: bool
     return keep
 
 
-def piecewise_linear(points: DataFrame, tolerance: float, segment: int = 30 * DAY) -> DataFrame:
-    return _apply(points, lambda t, v: top_down_mask(t, v, tolerance), segment)
+def piecewise_linear(points: DataFrame, tolerance: float) -> DataFrame:
+    return whole(points, lambda t, v: top_down_mask(t, v, tolerance))
 
 
-def line_simplify(points: DataFrame, tolerance: float, segment: int = 30 * DAY) -> DataFrame:
+def line_simplify(points: DataFrame, tolerance: float) -> DataFrame:
     """The same with the distance at right angles to the line."""
-    return _apply(points, lambda t, v: top_down_mask(t, v, tolerance, vertical=False), segment)
+    return whole(points, lambda t, v: top_down_mask(t, v, tolerance, vertical=False))
 
 
 def largest_triangle_mask(t: np.ndarray, v: np.ndarray, buckets: int) -> np.ndarray:
@@ -132,8 +122,8 @@ def largest_triangle_mask(t: np.ndarray, v: np.ndarray, buckets: int) -> np.ndar
     return keep
 
 
-def largest_triangle(points: DataFrame, buckets: int, segment: int = 30 * DAY) -> DataFrame:
-    return _apply(points, lambda t, v: largest_triangle_mask(t, v, buckets), segment)
+def largest_triangle(points: DataFrame, buckets: int) -> DataFrame:
+    return whole(points, lambda t, v: largest_triangle_mask(t, v, buckets))
 
 
 def deadband_previous(points: DataFrame, width: float) -> DataFrame:
@@ -207,21 +197,26 @@ def bottom_up_mask(t: np.ndarray, v: np.ndarray, tolerance: float) -> np.ndarray
     return keep
 
 
-def bottom_up(points: DataFrame, tolerance: float, segment: int = 30 * DAY) -> DataFrame:
-    return _apply(points, lambda t, v: bottom_up_mask(t, v, tolerance), segment)
+def bottom_up(points: DataFrame, tolerance: float) -> DataFrame:
+    return whole(points, lambda t, v: bottom_up_mask(t, v, tolerance))
 
 
-def deadband_or_timeout(points: DataFrame, width: float, max_gap_s: float, segment: int = 30 * DAY) -> DataFrame:
+def deadband_or_timeout(points: DataFrame, width: float, max_gap_s: float) -> DataFrame:
     """Points that leave the band around the last kept value, or come too long after it."""
 
-    def keep(t: np.ndarray, v: np.ndarray) -> np.ndarray:
-        out, last, at = np.zeros(len(v), bool), None, 0.0
-        for i, (x, y) in enumerate(zip(t.tolist(), v.tolist(), strict=True)):
-            if last is None or abs(y - last) > width or x - at >= max_gap_s:
-                out[i], last, at = True, y, x
-        return out
+    def start():
+        last, at = None, 0
+
+        def step(us: int, seq: int, v: float) -> tuple:
+            nonlocal last, at
+            if last is None or abs(v - last) > width or (us - at) / 1e6 >= max_gap_s:
+                last, at = v, us
+                return ((us, seq, v),)
+            return ()
+
+        return step, nothing
 
-    return _apply(points, keep, segment)
+    return follow(points, start)
 
 
 def rate_filter(points: DataFrame, limit: float) -> DataFrame:

@@ -56,13 +56,13 @@ def retain_by_count(frames: DataFrame, keep: int, key: str = "tag_id") -> DataFr
 def match_rules(frames: DataFrame, rules: DataFrame) -> DataFrame:
     """Deliveries (frame, rule, recipient); rules are a small table with recipients as an array.
 
-    Rules with a template meet frames by equality on it; those without one meet all
-    frames of a severity, again by equality.
+    Rules with a template meet frames by equality on it. Those without one are first
+    spread over the severities that occur, a few rows, and then meet frames by equality too.
     """
     r = rules.where("enabled")
-    levels = r.select("*", F.explode(F.sequence("min_severity", F.lit(9))).alias("severity"))
-    exact = frames.join(levels.where("rule_template is not null").withColumnRenamed("rule_template", "template"), ["template", "severity"])
-    any_ = frames.join(levels.where("rule_template is null"), ["severity"])
+    levels = r.where("rule_template is null").join(frames.select("severity").distinct(), F.col("severity") >= F.col("min_severity"))
+    exact = frames.join(r.withColumnRenamed("rule_template", "template"), "template").where(F.col("severity") >= F.col("min_severity"))
+    any_ = frames.join(levels, "severity")
     cols = [F.col("id"), F.col("rule_id"), F.explode("recipients").alias("recipient")]
     return exact.select(*cols).unionAll(any_.select(*cols))
 

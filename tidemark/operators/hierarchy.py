@@ -1,8 +1,8 @@
 """Trees of elements: closure, paths, ancestors and roll-ups.
 
-A tree is a table (id, parent) with a null parent at the roots. Depth is bounded
-and small, so closures grow by one join per level; rows that a level adds are
-bounded by nodes times depth.
+A tree is a table (id, parent) with a null parent at the roots. Closures grow by one
+join per level, as many as the tree is deep; rows that a level adds are bounded by the
+nodes that lie so deep. A cycle is an error.
 """
 
 from __future__ import annotations
@@ -10,26 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 32
+from tidemark.operators.cut import cut
 
+#: Levels whose rows are held apart before they are put together.
+_LEVELS_APART = 64
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its plan cut by a checkpoint, where the session has a folder for them."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
 
-
-def closure(tree: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(tree: DataFrame) -> DataFrame:
     """(ancestor, id, distance) for every node and each of its ancestors, itself included."""
-    up = tree.select(F.col("id").alias("_c"), F.col("parent").alias("_p"))
-    level = tree.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("distance"))
-    out = level
-    for d in range(1, max_depth + 1):
-        level = level.join(up, F.col("ancestor") == F.col("_c")).where("_p is not null").select(F.col("_p").alias("ancestor"), "id", F.lit(d).alias("distance"))
-        level = cut(level)
+    up = tree.select(F.col("id").alias("_c"), F.col("parent").alias("_p")).where("_p is not null")
+    out = level = tree.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("distance"))
+    d = 0
+    while True:
+        d += 1
+        level = cut(level.join(up, F.col("ancestor") == F.col("_c")).select(F.col("_p").alias("ancestor"), "id", F.lit(d).alias("distance")))
         if level.isEmpty():
-            break
+            return out
+        if not level.where("ancestor = id").isEmpty():
+            raise ValueError("the tree has a cycle")
         out = out.unionByName(level)
-    return out
+        if d % _LEVELS_APART == 0:
+            out = cut(out)
 
 
 def depths(tree: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.hierarchy import cut
+from tidemark.operators.cut import cut
 
 
 #: Levels whose rows are held apart before they are put together.
@@ -22,50 +22,43 @@ def build_levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     ids = nodes.select("id").union(needs.select("id")).distinct()
     needs = needs.select("id", "needed").distinct().join(ids.withColumnRenamed("id", "_known"), F.col("needed") == F.col("_known"), "left")
     waits = needs.groupBy("id").agg(F.greatest(F.count("_known"), F.lit(1)).alias("n"))
-    needs = _settle(needs.where("_known is not null").select("id", "needed"))
-    state = _settle(ids.join(waits, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
+    needs = cut(needs.where("_known is not null").select("id", "needed"))
+    state = cut(ids.join(waits, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
     out, level = state.where("n = 0").select("id", F.lit(0).alias("level")), 0
     while not state.where("n = 0").isEmpty():
         level += 1
         done = needs.join(state.where("n = 0").select(F.col("id").alias("needed")), "needed").groupBy("id").agg(F.count("*").alias("_done"))
-        state = _settle(state.where("n > 0").join(done, "id", "left").select("id", (F.col("n") - F.coalesce("_done", F.lit(0))).alias("n")))
+        state = cut(state.where("n > 0").join(done, "id", "left").select("id", (F.col("n") - F.coalesce("_done", F.lit(0))).alias("n")))
         out = out.unionByName(state.where("n = 0").select("id", F.lit(level).alias("level")))
         if level % _LEVELS_APART == 0:
-            out = _settle(out)
+            out = cut(out)
     if not state.isEmpty():
         raise ValueError("the needs have a cycle")
     return out
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """df computed once: each level reads the one before several times."""
-    return cut(df) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def strongest_successors(links: DataFrame) -> DataFrame:
     """The strongest causal link out of each event (a, b, strength), ties to the smaller event."""
     w = Window.partitionBy("a").orderBy(F.desc("strength"), "b")
     return links.where("causal").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("a", "b", "strength")
 
 
-def causal_chains(links: DataFrame, max_length: int = 32) -> DataFrame:
-    """Chains along strongest links from events that no causal link enters."""
-    step = strongest_successors(links)
+def causal_chains(links: DataFrame) -> DataFrame:
+    """Chains along strongest links from events that no causal link enters; a chain ends before it meets itself."""
+    step = cut(strongest_successors(links))
     entered = links.where("causal").select(F.col("b").alias("a")).distinct()
     chain = step.join(entered, "a", "left_anti").select(F.col("a").alias("source"), F.array("a", "b").alias("events"), F.col("b").alias("_end"))
-    out = None
-    for _ in range(max_length):
-        nxt = chain.join(step.select(F.col("a").alias("_end"), F.col("b").alias("_b")), "_end", "left")
+    out, n = None, 0
+    while True:
+        nxt = cut(chain.join(step.select(F.col("a").alias("_end"), F.col("b").alias("_b")), "_end", "left"))
         grows = F.col("_b").isNotNull() & ~F.array_contains("events", F.col("_b"))
         done = nxt.where(~grows).select("source", "events")
-        out = done if out is None else out.unionByName(done)
+        out, n = done if out is None else out.unionByName(done), n + 1
+        if n % _LEVELS_APART == 0:
+            out = cut(out)
         chain = nxt.where(grows).select("source", F.array_append("events", F.col("_b")).alias("events"), F.col("_b").alias("_end"))
-        chain = cut(chain)
         if chain.isEmpty():
-            break
-    else:
-        out = out.unionByName(chain.select("source", "events"))
-    return out.select("source", "events", F.size("events").alias("length"))
+            return out.select("source", "events", F.size("events").alias("length"))
 
 
 def frame_states(actions: DataFrame) -> DataFrame:

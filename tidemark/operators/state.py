@@ -2,63 +2,62 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.operators.follow import POINT, follow, nothing
 from tidemark.points import ordered
 
 
-def _per_series(points: DataFrame, run, schema: str) -> DataFrame:
-    def whole(p: pd.DataFrame) -> pd.DataFrame:
-        return run(p.dropna(subset=["value"]).sort_values(["us", "seq"]))
-
-    return points.groupBy("tag_id").applyInPandas(whole, schema)
-
-
 def latched_alarms(points: DataFrame, lolo: float, lo: float, hi: float, hihi: float, deadband: float) -> DataFrame:
     """Alarm state at each point: a limit holds until the value is back by the deadband."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+    def start():
         on = {"HIHI": False, "HI": False, "LOLO": False, "LO": False}
-        out = []
-        for v in p["value"].tolist():
+
+        def step(us: int, seq: int, v: float) -> tuple:
             for k, limit in (("HIHI", hihi), ("HI", hi)):
                 on[k] = v >= limit or (on[k] and v > limit - deadband)
             for k, limit in (("LOLO", lolo), ("LO", lo)):
                 on[k] = v <= limit or (on[k] and v < limit + deadband)
-            out.append(next((k for k, x in on.items() if x), "NONE"))
-        return p.assign(alarm=out)[["tag_id", "us", "seq", "value", "alarm"]]
+            return ((us, seq, v, next((k for k, x in on.items() if x), "NONE")),)
+
+        return step, nothing
 
-    return _per_series(points, run, "tag_id long, us long, seq long, value double, alarm string")
+    return follow(points, start, f"{POINT}, alarm string")
 
 
 def debounced_trigger(points: DataFrame, level: float, hysteresis: float, samples: int = 3, cooldown_us: int = 5_000_000) -> DataFrame:
     """Times when a value has been above the band for some samples in a row, armed again below it."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        armed, seen, last, hit = True, 0, None, []
-        for us, v in zip(p["us"].tolist(), p["value"].tolist(), strict=True):
+    def start():
+        armed, seen, last = True, 0, None
+
+        def step(us: int, seq: int, v: float) -> tuple:
+            nonlocal armed, seen, last
             seen = seen + 1 if v >= level + hysteresis else 0
             if v <= level - hysteresis:
                 armed = True
-            fire = armed and seen >= samples and (last is None or us - last >= cooldown_us)
-            if fire:
+            if armed and seen >= samples and (last is None or us - last >= cooldown_us):
                 armed, last = False, us
-            hit.append(fire)
-        return p.loc[np.array(hit, bool), ["tag_id", "us", "seq", "value"]]
+                return ((us, seq, v),)
+            return ()
+
+        return step, nothing
 
-    return _per_series(points, run, "tag_id long, us long, seq long, value double")
+    return follow(points, start)
 
 
 def holt_winters(points: DataFrame, alpha: float, beta: float, gamma: float, season: int, ahead: int = 1) -> DataFrame:
     """Multiplicative seasonal smoothing: level, trend and forecast after each point."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        s, level, trend, rows = np.ones(season), 0.0, 0.0, []
-        for i, v in enumerate(p["value"].tolist()):
+    def start():
+        s, level, trend, i = [1.0] * season, 0.0, 0.0, -1
+
+        def step(us: int, seq: int, v: float) -> tuple:
+            nonlocal level, trend, i
+            i += 1
             k = i % season
             if i == 0:
                 level = v
@@ -67,11 +66,11 @@ def holt_winters(points: DataFrame, alpha: float, beta: float, gamma: float, sea
                 level = alpha * (v / s[k] if s[k] else v) + (1 - alpha) * (level + trend)
                 trend = beta * (level - before) + (1 - beta) * trend
                 s[k] = gamma * (v / level if level else 1.0) + (1 - gamma) * s[k]
-            rows.append((level, trend, (level + ahead * trend) * s[(i + ahead) % season]))
-        out = np.array(rows).reshape(-1, 3)
-        return p.assign(level=out[:, 0], trend=out[:, 1], forecast=out[:, 2])[["tag_id", "us", "seq", "level", "trend", "forecast"]]
+            return ((us, seq, level, trend, (level + ahead * trend) * s[(i + ahead) % season]),)
+
+        return step, nothing
 
-    return _per_series(points, run, "tag_id long, us long, seq long, level double, trend double, forecast double")
+    return follow(points, start, "tag_id long, us long, seq long, level double, trend double, forecast double")
 
 
 def time_clusters(points: DataFrame, reach_us: int, least: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import bucket
+from tidemark.operators.follow import follow, nothing
 from tidemark.points import SECOND, ordered
 
 
@@ -82,16 +83,19 @@ def cusum(points: DataFrame, mean: float, slack: float, limit: float) -> DataFra
 
 
 def ema(points: DataFrame, alpha: float) -> DataFrame:
-    """Exponential moving average of each series.
+    """Exponential moving average of each series, carried along it in time order."""
 
-    The recurrence runs over a series' sorted array inside the JVM; a series must
-    fit one row, so long series are cut by time first (see bucketed keys).
-    """
-    seq = F.array_sort(F.collect_list(F.struct("us", "seq", "value")))
-    a = points.where("value is not null").groupBy("tag_id").agg(seq.alias("s"))
-    step = lambda acc, x: F.array_append(acc, F.when(F.size(acc) == 0, x["value"]).otherwise(alpha * x["value"] + (1 - alpha) * F.element_at(acc, -1)))
-    out = a.select("tag_id", "s", F.aggregate("s", F.array().cast("array<double>"), step).alias("e"))
-    return out.select("tag_id", F.explode(F.arrays_zip("s", "e")).alias("x")).select("tag_id", F.col("x.s.us").alias("us"), F.col("x.s.seq").alias("seq"), F.col("x.e").alias("ema"))
+    def start():
+        now = None
+
+        def step(us: int, seq: int, v: float) -> tuple:
+            nonlocal now
+            now = v if now is None else alpha * v + (1 - alpha) * now
+            return ((us, seq, now),)
+
+        return step, nothing
+
+    return follow(points, start, "tag_id long, us long, seq long, ema double")
 
 
 def ema_last(points: DataFrame, alpha: float) -> DataFrame:

@@ -8,6 +8,7 @@ from tidemark.functions import codecs as X
 from tidemark.operators import compress as C
 from tidemark.operators import interpolate as I
 from tidemark.operators import order as G
+from tidemark.plans.q_state import band_sql
 from tidemark.plans.registry import register
 from tidemark.points import DAY, HOUR, POINTS_SQL, from_events, r6
 
@@ -40,7 +41,7 @@ def _bottom_up(spark, sf_dir):
     return C.bottom_up(from_events(spark, sf_dir), 20.0)
 
 
-@register("deadband_timeout")
+@register("deadband_timeout", band_sql("(abs(n.value - d.last) > 20 OR n.us - d.at >= 21600000000)"))
 def _timeout(spark, sf_dir):
     return C.deadband_or_timeout(from_events(spark, sf_dir), 20.0, 6 * HOUR / 1e6)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as A
 from tidemark.operators import windows as W
+from tidemark.plans.q_state import EMA_SQL
 from tidemark.plans.registry import register
 from tidemark.points import DAY, HOUR, MINUTE, POINTS_SQL, from_events, r6
 
@@ -209,7 +210,7 @@ def _ema(spark, sf_dir):
     return _round(W.ema_last(from_events(spark, sf_dir), 0.3), "ema")
 
 
-@register("ema_series")
+@register("ema_series", EMA_SQL)
 def _ema_series(spark, sf_dir):
     return _round(W.ema(from_events(spark, sf_dir), 0.3), "ema")
 

@@ -46,21 +46,62 @@ def _errors(spark, sf_dir):
     return e.withColumns({c: r6(F.col(c)) for c in ("max_error", "rmse", "nrmse", "snr_db", "ratio")})
 
 
-def _kept(name: str, f) -> None:
-    @register(name)
+#: Points with a value and their number r in the series; rules walk over r in recursive SQL.
+_N = f"WITH RECURSIVE {POINTS_SQL}, n AS MATERIALIZED (SELECT tag_id, us, seq, value, row_number() {_O} AS r FROM p WHERE value IS NOT NULL)"
+_NEXT = "FROM d JOIN n ON n.tag_id = d.tag_id AND n.r = d.r + 1"
+
+
+def band_sql(leaves: str) -> str:
+    """SQL of a rule that keeps a point when it leaves the last kept one, d.last at d.at."""
+    return f"""{_N}, d AS (SELECT tag_id, us, seq, value, r, value AS last, us AS at, true AS keep FROM n WHERE r = 1
+UNION ALL SELECT n.tag_id, n.us, n.seq, n.value, n.r, CASE WHEN {leaves} THEN n.value ELSE d.last END, CASE WHEN {leaves} THEN n.us ELSE d.at END, {leaves} {_NEXT})
+SELECT tag_id, us, seq, value FROM d WHERE keep"""
+
+
+_DOOR = f"""{_N}, d AS (SELECT tag_id, us, r, value, us AS bt, value AS bv, '-inf'::DOUBLE AS lo, 'inf'::DOUBLE AS hi, true AS based, false AS emits FROM n WHERE r = 1
+UNION ALL SELECT tag_id, us, r, value, bt2, bv2,
+  CASE WHEN out THEN CASE WHEN us > bt2 THEN (value - 20 - bv2) / ((us - bt2) / 1e6) ELSE '-inf'::DOUBLE END WHEN us > bt THEN greatest(lo, (value - 20 - bv) / ((us - bt) / 1e6)) ELSE lo END,
+  CASE WHEN out THEN CASE WHEN us > bt2 THEN (value + 20 - bv2) / ((us - bt2) / 1e6) ELSE 'inf'::DOUBLE END WHEN us > bt THEN least(hi, (value + 20 - bv) / ((us - bt) / 1e6)) ELSE hi END, false, moves
+FROM (SELECT *, CASE WHEN moves THEN pt ELSE bt END AS bt2, CASE WHEN moves THEN pv ELSE bv END AS bv2
+FROM (SELECT *, out AND NOT based AS moves FROM (SELECT n.tag_id, n.us, n.r, n.value, d.bt, d.bv, d.lo, d.hi, d.based, d.us AS pt, d.value AS pv,
+  n.us > d.bt AND NOT (d.lo <= (n.value - d.bv) / ((n.us - d.bt) / 1e6) AND (n.value - d.bv) / ((n.us - d.bt) / 1e6) <= d.hi) AS out {_NEXT}))))
+SELECT n.tag_id, n.us, n.seq, n.value FROM n LEFT JOIN d ON d.tag_id = n.tag_id AND d.r = n.r + 1 WHERE n.r = 1 OR d.r IS NULL OR d.emits"""
+
+_LATCH = f"""{_N}, d AS (SELECT tag_id, us, seq, value, r, value >= 95 AS hh, value >= 80 AS h, value <= 2 AS ll, value <= 5 AS l FROM n WHERE r = 1
+UNION ALL SELECT n.tag_id, n.us, n.seq, n.value, n.r, n.value >= 95 OR (d.hh AND n.value > 90), n.value >= 80 OR (d.h AND n.value > 75), n.value <= 2 OR (d.ll AND n.value < 7), n.value <= 5 OR (d.l AND n.value < 10) {_NEXT})
+SELECT tag_id, us, seq, value, CASE WHEN hh THEN 'HIHI' WHEN h THEN 'HI' WHEN ll THEN 'LOLO' WHEN l THEN 'LO' ELSE 'NONE' END AS alarm FROM d"""
+
+_SCHMITT = f"""{_N}, d AS (SELECT tag_id, us, seq, value, r, true AS armed, CASE WHEN value >= 45 THEN 1 ELSE 0 END AS seen, NULL::BIGINT AS last, false AS fire FROM n WHERE r = 1
+UNION ALL SELECT tag_id, us, seq, value, r, ready AND NOT fires, more, CASE WHEN fires THEN us ELSE last END, fires
+FROM (SELECT *, ready AND more >= 2 AND (last IS NULL OR us - last >= 5000000) AS fires FROM (SELECT n.tag_id, n.us, n.seq, n.value, n.r, d.last, d.armed OR n.value <= 35 AS ready, CASE WHEN n.value >= 45 THEN d.seen + 1 ELSE 0 END AS more {_NEXT})))
+SELECT tag_id, us, seq, value FROM d WHERE fire"""
+
+_WINTERS = f"""{_N}, d AS (SELECT tag_id, us, seq, r, value AS level, 0.0::DOUBLE AS trend, [1.0::DOUBLE, 1.0, 1.0, 1.0] AS s FROM n WHERE r = 1
+UNION ALL SELECT tag_id, us, seq, r, level2, trend2, list_transform([1, 2, 3, 4], lambda i: CASE WHEN i = k THEN 0.1::DOUBLE * (CASE WHEN level2 <> 0 THEN value / level2 ELSE 1.0 END) + (1 - 0.1::DOUBLE) * s[i] ELSE s[i] END)
+FROM (SELECT *, 0.1::DOUBLE * (level2 - level) + (1 - 0.1::DOUBLE) * trend AS trend2 FROM (SELECT *, 0.2::DOUBLE * (CASE WHEN s[k] <> 0 THEN value / s[k] ELSE value END) + (1 - 0.2::DOUBLE) * (level + trend) AS level2
+FROM (SELECT n.tag_id, n.us, n.seq, n.r, n.value, d.level, d.trend, d.s, CAST((n.r - 1) % 4 + 1 AS INTEGER) AS k {_NEXT}))))
+SELECT tag_id, us, seq, round(level, 6) + 0.0 AS level, round(trend, 6) + 0.0 AS trend, round((level + trend) * s[CAST(r % 4 + 1 AS INTEGER)], 6) + 0.0 AS forecast FROM d"""
+
+EMA_SQL = f"""{_N}, d AS (SELECT tag_id, us, seq, r, value AS ema FROM n WHERE r = 1
+UNION ALL SELECT n.tag_id, n.us, n.seq, n.r, 0.3::DOUBLE * n.value + (1 - 0.3::DOUBLE) * d.ema {_NEXT})
+SELECT tag_id, us, seq, round(ema, 6) + 0.0 AS ema FROM d"""
+
+
+def _kept(name: str, f, sql: str | None = None) -> None:
+    @register(*([name, sql] if sql else [name]))
     def query(spark, sf_dir):
         return f(from_events(spark, sf_dir))
 
 
-_kept("deadband_compress", lambda p: C.deadband(p, 20.0))
-_kept("percent_deadband", lambda p: C.percent_deadband(p, 10.0, 200.0))
-_kept("swinging_door", lambda p: C.swinging_door(p, 20.0))
+_kept("deadband_compress", lambda p: C.deadband(p, 20.0), band_sql("abs(n.value - d.last) > 20"))
+_kept("percent_deadband", lambda p: C.percent_deadband(p, 10.0, 200.0), band_sql("abs(n.value - d.last) > 20"))
+_kept("swinging_door", lambda p: C.swinging_door(p, 20.0), _DOOR)
 _kept("pla_top_down", lambda p: C.piecewise_linear(p, 20.0))
 _kept("line_simplify", lambda p: C.line_simplify(p, 20.0))
 _kept("largest_triangle", lambda p: C.largest_triangle(p, 20))
-_kept("alarm_latch", lambda p: T.latched_alarms(p, 2.0, 5.0, 80.0, 95.0, 5.0))
-_kept("schmitt_debounce", lambda p: T.debounced_trigger(p, 40.0, 5.0, samples=2))
-_kept("holt_winters", lambda p: T.holt_winters(p, 0.2, 0.1, 0.1, 4))
+_kept("alarm_latch", lambda p: T.latched_alarms(p, 2.0, 5.0, 80.0, 95.0, 5.0), _LATCH)
+_kept("schmitt_debounce", lambda p: T.debounced_trigger(p, 40.0, 5.0, samples=2), _SCHMITT)
+_kept("holt_winters", lambda p: T.holt_winters(p, 0.2, 0.1, 0.1, 4).withColumns({c: r6(F.col(c)) for c in ("level", "trend", "forecast")}), _WINTERS)
 _kept("time_clusters", lambda p: T.time_clusters(p, 6 * HOUR, 3))
 
 
