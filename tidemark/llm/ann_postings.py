@@ -126,14 +126,16 @@ def fit_ratio(x: np.ndarray, c: np.ndarray) -> float:
     m = min(SAMPLED_NEAREST, len(x) - 1)
     if m < 1 or len(c) < 2:
         return 1.0
-    sim = x[q] @ x.T
-    sim[np.arange(len(q)), q] = -np.inf
-    near = np.argpartition(-sim, m - 1, axis=1)[:, :m]
     holds = np.zeros((len(x), len(c)), bool)
     holds[own_lists(x, c)] = True
-    d = _distance(x[q] @ c.T)
-    reach = np.where(holds[near], d[:, None, :], np.inf).min(axis=2)
-    return float(max(1.0, np.quantile(reach / np.maximum(d.min(axis=1, keepdims=True), 1e-9), RECALL, method="higher")))
+    reach = []
+    for part in np.array_split(q, -(-len(q) // 50)):  # a few queries at a time, so that the driver stays small
+        sim = x[part] @ x.T
+        sim[np.arange(len(part)), part] = -np.inf
+        near = np.argpartition(sim, len(x) - m, axis=1)[:, len(x) - m :]
+        d = _distance(x[part] @ c.T)
+        reach.append(np.where(holds[near], d[:, None, :], np.inf).min(axis=2) / np.maximum(d.min(axis=1, keepdims=True), 1e-9))
+    return float(max(1.0, np.quantile(np.concatenate(reach), RECALL, method="higher")))
 
 
 def _good(v: Column) -> Column:
