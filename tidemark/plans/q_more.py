@@ -67,7 +67,7 @@ def _words(spark, sf_dir):
     return s.select("tag_id", F.length("b").alias("bytes"), (X.arrow(X.words_decode, "array<bigint>")("b") == F.col("d")).alias("same"))
 
 
-@register("build_levels", "WITH RECURSIVE l AS (SELECT p_partkey AS id, 0 AS level FROM part WHERE p_partkey % 50 = 1 OR p_partkey = 1 UNION ALL SELECT id + 1, level + 1 FROM l WHERE (id + 1) % 50 <> 1 AND id + 1 <= (SELECT max(p_partkey) FROM part)) SELECT id, level FROM l")
+@register("build_levels", "WITH RECURSIVE l AS (SELECT p_partkey AS id, 0 AS level FROM part WHERE p_partkey % 50 = 1 OR p_partkey = 0 UNION ALL SELECT id + 1, level + 1 FROM l WHERE (id + 1) % 50 <> 1 AND id + 1 <= (SELECT max(p_partkey) FROM part)) SELECT id, level FROM l")
 def _levels(spark, sf_dir):
     """All parts, in chains of 50."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"))
