@@ -9,8 +9,8 @@ whose signatures agree in too few bins (MIN_EQUAL) are dropped, the others
 confirmed on full sets (100 * shared >= 75 * union). Buckets whose members then still
 lie in several components propose further stars (STARS), each from a new hub to the
 members of other components. What is left after them is gone through exactly:
-blocks of a bucket's members are compared across components inside a task, by signature
-and, where that allows a link, on full sets, and a task returns a spanning forest of the links it found, so fewer rows than
+blocks of a bucket's members are compared across components inside a task (a pair only in the
+bucket of the first band in which it agrees), by signature and, where that allows a link, on full sets, and a task returns a spanning forest of the links it found, so fewer rows than
 it read. Blocks by themselves come first; only buckets that they leave in several
 components are compared block against block. So a star loses no link that its
 bucket holds, and no bucket's pairs are written out.
@@ -102,17 +102,13 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    bands = sig.reshape(len(sig), BINS // ROWS, ROWS)
-    with np.errstate(over="ignore"):
-        return mix((bands * _MULT[:ROWS]).sum(axis=2, dtype=np.uint64) + seeded(BINS // ROWS, 43)[None, :])
-
-
-_SKETCH = "struct<n:bigint,d1:bigint,d2:bigint,keys:array<bigint>,sig:binary>"
+#: The bucket of each band of a stored signature: a hash of the band's values, with the band's number in its low five bits.
+_KEYS = f"transform(sequence(0L, {BINS // ROWS - 1}L), b -> shiftleft(xxhash64(substring(sig, cast({2 * ROWS} * b + 1 as int), {2 * ROWS})), 5) | b)"
+_SKETCH = "struct<n:bigint,d1:bigint,d2:bigint,sig:binary>"
 
 
 def sketch(column: pa.Array) -> pa.Array:
-    """Set size, two sums that tell sets apart, the band keys (none for an empty set), and 16 bits of each bin."""
+    """Set size, two sums that tell sets apart, and 16 bits of each bin."""
     sets, offsets = shingle_sets(column)
     n = len(offsets) - 1
     size = np.diff(offsets)
@@ -120,13 +116,10 @@ def sketch(column: pa.Array) -> pa.Array:
     other = np.concatenate([[0], np.cumsum(mix(sets + np.uint64(0x14057B7EF767814F)), dtype=np.uint64)])
     with np.errstate(over="ignore"):
         d1, d2 = at[offsets[1:]] - at[offsets[:-1]], other[offsets[1:]] - other[offsets[:-1]]
-    sig = signatures(sets, offsets)
-    keys = band_keys(sig)[size > 0].ravel().view(np.int64)
-    short = sig.astype(np.uint16)
-    key_offsets = np.concatenate([[0], np.cumsum((size > 0) * (BINS // ROWS))]).astype(np.int32)
+    short = signatures(sets, offsets).astype(np.uint16)
     return pa.StructArray.from_arrays(
-        [pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(key_offsets), pa.array(keys)), pa.array([x.tobytes() for x in short], pa.binary())],
-        names=["n", "d1", "d2", "keys", "sig"])
+        [pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([x.tobytes() for x in short], pa.binary())],
+        names=["n", "d1", "d2", "sig"])
 
 
 def alike(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -172,9 +165,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = scratch.save(live.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "rep"), "members")
     twice = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
 
-    reps = live.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "n", "d1", "d2"]).select(F.col("rep").alias("id"), "n", "keys", "sig")
-    bands = reps.select(F.explode("keys").alias("key"), "id", "n")
-    shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    reps = live.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "n", "d1", "d2"]).select(F.col("rep").alias("id"), "n", "sig")
+    bands = reps.select(F.explode(F.expr(_KEYS)).alias("key"), "id", "n")
+    shared = bands.groupBy("key").count().where("count > 1").select("key")
     cand = scratch.save(bands.join(shared, "key"), "buckets")
     # The texts of bucket members are shuffled once; their ids grow with the input, so they are never broadcast.
     in_buckets = scratch.save(cand.select("id").distinct(), "ids").hint("merge")
@@ -190,6 +183,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         tested = tested.union(pairs) if tested else pairs
         groups = _merge(groups, _confirm(pairs, sigs, texts, scratch), scratch)
         rest = _unsettled(rest, groups, scratch)
+        if not rest.isEmpty():
+            sigs, texts = _narrow(rest, scratch, sigs, texts)
     for across in (False, True):
         if rest.isEmpty() or across and rest.where("blocks > 1").isEmpty():
             break
@@ -234,6 +229,14 @@ def _unsettled(cand: DataFrame, groups: DataFrame, scratch: Scratch, least: int
     return scratch.save(now.join(mixed, "key"), "unsettled")
 
 
+def _narrow(rest: DataFrame, scratch: Scratch, *tables: DataFrame) -> list[DataFrame]:
+    """The rows of tables whose id a bucket still holds, so that later rounds shuffle no others."""
+    ids = rest.select("id").distinct()
+    out = [scratch.save(t.join(ids.withColumnRenamed("id", t.columns[0]), t.columns[0], "left_semi"), "narrow") for t in tables]
+    scratch.drop(*tables)
+    return out
+
+
 def _stars(rest: DataFrame, seed: int) -> DataFrame:
     """Pairs a < b of each bucket's hub and its members of other components whose sizes allow the similarity.
 
@@ -257,21 +260,35 @@ def _cells(rest: DataFrame, across: bool) -> DataFrame:
 _CELL = ("key", "x", "y", "own", "id", "n", "c")
 
 
-def _agree(i: int, x: int, y: int, own: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Members of other components, in the other block or after i in its own, whose size and signature allow a link with i."""
+def _place(rows: pd.DataFrame) -> tuple[int, int, int | None]:
+    """A cell's two blocks and its band; without a key it is one cell for all bands."""
+    return int(rows["x"].iloc[0]), int(rows["y"].iloc[0]), int(rows["key"].iloc[0]) & (BINS // ROWS - 1) if "key" in rows else None
+
+
+def _agree(i: int, band: int | None, x: int, y: int, own: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Members of other components, in the other block or after i in its own, whose size and signature allow a link with i.
+
+    Two members meet in a bucket of each band in which they agree; the first of these has the pair.
+    """
     later = np.arange(len(own)) > i if x == y else own == y
     may = np.flatnonzero(later & (label != label[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-    return may[(sig[may] == sig[i]).sum(axis=1) >= MIN_EQUAL] if len(may) else may
+    if not len(may):
+        return may
+    same = sig[may] == sig[i]
+    near = same.sum(axis=1) >= MIN_EQUAL
+    if band is not None:
+        near &= same.reshape(len(may), -1, ROWS).all(axis=2).argmax(axis=1) == band
+    return may[near]
 
 
 def _hopeful(rows: pd.DataFrame) -> pd.DataFrame:
     """The members of a cell that may link with another of it, by signature: only their sets are looked at."""
-    x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+    x, y, band = _place(rows)
     n, own, label = (rows[k].to_numpy() for k in ("n", "own", "c"))
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, BINS)
     keep = np.zeros(len(rows), bool)
     for i in np.flatnonzero(own == x):
-        may = _agree(i, x, y, own, n, label, sig)
+        may = _agree(i, band, x, y, own, n, label, sig)
         keep[may] = True
         keep[i] |= len(may) > 0
     return rows[keep]
@@ -279,14 +296,14 @@ def _hopeful(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _cell(rows: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the links between the components of a cell's members."""
-    x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+    x, y, band = _place(rows)
     ids, n, own = (rows[k].to_numpy() for k in ("id", "n", "own"))
     _, label = np.unique(rows["c"].to_numpy(), return_inverse=True)
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, BINS)
     sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
     out = []
     for i in np.flatnonzero(own == x):
-        may = _agree(i, x, y, own, n, label, sig)
+        may = _agree(i, band, x, y, own, n, label, sig)
         if not len(may):
             continue
         other = np.concatenate([sets[j] for j in may])
