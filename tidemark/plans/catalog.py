@@ -1,3 +1,3 @@
 """The query modules, imported for their registrations."""
 
-from tidemark.plans import q_admin, q_more, q_points, q_series, q_state  # noqa: F401
+from tidemark.plans import q_admin, q_more, q_points, q_records, q_series, q_state  # noqa: F401
