@@ -18,12 +18,12 @@ def _t(spark, sf_dir, name):
 
 
 @register("gauge_and_pixels", f"""WITH {POINTS_SQL} SELECT seq, round(-120 + least(greatest(value / 100, 0), 1) * 240, 6) + 0.0 AS angle, CAST(round(10 + (1 - least(greatest(value / 100, 0), 1)) * 200) AS INTEGER) AS y,
-round(10 ^ floor(log10(value / 7)) * CASE WHEN value / 7 / 10 ^ floor(log10(value / 7)) <= 1 THEN 1 WHEN value / 7 / 10 ^ floor(log10(value / 7)) <= 2 THEN 2 WHEN value / 7 / 10 ^ floor(log10(value / 7)) <= 5 THEN 5 ELSE 10 END, 6) + 0.0 AS step,
-CASE WHEN value <= 5 OR value >= 95 THEN 'alarm' WHEN value <= 10 OR value >= 80 THEN 'warn' ELSE 'normal' END AS color FROM p WHERE value > 0""")
+round(10 ^ floor(log10((abs(value) + 1) / 7)) * CASE WHEN (abs(value) + 1) / 7 / 10 ^ floor(log10((abs(value) + 1) / 7)) <= 1 THEN 1 WHEN (abs(value) + 1) / 7 / 10 ^ floor(log10((abs(value) + 1) / 7)) <= 2 THEN 2 WHEN (abs(value) + 1) / 7 / 10 ^ floor(log10((abs(value) + 1) / 7)) <= 5 THEN 5 ELSE 10 END, 6) + 0.0 AS step,
+CASE WHEN value <= 5 OR value >= 95 THEN 'alarm' WHEN value <= 10 OR value >= 80 THEN 'warn' ELSE 'normal' END AS color FROM p""")
 def _gauge(spark, sf_dir):
     v, n = F.col("value"), F.lit
-    p = from_events(spark, sf_dir).where("value > 0")
-    return p.select("seq", r6(D.gauge_angle(v, n(0.0), n(100.0), -120.0, 240.0)).alias("angle"), D.pixel_y(v, n(0.0), n(100.0), 10, 200).alias("y"), r6(S.nice_step(v, 7)).alias("step"), D.limit_color(v, 10.0, 80.0, 5.0, 95.0).alias("color"))
+    p = from_events(spark, sf_dir)
+    return p.select("seq", r6(D.gauge_angle(v, n(0.0), n(100.0), -120.0, 240.0)).alias("angle"), D.pixel_y(v, n(0.0), n(100.0), 10, 200).alias("y"), r6(S.nice_step(F.abs(v) + 1, 7)).alias("step"), D.limit_color(v, 10.0, 80.0, 5.0, 95.0).alias("color"))
 
 
 @register("auto_scale", f"""WITH {POINTS_SQL}, m AS (SELECT tag_id, min(value) AS a, max(value) AS b FROM p GROUP BY tag_id)
