@@ -41,3 +41,17 @@ def test_topics(spark):
     rows = [("a/b", True, True), ("a/+/c", False, True), ("a/#", False, True), ("#", False, True), ("a/#/b", False, False), ("a#", False, False), ("a/b+", False, False), ("", False, False)]
     for topic, plain, subscribed in rows:
         assert values(spark, [(topic,)], "t string", R.topic_valid(F.col("t")), R.topic_filter_valid(F.col("t"))) == [(plain, subscribed)], topic
+
+
+def test_figures_at_edges(spark):
+    from tidemark.operators import figures as G
+
+    got = values(spark, [(0.0,), (3.0,), (-3.0,), (None,)], "z double", F.round(G.deadband_estimate(F.col("z")), 4))
+    assert got[0] == (1.0,) and abs(got[1][0] - 370.4) < 1 and abs(got[2][0] - 0.5007) < 1e-3 and got[3] == (None,)
+    points = spark.createDataFrame([(1, i, i, float(v)) for i, v in enumerate([1, -2, 4, 0, 7])] + [(2, 0, 0, None)], "tag_id long, us long, seq long, value double")
+    spectrum = G.dft(G.blocks(points, 4), 4)
+    assert {r["k"]: (round(r["re"], 6), round(r["im"], 6)) for r in spectrum.collect()} == {0: (3, 0), 1: (-3, 2), 2: (7, 0), 3: (-3, -2)}
+    assert [round(r["value"], 6) for r in G.inverse_dft(spectrum, 4).orderBy("i").collect()] == [1, -2, 4, 0]
+    assert [tuple(r) for r in G.reconstruction(points, F.col("value")).collect()] == [(1, 0.0, 0.0, 200.0)]
+    stones = spark.createDataFrame([(1, 2), (1, 3)], "tag_id long, us long")
+    assert [(r["tag_id"], r["us"]) for r in G.compact(points, stones, "tag_id").orderBy("tag_id").collect()] == [(1, 4), (2, 0)]
