@@ -1,6 +1,6 @@
 """A formula language that compiles to one Catalyst column.
 
-Numbers; attributes as |Name or 'Name'; functions; ^ (binds to the right), unary
+Numbers; attributes as |Name, 'Name' or "Name"; tags as tag('Name'); functions; ^ (binds to the right), unary
 - and !, * / %, + -, comparisons, == !=, && (AND), || (OR), in that order.
 Comparisons and logic give 1.0 or 0.0. Division and remainder by 0 are null.
 """
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|\|(?P<attr>[A-Za-z_]\w*)|'(?P<quoted>[^']+)'|(?P<op>\|\||&&|==|!=|<=|>=|[-+*/%^!<>(),])|(?P<word>[A-Za-z_]\w*))")
+_TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|\|(?P<attr>[A-Za-z_]\w*)|'(?P<quoted>[^']+)'|"(?P<double>[^"]+)"|(?P<op>\|\||&&|==|!=|<=|>=|[-+*/%^!<>(),])|(?P<word>[A-Za-z_]\w*))""")
 
 
 class FormulaError(ValueError):
@@ -48,7 +48,7 @@ def tokenize(text: str) -> list[tuple[str, str]]:
         word = m[kind]
         if kind == "word" and word.upper() in ("AND", "OR", "NOT"):
             kind, word = "op", {"AND": "&&", "OR": "||", "NOT": "!"}[word.upper()]
-        out.append(("attr" if kind == "quoted" else kind, word))
+        out.append(("attr" if kind in ("quoted", "double") else kind, word))
         at = m.end()
     return out
 
@@ -97,11 +97,23 @@ class _Parser:
             return FUNCTIONS["pow"][2](base, self.unary())
         return base
 
+    def reference(self) -> str:
+        """The name in tag('name'), tag("name") or tag(name), after the word tag."""
+        self.need("(")
+        if self.at >= len(self.tokens) or self.tokens[self.at][0] not in ("attr", "word", "num"):
+            raise FormulaError("tag() takes a name")
+        self.at += 1
+        name = self.tokens[self.at - 1][1]
+        self.need(")")
+        return name
+
     def primary(self) -> Column:
         if self.at >= len(self.tokens):
             raise FormulaError("the formula ends early")
         kind, word = self.tokens[self.at]
         self.at += 1
+        if kind == "word" and word == "tag":
+            return self.attribute(self.reference()).cast("double")
         if kind == "num":
             return F.lit(float(word))
         if kind == "attr":
@@ -125,9 +137,33 @@ class _Parser:
         raise FormulaError(f"unexpected {word!r}")
 
 
-def compile_formula(text: str, attribute: Callable[[str], Column] = F.col) -> Column:
-    """The column of a formula; attributes are looked up by name."""
-    p = _Parser(text, attribute)
+class _RuleParser(_Parser):
+    """Trigger rules: x / 0 is 0, numbers within 1e-9 are equal, and a number above a half is true."""
+
+    @staticmethod
+    def apply(op: str, a: Column, b: Column) -> Column:
+        near, true = F.abs(a - b) < 1e-9, lambda c: c > 0.5
+        own = {
+            "/": lambda: F.when(b == 0, a * 0.0).otherwise(F.try_divide(a, b)), "==": lambda: near.cast("double"), "!=": lambda: (~near).cast("double"),
+            "&&": lambda: (true(a) & true(b)).cast("double"), "||": lambda: (true(a) | true(b)).cast("double")}
+        return own[op]() if op in own else _Parser.apply(op, a, b)
+
+
+def references(text: str) -> list[str]:
+    """The names of attributes and tags in a formula, each once, in order."""
+    names: dict[str, None] = {}
+
+    def seen(name: str) -> Column:
+        names.setdefault(name)
+        return F.lit(0.0)
+
+    compile_formula(text, seen)
+    return list(names)
+
+
+def compile_formula(text: str, attribute: Callable[[str], Column] = F.col, rule: bool = False) -> Column:
+    """The column of a formula, or of a trigger rule; attributes are looked up by name."""
+    p = (_RuleParser if rule else _Parser)(text, attribute)
     out = p.binary(0)
     if p.at < len(p.tokens):
         raise FormulaError(f"unexpected {p.tokens[p.at][1]!r}")
