@@ -8,6 +8,8 @@ from tidemark.functions import codecs as X
 from tidemark.operators import compress as C
 from tidemark.operators import interpolate as I
 from tidemark.operators import order as G
+from tidemark.plans import sql_series as Y
+from tidemark.plans.q_series import _FRAMES_SQL, _frames
 from tidemark.plans.q_state import band_sql
 from tidemark.plans.registry import register
 from tidemark.points import DAY, HOUR, POINTS_SQL, from_events, r6
@@ -36,7 +38,7 @@ def _expand(spark, sf_dir):
     return C.expand_runs(C.runs(p)).groupBy("tag_id").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("ones"))
 
 
-@register("pla_bottom_up")
+@register("pla_bottom_up", Y.BOTTOM)
 def _bottom_up(spark, sf_dir):
     return C.bottom_up(from_events(spark, sf_dir), 20.0)
 
@@ -74,12 +76,11 @@ def _levels(spark, sf_dir):
     return G.build_levels(p, p.where("id % 50 <> 1 and id > 0").select("id", (F.col("id") - 1).alias("needed")))
 
 
-@register("causal_chains")
+@register("causal_chains", Y.chains_sql(_FRAMES_SQL, 30 * DAY))
 def _chains(spark, sf_dir):
     from tidemark.operators.frames import correlation_links
-    from tidemark.plans.q_series import _frames
 
-    return G.causal_chains(correlation_links(_frames(spark, sf_dir), 30 * DAY))
+    return G.causal_chains(correlation_links(_frames(spark, sf_dir), 30 * DAY)).withColumn("events", F.array_join("events", ">"))
 
 
 @register("frame_states", """WITH a AS (SELECT o_custkey AS frame_id, o_orderdate, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'close' WHEN 2 THEN 'acknowledge' ELSE 'cancel' END AS action FROM orders),

@@ -9,6 +9,7 @@ from tidemark.functions import scalar as S
 from tidemark.operators import frames as E
 from tidemark.operators import hierarchy as H
 from tidemark.operators import interpolate as I
+from tidemark.plans import sql_series as Y
 from tidemark.plans.registry import register
 from tidemark.points import DAY, HOUR, POINTS_SQL, from_events, micros, r6
 
@@ -52,16 +53,16 @@ def _quality_aware(spark, sf_dir):
     return I.interpolate(p, I.grid(p, 6 * HOUR), "step", good_only=True).withColumn("value", r6(F.col("value")))
 
 
-@register("interp_spline")
+@register("interp_spline", Y.SPLINE)
 def _spline(spark, sf_dir):
     p = from_events(spark, sf_dir)
-    return I.smooth(p, I.grid(p, DAY), "spline")
+    return I.smooth(p, I.grid(p, DAY), "spline").withColumn("value", r6(F.col("value"), 3))
 
 
-@register("interp_akima")
+@register("interp_akima", Y.AKIMA)
 def _akima(spark, sf_dir):
     p = from_events(spark, sf_dir)
-    return I.smooth(p, I.grid(p, DAY), "akima")
+    return I.smooth(p, I.grid(p, DAY), "akima").withColumn("value", r6(F.col("value"), 3))
 
 
 @register("latest_snapshot", f"WITH {POINTS_SQL} SELECT tag_id, us, seq, value, quality FROM p QUALIFY row_number() OVER (PARTITION BY tag_id ORDER BY us DESC, seq DESC) = 1")

@@ -8,6 +8,7 @@ from tidemark.functions import codecs as X
 from tidemark.operators import compress as C
 from tidemark.operators import interpolate as I
 from tidemark.operators import state as T
+from tidemark.plans import sql_series as Y
 from tidemark.plans.registry import register
 from tidemark.points import DAY, HOUR, POINTS_SQL, from_events, r6
 from tidemark.sources import archive, payload, simulated
@@ -96,13 +97,13 @@ def _kept(name: str, f, sql: str | None = None) -> None:
 _kept("deadband_compress", lambda p: C.deadband(p, 20.0), band_sql("abs(n.value - d.last) > 20"))
 _kept("percent_deadband", lambda p: C.percent_deadband(p, 10.0, 200.0), band_sql("abs(n.value - d.last) > 20"))
 _kept("swinging_door", lambda p: C.swinging_door(p, 20.0), _DOOR)
-_kept("pla_top_down", lambda p: C.piecewise_linear(p, 20.0))
-_kept("line_simplify", lambda p: C.line_simplify(p, 20.0))
-_kept("largest_triangle", lambda p: C.largest_triangle(p, 20))
+_kept("pla_top_down", lambda p: C.piecewise_linear(p, 20.0), Y.split_sql(False))
+_kept("line_simplify", lambda p: C.line_simplify(p, 20.0), Y.split_sql(True))
+_kept("largest_triangle", lambda p: C.largest_triangle(p, 20), Y.TRIANGLE)
 _kept("alarm_latch", lambda p: T.latched_alarms(p, 2.0, 5.0, 80.0, 95.0, 5.0), _LATCH)
 _kept("schmitt_debounce", lambda p: T.debounced_trigger(p, 40.0, 5.0, samples=2), _SCHMITT)
 _kept("holt_winters", lambda p: T.holt_winters(p, 0.2, 0.1, 0.1, 4).withColumns({c: r6(F.col(c)) for c in ("level", "trend", "forecast")}), _WINTERS)
-_kept("time_clusters", lambda p: T.time_clusters(p, 6 * HOUR, 3))
+_kept("time_clusters", lambda p: T.time_clusters(p, 6 * HOUR, 3).withColumn("cluster", F.coalesce("cluster", F.lit(0))), Y.CLUSTERS)
 
 
 def _series(spark, sf_dir):
