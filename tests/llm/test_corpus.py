@@ -150,6 +150,22 @@ def test_mentions_of_one_person(spark):
     assert open_[1] == open_[2] and open_[1].split("-")[0] in pii.GIVEN[("latin", "x")] and got[3] == "John Smith untitled"
 
 
+def test_lower_case_words_are_no_names(spark):
+    for text in ("господин пошёл домой, пошёл он", "Κυρία ήταν εδώ", "Herr öffnete die Tür und öffnete sie", "Sr ñandú", "Frau ältere Dame", "Mr smith", "Mr ß"):
+        assert pii.find(text) == [] and pii.names_in(text) == set()
+    for text, name in (("Herr Öztürk kam", "Öztürk"), ("господин Ёлкин пришёл", "Ёлкин"), ("Κύριος Άγγελος", "Άγγελος"), ("Mr O'Brien left", "O'Brien"), ("Mme D’Arc", "D’Arc")):
+        assert pii.names_in(text) == {f"f {name} x"}
+    got = pii.replace_entities(docs_of(spark, [(1, "Herr öffnete die Tür. Mr O'Brien und Herr Öztürk öffneten.", "a")])).first()["text"]
+    assert re.fullmatch(r"Herr öffnete die Tür\. Mr [A-Z][a-z-]+ und Herr [A-Z][A-Za-z-]+ öffneten\.", got) and "Brien" not in got
+
+
+def test_names_keep_their_capitals(spark):
+    got = pii.replace_entities(docs_of(spark, [(1, "Mr JOHN SMITH and Mr John Smith; SMITH, Smith and John Smith.", "a")])).first()["text"]
+    given, family = re.match(r"Mr (\S+) (\S+) and", got).groups()
+    assert given.isupper() and family.isupper()
+    assert got == f"Mr {given} {family} and Mr {given.title()} {family.title()}; {family}, {family.title()} and {given.title()} {family.title()}."
+
+
 def test_surrogates_leave_nothing_in_place():
     for n in range(2, 60):
         assert all(pii.permute(i, n, b"t") != i for i in range(n)) and {pii.permute(i, n, b"t") for i in range(n)} == set(range(n))

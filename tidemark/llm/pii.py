@@ -10,10 +10,11 @@ occurs. Only numbers with a right check digit are cards, and stay so; account
 numbers keep valid check digits, private addresses stay private, and a telephone
 number keeps a 555.
 
-Names are found by a title. A given and a family name are replaced each by itself, so
+Names are found by a title and start with a capital letter of any script. A given and a family name are replaced each by itself, so
 "Dr John Smith", "Mr John Smith" and "Mrs Smith" stay the persons and the family that
 they were; further mentions of a document's titled persons without a title ("John
-Smith", "Smith") are replaced like the titled ones. A given name's gender is what its
+Smith", "Smith") are replaced like the titled ones, and a name in capitals is the same name and stays in
+capitals. A given name's gender is what its
 titles in the whole corpus tell, and open where they disagree. Its surrogate comes from
 the list of its script and gender, picked by a keyed hash. The names of the corpus are
 gathered by a grouped aggregate; those that meet at one name of the list are ranked, and a
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,7 +65,9 @@ FAMILY = {
     "cyrillic": "Агапенко Бондаренко Гнатюк Довженко Короленко Левченко Мельник Науменко Осипенко Приходько Ткаченко Шевченко".split(),
     "greek": "Αγγελίδη Βαλσάμη Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Λαμπράκη Νικολάου Παπαδάκη Χρήστου".split(),
 }
-_NAME = r"[^\W\d_a-z][^\W\d_]+"
+#: Capital letters of the scripts that have names here, as a character class.
+_CAPITAL = "[" + "".join(c for c in map(chr, [*range(0x41, 0x530), *range(0x1E00, 0x2000)]) if unicodedata.category(c) in ("Lu", "Lt")) + "]"
+_NAME = rf"{_CAPITAL}(?:['’]{_CAPITAL})?[^\W\d_]+"
 #: In order of precedence at the same place.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-]))"
@@ -235,7 +239,18 @@ def surrogate(kind: str, s: str, names: dict[str, str], key: bytes = KEY) -> str
     if kind != "name":
         return _MAKE[kind](s, key)
     title, *words = s.split(" ")
-    return " ".join([title, *(names[f"{k} {w}"] for k, w in zip("gf"[-len(words):], words, strict=True))])
+    return " ".join([title, *(_called(k, w, names) for k, w in zip("gf"[-len(words):], words, strict=True))])
+
+
+def _plain(word: str) -> str:
+    """A name as it is listed: one that is all capitals is the same name in mixed case."""
+    return word.title() if len(word) > 1 and word.isupper() else word
+
+
+def _called(kind: str, word: str, names: dict[str, str]) -> str:
+    """A name's surrogate, in capitals where the name is."""
+    made = names[f"{kind} {_plain(word)}"]
+    return made.upper() if _plain(word) != word else made
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -254,9 +269,9 @@ def names_in(text: str) -> set[str]:
     for a, b, kind in find(text):
         if kind == "name":
             title, *words = text[a:b].split(" ")
-            out.add(f"f {words[-1]} {_ANY}")
+            out.add(f"f {_plain(words[-1])} {_ANY}")
             if len(words) > 1:
-                out.add(f"g {words[0]} {TITLES[title.rstrip('.')]}")
+                out.add(f"g {_plain(words[0])} {TITLES[title.rstrip('.')]}")
     return out
 
 
@@ -264,14 +279,14 @@ def replace(text: str, names: dict[str, str], key: bytes = KEY) -> tuple[str, in
     """A text with all its entities replaced, their number and their types."""
     untitled = None
     if names:
-        given, family = ("|".join(sorted(re.escape(n[2:]) for n in names if n[0] == k)) for k in "gf")
+        given, family = ("|".join(sorted(re.escape(v) for n in names if n[0] == k for v in {n[2:], n[2:].upper()})) for k in "gf")
         untitled = re.compile(rf"(?<!\w)(?:({given or '(?!)'}) )?({family})(?!\w)")
     parts, kinds, n, at = [], set(), 0, 0
 
     def gap(a: int, b: int) -> None:
         nonlocal n
         for m in untitled.finditer(text, a, b) if untitled else ():
-            parts.extend((text[a : m.start()], f"{names[f'g {m[1]}']} " if m[1] else "", names[f"f {m[2]}"]))
+            parts.extend((text[a : m.start()], f"{_called('g', m[1], names)} " if m[1] else "", _called("f", m[2], names)))
             kinds.add("name")
             n, a = n + 1, m.end()
         parts.append(text[a:b])
