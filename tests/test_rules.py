@@ -17,7 +17,7 @@ from tidemark.operators import state as T
 from tidemark.operators import windows as W
 from tidemark.plans.expression import FormulaError, compile_formula, validate
 from tidemark.plans.query_spec import QuerySpec, SpecError
-from tidemark.sources import archive, simulated
+from tidemark.sources import archive
 
 SEC = 1_000_000
 
@@ -193,7 +193,7 @@ def test_scalars(spark):
 
 
 def test_archive(spark, tmp_path):
-    p = simulated.read(spark, 2, 50, 3_600_000_000)
+    p = spark.range(100).selectExpr("id % 2 AS tag_id", "id DIV 2 * 3600000000L AS us", "id AS seq", "id * 1.5D AS value", "192 AS quality")
     archive.append(p, str(tmp_path / "a"))
     got = archive.scan(spark, str(tmp_path / "a"), (1,), 0, 24 * 3_600_000_000 - 1)
     assert got.count() == 24

@@ -78,6 +78,28 @@ def frame_states(actions: DataFrame) -> DataFrame:
     return actions.groupBy("frame_id").agg(s.alias("s")).select("frame_id", F.aggregate("s", F.lit("INACTIVE"), step).alias("state"))
 
 
+def frame_lifecycle(actions: DataFrame) -> DataFrame:
+    """frame_id, state, started, ended, acknowledged, by_whom and refused after a frame's actions (frame_id, us, action, actor).
+
+    Only an inactive frame starts, only an active one is closed or cancelled, and an active or closed one
+    acknowledged; other actions change nothing and count as refused. An end before the start is the start.
+    Equal times go by action and actor. A fold over a frame's few sorted actions.
+    """
+    s = F.array_sort(F.collect_list(F.struct("us", "action", "actor")))
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit("INACTIVE").alias("state"), none.alias("started"), none.alias("ended"), none.alias("acknowledged"), F.lit(None).cast("string").alias("by_whom"), F.lit(0).alias("refused"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a, state, us = x["action"], acc["state"], x["us"]
+        start, end, ack = (a == "start") & (state == "INACTIVE"), a.isin("close", "cancel") & (state == "ACTIVE"), (a == "acknowledge") & state.isin("ACTIVE", "CLOSED")
+        return F.struct(
+            F.when(start, "ACTIVE").when(end & (a == "close"), "CLOSED").when(end, "CANCELLED").when(ack, "ACKNOWLEDGED").otherwise(state).alias("state"), F.when(start, us).otherwise(acc["started"]).alias("started"),
+            F.when(end, F.greatest(us, acc["started"])).otherwise(acc["ended"]).alias("ended"), F.when(ack, us).otherwise(acc["acknowledged"]).alias("acknowledged"), F.when(ack, x["actor"]).otherwise(acc["by_whom"]).alias("by_whom"),
+            (acc["refused"] + F.coalesce(~(start | end | ack), F.lit(True)).cast("int")).alias("refused"))
+
+    return actions.groupBy("frame_id").agg(s.alias("s")).select("frame_id", F.aggregate("s", start, step).alias("f")).select("frame_id", "f.*")
+
+
 def table_lookup(values: DataFrame, table: DataFrame, key: str, linear: bool = True) -> DataFrame:
     """Value of a small lookup table (x, y) at each key, held at its ends.
 

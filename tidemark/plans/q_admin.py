@@ -55,12 +55,24 @@ def _enum(spark, sf_dir):
     return M.enum_names(v, e).select("event_id", "name")
 
 
-@register("template_attributes", """WITH a AS (SELECT * FROM (VALUES ('base', 'AssetID', ''), ('base', 'Unit', 'm'), ('pump', 'Unit', 'bar'), ('pump', 'Flow', 'l/s'), ('big', 'Flow', 'm3/s')) AS v(t, name, uom)),
-c AS (SELECT * FROM (VALUES ('base', 'base', 0), ('pump', 'pump', 0), ('pump', 'base', 1), ('big', 'big', 0), ('big', 'pump', 1), ('big', 'base', 2)) AS v(template, t, d))
+@register("template_attributes", """WITH t AS (SELECT 'T:' || p_type AS id, NULL AS parent FROM part GROUP BY p_type UNION ALL SELECT 'B:' || p_brand, 'T:' || min(p_type) FROM part GROUP BY p_brand UNION ALL SELECT 'S:' || p_brand || ':' || p_size, 'B:' || p_brand FROM part GROUP BY p_brand, p_size),
+a AS (SELECT 'T:' || p_type AS t, 'label' AS name, max(p_name) AS uom FROM part GROUP BY p_type UNION ALL SELECT 'T:' || p_type, 'price', min(p_name) FROM part GROUP BY p_type UNION ALL SELECT 'B:' || p_brand, 'label', min(p_name) FROM part GROUP BY p_brand HAVING min(p_size) <= 1
+  UNION ALL SELECT 'S:' || p_brand || ':' || p_size, 'size ' || p_size % 3, max(p_name) FROM part GROUP BY p_brand, p_size UNION ALL SELECT 'S:' || p_brand || ':' || p_size, 'price', max(p_name) FROM part WHERE p_retailprice > 1000 GROUP BY p_brand, p_size),
+c AS (SELECT id AS template, id AS t, 0 AS d FROM t UNION ALL SELECT id, parent, 1 FROM t WHERE parent IS NOT NULL UNION ALL SELECT x.id, y.parent, 2 FROM t x JOIN t y ON x.parent = y.id WHERE y.parent IS NOT NULL)
 SELECT template, name, uom FROM c JOIN a USING (t) QUALIFY row_number() OVER (PARTITION BY template, name ORDER BY d) = 1""")
 def _templates(spark, sf_dir):
-    t = spark.createDataFrame([("base", None), ("pump", "base"), ("big", "pump")], "id string, parent string")
-    a = spark.createDataFrame([("base", "AssetID", ""), ("base", "Unit", "m"), ("pump", "Unit", "bar"), ("pump", "Flow", "l/s"), ("big", "Flow", "m3/s")], "template string, name string, uom string")
+    """Templates of part types, of brands derived from a type, and of sizes derived from a brand."""
+    p = _t(spark, sf_dir, "part")
+    of_type, of_brand, of_size = F.concat(F.lit("T:"), "p_type").alias("id"), F.concat(F.lit("B:"), "p_brand").alias("id"), F.concat(F.lit("S:"), "p_brand", F.lit(":"), F.col("p_size").cast("string")).alias("id")
+    t = (
+        p.groupBy(of_type).agg(F.lit(None).cast("string").alias("parent")).unionByName(p.groupBy(of_brand).agg(F.concat(F.lit("T:"), F.min("p_type")).alias("parent")))
+        .unionByName(p.groupBy(of_size).agg(F.first(F.concat(F.lit("B:"), "p_brand")).alias("parent"))))
+    attr = lambda df, key, name, uom: df.groupBy(key).agg(name.alias("name"), uom.alias("uom")).withColumnRenamed("id", "template")
+    low, high = F.min("p_name"), F.max("p_name")
+    brands = p.groupBy(of_brand).agg(F.lit("label").alias("name"), low.alias("uom"), F.min("p_size").alias("_s")).where("_s <= 1").drop("_s").withColumnRenamed("id", "template")
+    a = (
+        attr(p, of_type, F.lit("label"), high).unionByName(attr(p, of_type, F.lit("price"), low)).unionByName(brands)
+        .unionByName(attr(p, of_size, F.concat(F.lit("size "), (F.first("p_size") % 3).cast("string")), high)).unionByName(attr(p.where("p_retailprice > 1000"), of_size, F.lit("price"), high)))
     return M.effective_attributes(t, a)
 
 

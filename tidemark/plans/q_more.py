@@ -8,6 +8,7 @@ from tidemark.functions import codecs as X
 from tidemark.operators import compress as C
 from tidemark.operators import interpolate as I
 from tidemark.operators import order as G
+from tidemark.operators import spectral as W
 from tidemark.plans import sql_series as Y
 from tidemark.plans.q_series import _FRAMES_SQL, _frames
 from tidemark.plans.q_state import band_sql
@@ -48,11 +49,14 @@ def _timeout(spark, sf_dir):
     return C.deadband_or_timeout(from_events(spark, sf_dir), 20.0, 6 * HOUR / 1e6)
 
 
-@register("window_shapes", """WITH k AS (SELECT * FROM (VALUES ('hann', 0.5::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE), ('hamming', 0.54::DOUBLE, 0.46::DOUBLE, 0.0::DOUBLE), ('blackman', 0.42::DOUBLE, 0.5::DOUBLE, 0.08::DOUBLE)) AS v(kind, a, b, c))
-SELECT kind, CAST(i AS INTEGER) AS i, round(a - b * cos(2 * pi() * i / 63) + c * cos(4 * pi() * i / 63), 6) + 0.0 AS weight FROM k, range(64) r(i)""")
+@register("window_shapes", f"""WITH {POINTS_SQL}, n AS (SELECT tag_id, seq, row_number() {_O} - 1 AS i, count(*) OVER (PARTITION BY tag_id) - 1 AS top FROM p WHERE value IS NOT NULL),
+k AS (SELECT * FROM (VALUES ('hann', 0.5::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE), ('hamming', 0.54::DOUBLE, 0.46::DOUBLE, 0.0::DOUBLE), ('blackman', 0.42::DOUBLE, 0.5::DOUBLE, 0.08::DOUBLE)) AS v(kind, a, b, c))
+SELECT kind, tag_id, seq, round(CASE WHEN top = 0 THEN 1 ELSE a - b * cos(2 * pi() * i / nullif(top, 0)) + c * cos(4 * pi() * i / nullif(top, 0)) END, 6) + 0.0 AS weight FROM k, n""")
 def _shapes(spark, sf_dir):
-    rows = [spark.range(1).select(F.lit(k).alias("kind"), F.posexplode(X.window_shape(k, 64)).alias("i", "weight")) for k in ("hann", "hamming", "blackman")]
-    return rows[0].unionAll(rows[1]).unionAll(rows[2]).withColumn("weight", r6(F.col("weight")))
+    """The weights of each series' points in a window as long as the series."""
+    ones = from_events(spark, sf_dir).where("value is not null").withColumn("value", F.lit(1.0))
+    rows = [W.weighted(ones, k, 1 << 40).select(F.lit(k).alias("kind"), "tag_id", "seq", r6(F.col("value")).alias("weight")) for k in ("hann", "hamming", "blackman")]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 @register("hard_threshold", "SELECT vec_id, len(list_filter(embedding, lambda x: abs(x::DOUBLE) >= 0.1::DOUBLE)) AS kept FROM embeddings")
@@ -111,3 +115,31 @@ def _references(spark, sf_dir):
     point, other = F.to_json(F.struct(F.col("tag_id").alias("tag"))), F.to_json(F.struct(e.alias("element"), F.lit("live").alias("attribute")))
     rows = F.explode(F.array(row("live", "PI_POINT", point, 0.0), row("fixed", "CONSTANT", F.lit('{"value": 7.5}'), 0.0), row("ref", "ATTR_REF", other, 0.0), row("none", "NONE", F.lit("{}"), 1.0))).alias("r")
     return G.resolve_references(latest.select(e.alias("element"), rows).select("element", "r.*"), latest)
+
+
+@register("frame_lifecycle", """WITH RECURSIVE a AS (SELECT o_custkey AS frame_id, epoch_us(o_orderdate) + o_orderkey AS us, CASE o_orderkey % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'close' WHEN 2 THEN 'acknowledge' ELSE 'cancel' END AS action, 'user' || o_orderkey % 3 AS actor FROM orders),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY us, action, actor) AS r, count(*) OVER (PARTITION BY frame_id) AS m FROM a),
+w AS (SELECT DISTINCT frame_id, 0::BIGINT AS r, 'INACTIVE' AS state, -1::BIGINT AS started, -1::BIGINT AS ended, -1::BIGINT AS acknowledged, '' AS by_whom, 0 AS refused FROM n
+UNION ALL SELECT frame_id, r, CASE WHEN NOT ok THEN state WHEN action = 'start' THEN 'ACTIVE' WHEN action = 'close' THEN 'CLOSED' WHEN action = 'cancel' THEN 'CANCELLED' ELSE 'ACKNOWLEDGED' END, CASE WHEN ok AND action = 'start' THEN us ELSE started END,
+  CASE WHEN ok AND action IN ('close', 'cancel') THEN us ELSE ended END, CASE WHEN ok AND action = 'acknowledge' THEN us ELSE acknowledged END, CASE WHEN ok AND action = 'acknowledge' THEN actor ELSE by_whom END, refused + CASE WHEN ok THEN 0 ELSE 1 END
+  FROM (SELECT n.frame_id, n.r, n.us, n.action, n.actor, w.state, w.started, w.ended, w.acknowledged, w.by_whom, w.refused, CASE n.action WHEN 'start' THEN state = 'INACTIVE' WHEN 'acknowledge' THEN state IN ('ACTIVE', 'CLOSED') ELSE state = 'ACTIVE' END AS ok FROM w JOIN n ON n.frame_id = w.frame_id AND n.r = w.r + 1))
+SELECT w.frame_id, state, started, ended, acknowledged, by_whom, refused FROM w JOIN (SELECT DISTINCT frame_id, m FROM n) l ON l.frame_id = w.frame_id AND l.m = w.r""")
+def _lifecycle(spark, sf_dir):
+    from tidemark.points import micros
+
+    k = F.col("o_orderkey")
+    action = F.when(k % 4 == 0, "start").when(k % 4 == 1, "close").when(k % 4 == 2, "acknowledge").otherwise("cancel")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    done = G.frame_lifecycle(o.select(F.col("o_custkey").alias("frame_id"), (micros(F.col("o_orderdate"), spark) + k).alias("us"), action.alias("action"), F.concat(F.lit("user"), (k % 3).cast("string")).alias("actor")))
+    return done.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("started", "ended", "acknowledged")}).withColumn("by_whom", F.coalesce("by_whom", F.lit("")))
+
+
+@register("retry_schedule", """WITH m AS (SELECT event_id AS message_id, epoch_us(ts) AS us, 1 + event_id % 7 AS good FROM events), a AS (SELECT message_id, us, good, unnest(range(1, least(good, 5) + 1)) AS attempt FROM m),
+t AS (SELECT *, CAST(coalesce(sum(least(60000000::DOUBLE, 7000000 * 2.5::DOUBLE ^ (attempt - 2))::BIGINT) FILTER (WHERE attempt > 1) OVER (PARTITION BY message_id ORDER BY attempt), 0) AS BIGINT) AS waited FROM a)
+SELECT message_id, CAST(attempt AS INTEGER) AS attempt, us + waited AS at_us, attempt = good AS delivered FROM t""")
+def _retries(spark, sf_dir):
+    """All attempts of a message for each event; its first good attempt is the rest of its id by 7, and five are made."""
+    from tidemark.streaming.outbox import schedule
+
+    e = from_events(spark, sf_dir)
+    return schedule(e.select(F.col("seq").alias("message_id"), "us", (1 + F.col("seq") % 7).alias("good")), 7_000_000, 2.5, 60_000_000, 5)

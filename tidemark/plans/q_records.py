@@ -15,15 +15,18 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_KIND = "['GOOD', 'BAD', 'UNCERTAIN', 'SUBSTITUTED', 'QUESTIONABLE', 'CONVERSION_ERROR', 'SENSOR_FAILURE', 'LAST_KNOWN', 'COMM_FAILURE', 'OUT_OF_SERVICE', 'OTHER']"
-_WORD = "[0, 2147483648, 1073741824, 262144, 1082130432, 2148532224, 2147614720, 524288, 2150694912, 2150760448, 2147483648]"
+#: Quality names by an event's k, an unknown one among them.
+_KINDS = [*R.STATUS_WORDS, "OTHER"]
+_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+_WORDS = ", ".join(f"('{n}', {w})" for n, w in R.STATUS_WORDS.items())
 
 
-@register("status_words", f"""WITH w AS (SELECT event_id, {_KIND}[event_id % 11 + 1] AS quality, CAST({_WORD}[event_id % 11 + 1] AS BIGINT) AS word FROM events)
-SELECT event_id, word, CASE WHEN word = 0 THEN 'GOOD' WHEN word >= 2147483648 THEN 'BAD' WHEN word >= 1073741824 THEN 'UNCERTAIN' ELSE 'QUESTIONABLE' END AS back FROM w""")
+@register("status_words", f"""WITH k AS (SELECT event_id, {_KINDS}[{_K} % {len(_KINDS)} + 1] AS quality FROM events), v AS (SELECT * FROM (VALUES {_WORDS}) AS t(quality, word)),
+w AS (SELECT event_id, k.quality, CAST(coalesce(word, (SELECT word FROM v WHERE quality = 'BAD')) AS BIGINT) AS word FROM k LEFT JOIN v ON v.quality = k.quality)
+SELECT event_id, quality, word, CASE WHEN word = 0 THEN 'GOOD' WHEN (word & 2147483648) <> 0 THEN 'BAD' WHEN (word & 1073741824) <> 0 THEN 'UNCERTAIN' ELSE 'QUESTIONABLE' END AS back FROM w""")
 def _status(spark, sf_dir):
-    names = F.array(*[F.lit(k) for k in [*R.STATUS_WORDS, "OTHER"]])
-    w = _t(spark, sf_dir, "events").select("event_id", R.status_word(F.get(names, (F.col("event_id") % 11).cast("int"))).alias("word"))
+    names, k = F.array(*map(F.lit, _KINDS)), F.get_json_object("props", "$.k").cast("int")
+    w = _t(spark, sf_dir, "events").select("event_id", F.get(names, k % len(_KINDS)).alias("quality")).withColumn("word", R.status_word(F.col("quality")))
     return w.withColumn("back", R.status_quality(F.col("word")))
 
 
@@ -56,19 +59,30 @@ def _meet(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", first.alias("first"), last.alias("last"))
 
 
-_TOPICS = ["plant/a/temp", "plant/+/temp", "plant/#", "plant/#/x", "plant/a+/x", "#", "+", "", "a//b", "x#"]
+_TOPIC_SQL = f"""CASE {_K} % 8 WHEN 0 THEN '' WHEN 1 THEN event_type || '/+/' || user_id WHEN 2 THEN event_type || '/#' WHEN 3 THEN '#/' || event_type WHEN 4 THEN event_type || '+/' || user_id WHEN 5 THEN event_type || '//' || user_id
+WHEN 6 THEN '/' || user_id || '#' ELSE event_type || '/' || user_id || '/' || event_id END"""
 
 
-@register("topic_rules", "SELECT event_id, [true, false, false, false, false, false, false, false, true, false][event_id % 10 + 1] AS topic, [true, true, true, false, false, true, true, false, true, false][event_id % 10 + 1] AS filter FROM events")
+@register("topic_rules", f"""WITH t AS (SELECT event_id, {_TOPIC_SQL} AS topic FROM events), l AS (SELECT event_id, topic, string_split(topic, '/') AS s FROM t)
+SELECT event_id, topic, topic <> '' AND NOT contains(topic, '+') AND NOT contains(topic, '#') AS is_topic,
+topic <> '' AND len(list_filter(s, lambda x: contains(x, '+') AND x <> '+')) = 0 AND len(list_filter(s, lambda x: contains(x, '#') AND x <> '#')) = 0 AND NOT list_contains(s[:len(s) - 1], '#') AS is_filter FROM l""")
 def _topics(spark, sf_dir):
-    t = F.get(F.array(*[F.lit(x) for x in _TOPICS]), (F.col("event_id") % 10).cast("int"))
-    return _t(spark, sf_dir, "events").select("event_id", R.topic_valid(t).alias("topic"), R.topic_filter_valid(t).alias("filter"))
+    k, e, u = F.get_json_object("props", "$.k").cast("int") % 8, F.col("event_type"), F.col("user_id").cast("string")
+    join = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    made = [F.lit(""), join(e, "/+/", u), join(e, "/#"), join("#/", e), join(e, "+/", u), join(e, "//", u), join("/", u, "#"), join(e, "/", u, "/", F.col("event_id").cast("string"))]
+    t = _t(spark, sf_dir, "events").select("event_id", F.get(F.array(*made), k).alias("topic"))
+    return t.select("event_id", "topic", R.topic_valid(F.col("topic")).alias("is_topic"), R.topic_filter_valid(F.col("topic")).alias("is_filter"))
 
 
-@register("point_types", """SELECT p_partkey, CAST([2, 2, 4, 2, 4, 8, 80, 8, 0, 0][p_partkey % 10 + 1] AS INTEGER) AS bytes, p_partkey % 10 BETWEEN 1 AND 5 AS numeric FROM part""")
+_TYPES = [*R.TYPE_BYTES, "OTHER"]
+_BYTES = ", ".join(f"('{n}', {b}, {str(n in R.NUMERIC_TYPES).lower()})" for n, b in R.TYPE_BYTES.items())
+
+
+@register("point_types", f"""WITH k AS (SELECT p_partkey, {_TYPES}[p_size % {len(_TYPES)} + 1] AS kind FROM part), v AS (SELECT * FROM (VALUES {_BYTES}) AS t(kind, bytes, numeric))
+SELECT p_partkey, k.kind, CAST(coalesce(bytes, 0) AS INTEGER) AS bytes, coalesce(numeric, false) AS numeric FROM k LEFT JOIN v ON v.kind = k.kind""")
 def _types(spark, sf_dir):
-    kind = F.get(F.array(*[F.lit(k) for k in [*R.TYPE_BYTES, "OTHER"]]), (F.col("p_partkey") % 10).cast("int"))
-    return _t(spark, sf_dir, "part").select("p_partkey", R.type_bytes(kind).alias("bytes"), R.type_is_numeric(kind).alias("numeric"))
+    kind = F.get(F.array(*map(F.lit, _TYPES)), F.col("p_size") % len(_TYPES))
+    return _t(spark, sf_dir, "part").select("p_partkey", kind.alias("kind")).select("p_partkey", "kind", R.type_bytes(F.col("kind")).alias("bytes"), R.type_is_numeric(F.col("kind")).alias("numeric"))
 
 
 @register("attribute_jaccard", """WITH o AS (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders), s AS (SELECT DISTINCT l_orderkey, l_suppkey % 7 AS a FROM lineitem),

@@ -192,6 +192,6 @@ def _expire(spark, sf_dir):
     return archive.expire(from_events(spark, sf_dir), 1705000000000000, 3 * DAY).select("tag_id", "us", "seq")
 
 
-@register("simulated_points", "SELECT t AS tag_id, i * 1000000 AS us, i AS seq, round(100 * sin(0.1::DOUBLE * i), 6) + 0.0 AS value, 192 AS quality FROM range(3) a(t), range(100) b(i)")
+@register("simulated_points", f"WITH {POINTS_SQL} SELECT tag_id, us, seq, round(100 * sin(0.1::DOUBLE * (row_number() {_O} - 1)), 6) + 0.0 AS value, 192 AS quality FROM p")
 def _simulated(spark, sf_dir):
-    return simulated.read(spark, 3, 100).withColumn("value", r6(F.col("value")))
+    return simulated.wave(from_events(spark, sf_dir)).withColumn("value", r6(F.col("value")))

@@ -1,48 +1,17 @@
-"""A Spark data source of simulated points, for trying queries without a plant."""
+"""Simulated series over the times of real ones, for trying queries without a plant's values."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-
-class _Part(InputPartition):
-    def __init__(self, tag: int):
-        self.tag = tag
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.tags, self.rows, self.step = int(options.get("tags", 1)), int(options.get("rows", 100)), int(options.get("step_us", 1_000_000))
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Part(i) for i in range(self.tags)]
-
-    def read(self, part: _Part) -> Iterator[tuple]:
-        for i in range(self.rows):
-            yield part.tag, i * self.step, i, 100.0 * math.sin(0.1 * i), 192
-
-
-class SimulatedPoints(DataSource):
-    """Sine waves: options tags, rows (of each tag) and step_us."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "simulated_points"
-
-    def schema(self) -> str:
-        return "tag_id long, us long, seq long, value double, quality int"
+from pyspark.sql import functions as F
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+from tidemark.points import ordered
 
 
-def read(spark: SparkSession, tags: int, rows: int, step_us: int = 1_000_000) -> DataFrame:
-    spark.dataSource.register(SimulatedPoints)
-    return spark.read.format("simulated_points").option("tags", tags).option("rows", rows).option("step_us", step_us).load()
+def wave(points: DataFrame, height: float = 100.0, step: float = 0.1) -> DataFrame:
+    """A sine wave at the times of points: height * sin(step * i) at the i-th point of each series, all good."""
+    i = F.row_number().over(ordered()) - 1
+    return points.select("tag_id", "us", "seq", (height * F.sin(step * i)).alias("value"), F.lit(192).alias("quality"))
 
 
 def ramp(spark: SparkSession, rows: int, end_us: int) -> DataFrame:

@@ -3,7 +3,9 @@
 Windowed aggregates are built-in streaming aggregation. Rules that carry state from
 point to point (deadband, alarm latch, latest value) run in
 applyInPandasWithState, keyed by series; a batch of a series is put in time order
-before it is applied, and rows older than a series' state are counted out as late.
+before it is applied, and rows older than a series' state take no part. State ends when a
+series has been idle for long enough by event time, if that is asked for; the series then
+begins anew. Rules that must wait for late points instead are in `frames`.
 """
 
 from __future__ import annotations
@@ -44,44 +46,53 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 _POINT = "tag_id long, us long, seq long, value double"
 
 
-def deadband(points: DataFrame, width: float) -> DataFrame:
-    """Points that leave the band around the last kept value of their series."""
+def _carried(points: DataFrame, rule, begin: tuple, schema: str, state: str, idle_us: int | None) -> DataFrame:
+    """Rows that rule(carried, us, seq, value) gives: (carried, row or None) point by point, from `begin` on.
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, at = state.get if state.exists else (None, None)
-        p = _in_order(batches).dropna(subset=["value"])
-        keep = []
-        for us, v in zip(p["us"].tolist(), p["value"].tolist(), strict=True):
-            late = at is not None and us < at
-            hit = not late and (last is None or abs(v - last) > width)
-            if hit:
-                last = v
-            if not late:
+    idle_us needs points with a watermark on ts.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def step(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        *carried, at = held.get if held.exists else (*begin, None)
+        p, out = _in_order(batches).dropna(subset=["value"]), []
+        for us, seq, v in zip(p["us"].tolist(), p["seq"].tolist(), p["value"].tolist(), strict=True):
+            if at is None or us >= at:
+                carried, row = rule(carried, us, seq, v)
                 at = us
-            keep.append(hit)
+                out += [(key[0], *row)] if row else []
         if at is not None:
-            state.update((last, at))
-        yield p.loc[keep, ["tag_id", "us", "seq", "value"]]
+            held.update((*carried, at))
+            if idle_us is not None:
+                held.setTimeoutTimestamp(max(at // 1000, held.getCurrentWatermarkMs()) + idle_us // 1000 + 1)
+        yield pd.DataFrame(out, columns=names)
+
+    ends = GroupStateTimeout.NoTimeout if idle_us is None else GroupStateTimeout.EventTimeTimeout
+    return points.groupBy("tag_id").applyInPandasWithState(step, schema, f"{state}, at long", "append", ends)
+
 
-    return points.groupBy("tag_id").applyInPandasWithState(step, _POINT, "last double, at long", "append", GroupStateTimeout.NoTimeout)
+def deadband(points: DataFrame, width: float, idle_us: int | None = None) -> DataFrame:
+    """Points that leave the band around the last kept value of their series."""
+
+    def rule(carried: list, us: int, seq: int, v: float) -> tuple:
+        (last,) = carried
+        return ([v], (us, seq, v)) if last is None or abs(v - last) > width else (carried, None)
+
+    return _carried(points, rule, (None,), _POINT, "last double", idle_us)
 
 
-def latched_alarms(points: DataFrame, high: float, deadband: float) -> DataFrame:
+def latched_alarms(points: DataFrame, high: float, deadband: float, idle_us: int | None = None) -> DataFrame:
     """Changes of a high alarm that holds until the value is back by the deadband."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (on,) = state.get if state.exists else (False,)
-        p = _in_order(batches).dropna(subset=["value"])
-        rows = []
-        for us, seq, v in zip(p["us"].tolist(), p["seq"].tolist(), p["value"].tolist(), strict=True):
-            now = v >= high or (on and v > high - deadband)
-            if now != on:
-                rows.append((key[0], us, seq, v, now))
-            on = now
-        state.update((on,))
-        yield pd.DataFrame(rows, columns=["tag_id", "us", "seq", "value", "active"])
-
-    return points.groupBy("tag_id").applyInPandasWithState(step, _POINT + ", active boolean", "on boolean", "append", GroupStateTimeout.NoTimeout)
+    def rule(carried: list, us: int, seq: int, v: float) -> tuple:
+        (on,) = carried
+        now = v >= high or (on and v > high - deadband)
+        return [now], ((us, seq, v, now) if now != on else None)
+
+    return _carried(points, rule, (False,), _POINT + ", active boolean", "on boolean", idle_us)
 
 
 def latest(points: DataFrame) -> DataFrame:
