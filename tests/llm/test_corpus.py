@@ -56,6 +56,27 @@ def test_html_names_that_are_noise(name):
     assert html_extract.text_of(page.replace("class", "id"), None) == "Head Some longer text than that. End."
 
 
+@pytest.mark.parametrize("page", [
+    '<body><h1>Head</h1><p>Lead here.</p><div class="entry-content"><p>A long body of the text.</p><p>More of it.</p></div></body>',
+    '<body><div class="page"><h1>Head</h1><p>Lead here.</p><div class="content"><p>A long body of the text.</p><p>More of it.</p></div></div></body>',
+    '<body><div class="article-body"><h1>Head</h1><p>Lead here.</p><p>A long body of the text.</p></div><div class="article-body-2"><p>More of it.</p></div></body>',
+    '<body><div><h1>Head</h1><section><p>Lead here.</p><p>A long body of the text.</p></section><section><p>More of it.</p></section></div></body>',
+    '<body><header>Site</header><article><header><h1>Head</h1></header><p>Lead here.</p><p>A long body of the text.</p><p>More of it.</p><header>skip</header></article></body>',
+    '<body><h1>Head</h1><nav>menu</nav><div class="post-1">Lead here.<p>A long body of the text.</div><div class="ad">buy</div><div class="post-2"><p>More of it.</div><footer>end</footer></body>'])
+def test_html_whole_articles(spark, page):
+    want = "Head Lead here. A long body of the text. More of it."
+    assert html_extract.text_of(page, None) == want
+    pages = pages_of(spark, [(i, f"http://w.example.com/{i}", page) for i in range(3)])
+    assert {r["text"] for r in html_extract.extract(pages).collect()} == {want}
+
+
+def test_html_heading_elsewhere():
+    page = "<body><div class='top'><h1>Site of many words and then some more words for all to see</h1><p>Welcome to this site, read on and on.</div><div class='story'><p>Short.</div></body>"
+    assert html_extract.text_of(page, None).startswith("Site of many words")
+    assert html_extract.text_of("<article><header>no heading</header><p>Text.</article>", None) == "Text."
+    assert html_extract.text_of("<h1>Only a heading</h1>", None) == "Only a heading"
+
+
 def test_html_keeps_what_no_rule_names(spark):
     page = "<article><p>Euler: <math><mi>x</mi>=2</math> end<p hidden>shown<noscript><p>plain</noscript><canvas>drawn</canvas><svg><text>label</text></svg><textarea>typed</textarea></article>"
     assert html_extract.text_of(page, None) == "Euler: x=2 end shown plaindrawnlabel"

@@ -4,7 +4,9 @@ Each page's containers are scored by the share of the page's free text that they
 hold, and every container votes with its score for its generalised tag-class
 path (digits in class names become #). Votes are summed by host and path in
 Spark; the page is then extracted again from the containers on its host's winning
-path, or from its own best one where it has none on that path. A path is told by a
+path, or from its own best one where it has none on that path. Where the page's main
+heading lies outside them, the nearest container of both is taken, and neighbours whose
+name differs by a number alone belong together. A path is told by a
 hash of all its steps and its last step, so deep pages stay small.
 
 Left out are menus, headers, footers, sidebars, notices, adverts, forms, reader
@@ -12,7 +14,8 @@ comments, scripts and styles: by element name, role, and class or id names that
 such a word or made of such words (COMPANIONS may stand beside them: "site-header"
 is one, "has-sidebar" and "comment-open" aren't). Boxes named like things that can
 also be text (SOFT) go only where they are mostly links. A form, or a box by its
-class, that holds most of the page's free text and its heading or article is kept.
+class, that holds most of the page's free text and its heading or article is kept, and so
+is a header inside the article that has the main heading.
 Character references are decoded once. White space is one space, blocks are
 joined by one space, and nothing else is dropped. Null html, and pages without
 text, give the empty string. Pages without url or host vote together under the
@@ -64,7 +67,7 @@ COMPANIONS = set(
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form"}
 _GOOD = set("article content entry post story main text body".split())
 _KEEP = {"html", "body", "main", "article"}
-_HARD, _FORM, _BY_NAME, _COMMENT, _LINKS = range(1, 6)
+_HARD, _FORM, _BY_NAME, _COMMENT, _LINKS, _HEADER = range(1, 7)
 
 
 def _noise(tag: str, attrs: str) -> int:
@@ -98,13 +101,14 @@ def _step(tag: str, attrs: str) -> str:
     return tag
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, str, int, int]]]:
-    """Runs of kept text (text, container, in a link) and containers (path, step, parent, depth)."""
+def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, str, int, int]], int]:
+    """Runs of kept text (text, container, in a link), containers (path, step, parent, depth), and the container of the main heading, -1 without one."""
     runs: list[tuple[str, int, bool, int]] = []  # the last is the noisy region it lies in
     holds: list[tuple[str, str, int, int]] = [("", "", -1, 0)]
     regions: list[list] = [[0, 0, False]]  # parent, kind, holds a heading or article
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, container, region (-1: dropped), in a link
     open_: dict[str, int] = {}
+    heads: list[tuple[int, int]] = []
     at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
@@ -162,6 +166,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, str,
         _, hold, region, link = stack[-1]
         if region >= 0:
             kind = _noise(tag, attrs)
+            if tag == "header" and (open_.get("article", 0) or open_.get("main", 0)):
+                kind = _HEADER
             if kind == _HARD:
                 region = -1
             elif kind:
@@ -176,13 +182,16 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, str,
                 path, step = holds[hold][0], _step(tag, attrs)
                 holds.append((hashlib.blake2b(f"{path}/{step}".encode(), digest_size=8).hexdigest() + "/" + step, step, hold, holds[hold][3] + 1))
                 hold = len(holds) - 1
+        if tag == "h1" and region >= 0:
+            heads.append((hold, region))
         stack.append((tag, hold, region, link or tag == "a"))
         open_[tag] = open_.get(tag, 0) + 1
-    return _kept(runs, regions), holds
+    drop = _dropped(runs, regions)
+    return [(text, hold, link) for text, hold, link, region in runs if not drop[region]], holds, next((hold for hold, region in heads if not drop[region]), -1)
 
 
-def _kept(runs: list[tuple[str, int, bool, int]], regions: list[list]) -> list[tuple[str, int, bool]]:
-    """The runs outside the regions that are noise."""
+def _dropped(runs: list[tuple[str, int, bool, int]], regions: list[list]) -> list[bool]:
+    """Which regions are noise."""
     free, linked = [0] * len(regions), [0] * len(regions)
     for text, _, link, region in runs:
         (linked if link else free)[region] += len(text) - text.count(" ")
@@ -193,13 +202,13 @@ def _kept(runs: list[tuple[str, int, bool, int]], regions: list[list]) -> list[t
     for i, (parent, kind, heading) in enumerate(regions):
         if i:
             most = heading and 2 * free[i] > free[0]
-            drop[i] = drop[parent] or kind == _COMMENT or (linked[i] >= free[i] if kind == _LINKS else not most)
-    return [(text, hold, link) for text, hold, link, region in runs if not drop[region]]
+            drop[i] = drop[parent] or kind == _COMMENT or (linked[i] >= free[i] if kind == _LINKS else not heading if kind == _HEADER else not most)
+    return drop
 
 
 def scores(page: str) -> dict[str, float]:
     """Votes of a page: the score of each path by its part of the free text."""
-    return _scores(*parse(page))
+    return _scores(*parse(page)[:2])
 
 
 def _scores(runs: list[tuple[str, int, bool]], holds: list[tuple[str, str, int, int]]) -> dict[str, float]:
@@ -223,14 +232,55 @@ def _scores(runs: list[tuple[str, int, bool]], holds: list[tuple[str, str, int,
     return out
 
 
+def _weights(runs: list[tuple[str, int, bool]], holds: list[tuple[str, str, int, int]]) -> list[int]:
+    """Unlinked text of each container with all that it holds."""
+    free = [0] * len(holds)
+    for text, hold, link in runs:
+        if not link:
+            free[hold] += len(text) - text.count(" ")
+    for i in range(len(holds) - 1, 0, -1):
+        free[holds[i][2]] += free[i]
+    return free
+
+
+def _stem(step: str) -> str:
+    return step.rstrip("#").rstrip("-_")
+
+
+def _article(wanted: set[int], runs: list[tuple[str, int, bool]], holds: list[tuple[str, str, int, int]], head: int) -> set[int]:
+    """The containers on the winning path, and what else belongs to their article.
+
+    That is their neighbours whose name differs by a number alone, and, where the main heading
+    lies outside, the nearest container that holds both, if half of its unlinked text is theirs.
+    """
+    parts = {(holds[i][2], _stem(holds[i][1])) for i in wanted if i}
+    wanted = wanted | {i for i, h in enumerate(holds) if i and "." in h[1] and (h[2], _stem(h[1])) in parts}
+    above: set[int] = set()
+    for i in wanted:
+        while i not in above and i >= 0:
+            above.add(i)
+            i = holds[i][2]
+    own = head
+    while own >= 0 and own not in wanted:
+        own = holds[own][2]
+    if head < 0 or own >= 0:
+        return wanted
+    both = head
+    while both not in above:
+        both = holds[both][2]
+    free = _weights(runs, holds)
+    return {both} if 2 * sum(free[i] for i in wanted if holds[i][2] not in wanted) >= free[both] else wanted
+
+
 def text_of(page: str, path: str | None) -> str:
-    """The text inside the containers on the path, or on the page's own best path."""
-    runs, holds = parse(page)
+    """The text inside the containers on the path, or on the page's own best path, and in the rest of their article."""
+    runs, holds, head = parse(page)
     wanted = {i for i, h in enumerate(holds) if path and h[0] == path}
     if not wanted:
         votes = _scores(runs, holds)
         best = max(votes, key=lambda p: (votes[p], p), default=None)
         wanted = {i for i, h in enumerate(holds) if h[0] == best} or {0}
+    wanted = _article(wanted, runs, holds, head)
     for i, h in enumerate(holds):
         if h[2] in wanted:
             wanted.add(i)
