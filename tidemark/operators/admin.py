@@ -102,3 +102,43 @@ def trend(slopes: DataFrame, sensitivity: float, higher_is_better: bool = True)
     good = F.col("slope") > 0 if higher_is_better else F.col("slope") < 0
     kind = F.when((F.col("n") < 3) | F.col("slope").isNull(), "UNDEFINED").when(F.abs("slope") <= sensitivity, "STABLE").when(good, "IMPROVING").otherwise("DETERIORATING")
     return slopes.withColumn("trend", kind)
+
+
+def enum_sets(enum: DataFrame) -> DataFrame:
+    """For each set of an enumeration (set, code, name, retired) its active and retired codes."""
+    return enum.groupBy("set").agg(F.count_if(~F.col("retired")).alias("active"), F.count_if("retired").alias("retired"))
+
+
+def enum_codes(names: DataFrame, enum: DataFrame) -> DataFrame:
+    """names (with set and name) with the code of the active value of that name, and whether there is one; the smallest of several."""
+    active = enum.where(~F.col("retired")).groupBy("set", "name").agg(F.min("code").alias("code"))
+    return names.join(active, ["set", "name"], "left").withColumn("valid", F.col("code").isNotNull())
+
+
+def instances(frames: DataFrame, definitions: DataFrame, own: DataFrame) -> DataFrame:
+    """Attributes of frames made from templates: those that the template (template, name, default, required) defines, with a frame's own value (id, name, value) where it is set.
+
+    is_set tells whether there is a value, and missing whether the template requires one and there is none.
+    """
+    d = definitions.select("template", "name", F.col("default").alias("_default"), "required")
+    j = frames.select("id", "template").join(d, "template").join(own.select("id", "name", F.col("value").alias("_own")), ["id", "name"], "left")
+    value = F.coalesce("_own", "_default")
+    return j.select("id", "template", "name", value.alias("value"), value.isNotNull().alias("is_set"), (F.col("required") & value.isNull()).alias("missing"))
+
+
+def union_results(*parts: DataFrame, keys: tuple[str, ...] = ("tag_id", "us", "seq")) -> DataFrame:
+    """Rows of several results, those of equal keys once: from the first result that has them."""
+    rows = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    columns = [c for c in parts[0].columns if c not in keys]
+    kept = out.groupBy(*keys).agg(F.min_by(F.struct(*columns), "_part").alias("_row"))
+    return kept.select(*keys, "_row.*").select(*parts[0].columns)
+
+
+def delivery_stats(deliveries: DataFrame, *keys: str) -> DataFrame:
+    """Deliveries by outcome: delivered or acknowledged, failed or expired, pending or sent, and the share that failed."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    g = deliveries.groupBy(*keys).agg(n("DELIVERED", "ACKNOWLEDGED").alias("delivered"), n("FAILED", "EXPIRED").alias("failed"), n("PENDING", "SENT").alias("pending"))
+    return g.withColumn("failure_rate", F.coalesce(F.try_divide("failed", F.col("delivered") + F.col("failed")), F.lit(0.0)))

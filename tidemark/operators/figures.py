@@ -72,3 +72,16 @@ def template_errors(attributes: DataFrame) -> DataFrame:
     """Per template: attributes without a name, and required ones with neither default nor reference."""
     blank = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
     return attributes.groupBy("template").agg(F.count_if(blank("name")).alias("unnamed"), F.count_if(F.col("required") & blank("default_value") & blank("reference")).alias("unset"))
+
+
+#: Bytes of a stored point, of a value and of a run.
+POINT_BYTES, VALUE_BYTES, RUN_BYTES = 24, 8, 16
+
+
+def size_figures(points: DataFrame, kept: DataFrame, runs: DataFrame) -> DataFrame:
+    """For each series how much smaller it is as kept points and as runs: ratios, per cent saved, and bytes saved."""
+    n = points.groupBy("tag_id").agg(F.count("*").alias("n"))
+    j = n.join(kept.groupBy("tag_id").agg(F.count("*").alias("kept")), "tag_id").join(runs.groupBy("tag_id").agg(F.count("*").alias("runs")), "tag_id")
+    n, k = F.col("n"), F.col("kept")
+    return j.select(
+        "tag_id", "n", "kept", "runs", (n / k).alias("ratio"), ((1 - k / n) * 100).alias("percent_saved"), ((n - k) * POINT_BYTES).alias("bytes_saved"), (n * VALUE_BYTES / (F.col("runs") * RUN_BYTES)).alias("run_ratio"))

@@ -198,3 +198,12 @@ def alarm_rate(points: DataFrame, limit: float, width: int, allowed: int) -> Dat
     """Alarms (values over the limit) in fixed windows, and whether their number is acceptable."""
     a = points.where(F.col("value") > limit).groupBy(bucket(F.col("us"), width).alias("start_us")).agg(F.count("*").alias("alarms"))
     return a.withColumn("acceptable", F.col("alarms") <= allowed)
+
+
+def rate_alarms(points: DataFrame, limit: float) -> DataFrame:
+    """Points that changed by more than the limit a second since the one before; of equal times any change is one."""
+    w = ordered()
+    step, dt = F.abs(F.col("value") - F.lag("value").over(w)), (F.col("us") - F.lag("us").over(w)) / SECOND
+    rate = F.when(dt > 0, step / dt)
+    p = points.withColumn("rate", rate).withColumn("_hit", F.when(dt > 0, rate > limit).otherwise(step > 0))
+    return p.where("_hit").select("tag_id", "us", "seq", "value", "rate")
