@@ -64,3 +64,16 @@ def test_prefix_codes(spark):
     only = B.code_table(one)
     assert [r["symbol"] for r in B.decode_symbols(B.encode_symbols(one, only), only).collect()] == [7] * 9
     assert B.code_lengths({}) == {} and B.code_lengths({1: 5, 2: 5, 3: 10}) == {1: 2, 2: 2, 3: 1}
+
+
+def test_values_there_and_back(spark):
+    rng = np.random.default_rng(4)
+    for v in ([1.5], [2.0, 2.0], np.round(rng.normal(size=200), 2).tolist(), [0.0, -0.0, 5e-324, 1e308, -1e308, 1.0, 1.0, 1 / 3], np.repeat([1.0, 1.5, 2.0], 40).tolist()):
+        p = spark.createDataFrame([(1, i, i, x) for i, x in enumerate(v)], "tag_id long, us long, seq long, value double")
+        b = B.encode_values(p, 64)
+        got = [r["value"] for r in B.decode_values(b).orderBy("block", "i").collect()]
+        assert np.array_equal(np.array(got).view(np.int64), np.array(v).view(np.int64))
+        own = b.orderBy("block").select(B._unpacked("data")).first()[0]
+        plain = "".join(f"{x:08b}" for x in X.xor_encode(v[:64]))[32:]
+        assert own.rstrip("0") == plain.rstrip("0")
+    assert B.decode_values(B.encode_values(p.limit(0))).count() == 0

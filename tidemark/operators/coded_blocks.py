@@ -1,9 +1,10 @@
-"""Lossless codes of series in blocks: differences as varints, second differences and symbols as prefix codes.
+"""Lossless codes of series in blocks: differences as varints, second differences and symbols as prefix codes, values by exclusive or.
 
 Rows of a series are numbered and cut into blocks of `size`, so what is gathered in one row is bounded. Each
 row's code is a column, of the row and the one before; a block joins its codes in order. Codes tell where
 they end, so a block comes apart by one regular expression, and running sums inside the block give the
-values back. All of it is columns, grouping and windows.
+values back. Values share a window of bits with those before, so theirs is a fold over a block. All of it is
+columns, grouping and windows; only the bits of a double are taken, a batch at a time, in Python.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import heapq
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +163,64 @@ def decode_symbols(blocks: DataFrame, table: DataFrame) -> DataFrame:
     b = blocks.select(*_ROW, F.substring(_unpacked("data"), F.lit(1), F.col("bits")).alias("_b"))
     t = b.select(*_ROW, F.posexplode(F.regexp_extract_all("_b", F.lit(f"({'|'.join(codes)})"))).alias("i", "code"))
     return t.join(table.select("code", "symbol"), "code").select(*_ROW, "i", "symbol")
+
+
+def _viewed(column: str, kind: type, other: type) -> Column:
+    """A column's 8 bytes as another kind of number."""
+
+    @F.pandas_udf("long" if other is np.int64 else "double")
+    def view(values: pd.Series) -> pd.Series:
+        return pd.Series(values.to_numpy(kind).view(other))
+
+    return view(column)
+
+
+def encode_values(points: DataFrame, size: int = SIZE) -> DataFrame:
+    """Blocks of values: 64 bits of the first, then what differs from the one before.
+
+    0: nothing differs. 10: it lies in the last window of bits, which follow. 11: a new window, its
+    leading zeros (5 bits, 31 at most), its width less one (6 bits), and its bits. Points without a value are left out.
+    """
+    p = numbered(points.where("value is not null"), size).withColumn("_v", _viewed("value", np.float64, np.int64))
+    x = F.col("_v").bitwiseXOR(F.lag("_v").over(_in_block()))
+    p = p.select(*_ROW, "i", F.lpad(F.bin(F.coalesce(x, F.col("_v"))), 64, "0").alias("_x"))
+    g = p.groupBy(*_ROW).agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("i", "_x"))).alias("_c"))
+    start = F.struct(F.lit(-1).alias("lead"), F.lit(0).alias("width"), F.lit("").alias("code"))
+
+    def step(acc: Column, row: Column) -> Column:
+        bits = row["_x"]
+        lead = F.least(F.lit(31), F.length(bits) - F.length(F.regexp_replace(bits, "^0+", "")))
+        width = F.length(F.regexp_replace(bits, "0+$", "")) - lead
+        fits = (acc["lead"] >= 0) & (lead >= acc["lead"]) & (lead + width <= acc["lead"] + acc["width"])
+        inside = F.concat(F.lit("10"), F.substring(bits, acc["lead"] + 1, acc["width"]))
+        anew = F.concat(F.lit("11"), F.lpad(F.bin(lead.cast("long")), 5, "0"), F.lpad(F.bin((width - 1).cast("long")), 6, "0"), F.substring(bits, lead + 1, width))
+        same, first = ~bits.contains("1"), row["i"] == 0
+        code = F.when(first, bits).when(same, "0").when(fits, inside).otherwise(anew)
+        keep = first | same | fits
+        return F.struct(F.when(keep, acc["lead"]).otherwise(lead).alias("lead"), F.when(keep, acc["width"]).otherwise(width).alias("width"), F.concat(acc["code"], code).alias("code"))
+
+    g = g.select(*_ROW, "n", F.aggregate("_c", start, step)["code"].alias("_code"))
+    return g.select(*_ROW, "n", _packed("_code").alias("data"))
+
+
+def decode_values(blocks: DataFrame) -> DataFrame:
+    """tag_id, block, i and value of all values in blocks."""
+    b = blocks.select(*_ROW, "n", _unpacked("data").alias("_b"))
+    whole = F.col("_b")
+    number = lambda at, width: F.conv(F.substring(whole, at, width), 2, 10).cast("int")
+    first = F.conv(F.substring("_b", 1, 64), 2, -10).cast("long")
+    start = F.struct(F.lit(65).alias("at"), F.lit(0).alias("lead"), F.lit(0).alias("width"), first.alias("last"), F.array(first).alias("out"))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        same, anew = F.substring(whole, at, F.lit(1)) == "0", F.substring(whole, at, F.lit(2)) == "11"
+        lead = F.when(anew, number(at + 2, F.lit(5))).otherwise(acc["lead"])
+        width = F.when(anew, number(at + 7, F.lit(6)) + 1).otherwise(acc["width"])
+        begin = at + F.when(anew, 13).otherwise(2)
+        bits = F.rpad(F.concat(F.repeat(F.lit("0"), lead), F.substring(whole, begin, width)), 64, "0")
+        value = F.when(same, acc["last"]).otherwise(acc["last"].bitwiseXOR(F.conv(bits, 2, -10).cast("long")))
+        return F.struct(F.when(same, at + 1).otherwise(begin + width).alias("at"), F.when(same, acc["lead"]).otherwise(lead).alias("lead"), F.when(same, acc["width"]).otherwise(width).alias("width"), value.alias("last"), F.array_append(acc["out"], value).alias("out"))
+
+    more = F.slice(F.sequence(F.lit(0), F.col("n")), F.lit(1), F.col("n") - 1)
+    out = b.select(*_ROW, F.posexplode(F.aggregate(more, start, step)["out"]).alias("i", "_v"))
+    return out.select(*_ROW, "i", _viewed("_v", np.int64, np.float64).alias("value"))

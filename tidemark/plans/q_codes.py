@@ -64,3 +64,8 @@ def _symbols_back(spark, sf_dir):
     p = _symbols(spark, sf_dir)
     table = cut(B.code_table(p))
     return B.decode_symbols(cut(B.encode_symbols(p, table, _SIZE)), table)
+
+
+@register("value_blocks_back", f"WITH {POINTS_SQL.replace('FROM events)', 'FROM events WHERE isfinite(value))')}, {_I} SELECT tag_id, block, i, value FROM i")
+def _values_back(spark, sf_dir):
+    return B.decode_values(cut(B.encode_values(from_events(spark, sf_dir), _SIZE)))
