@@ -25,11 +25,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group.
 
-    A row without doc_id goes by a hash of its text. Of rows that share an id and have
-    words one stays; documents without words stay, all of them.
+    A row without doc_id goes by a hash of its text, and rows that share an id but not the text by one
+    of both, so they are documents of their own. Of rows that share id and text and have words one
+    stays; documents without words stay, all of them.
     """
-    (key,) = spare(docs, "key")
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(53))))
+    key, several = spare(docs, "key", "several")
+    one = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(53)))
+    text = F.xxhash64("text", F.lit(59))
+    shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_low"), F.max(text).alias("_high")).where("_low <> _high").select("doc_id", F.lit(True).alias(several))
+    keyed = docs.withColumn(key, one)
+    if not shared.isEmpty():
+        keyed = docs.join(shared, "doc_id", "left").withColumn(key, F.when(F.col(several), F.xxhash64("doc_id", "text", F.lit(61))).otherwise(one)).select(*docs.columns, key)
     groups = Scratch(spark, "groups").save(near_dup.near_groups(keyed.select(F.col(key).alias("doc_id"), "text")), "groups").where("n_shingles > 0")
     rest = keyed.join(groups.where("not kept").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
     twice = groups.where("kept").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key)
