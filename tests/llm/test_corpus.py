@@ -686,6 +686,9 @@ def test_pipeline_edges(spark, sf):
     docs = docs_of(spark, rows)
     alone = P.drop_near_duplicates(spark, docs, sf)
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in alone.collect()) == [(0, "some"), (1, ""), (2, ""), (2, ""), (5, "x y "), (7, "Mail")]
+    mixed_ids = docs_of(spark, [(9, "first text of a shared id and more", "a"), (9, "another text under the same id here", "a"), (9, "another text under the same id here", "a"), (3, "another text under the same id here", "b"), (9, None, "a"), (4, "alone with its id", "a")])
+    runs = [sorted((r["doc_id"], r["text"] or "") for r in P.drop_near_duplicates(spark, mixed_ids.repartition(n), sf).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1] and sorted(t for _, t in runs[0]) == ["", "alone with its id", "another text under the same id here", "first text of a shared id and more"]
     for table in (docs, docs.limit(0)):
         for name, stage in P.STAGES:
             got = stage(spark, table, sf)
