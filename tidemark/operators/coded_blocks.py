@@ -184,13 +184,12 @@ def encode_values(points: DataFrame, size: int = SIZE) -> DataFrame:
     p = numbered(points.where("value is not null"), size).withColumn("_v", _viewed("value", np.float64, np.int64))
     x = F.col("_v").bitwiseXOR(F.lag("_v").over(_in_block()))
     p = p.select(*_ROW, "i", F.lpad(F.bin(F.coalesce(x, F.col("_v"))), 64, "0").alias("_x"))
-    g = p.groupBy(*_ROW).agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("i", "_x"))).alias("_c"))
+    p = p.withColumn("_lead", F.least(F.lit(31), F.length("_x") - F.length(F.ltrim("_x", F.lit("0"))))).withColumn("_width", F.length(F.rtrim("_x", F.lit("0"))) - F.col("_lead"))
+    g = p.groupBy(*_ROW).agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("i", "_x", "_lead", "_width"))).alias("_c"))
     start = F.struct(F.lit(-1).alias("lead"), F.lit(0).alias("width"), F.lit("").alias("code"))
 
     def step(acc: Column, row: Column) -> Column:
-        bits = row["_x"]
-        lead = F.least(F.lit(31), F.length(bits) - F.length(F.regexp_replace(bits, "^0+", "")))
-        width = F.length(F.regexp_replace(bits, "0+$", "")) - lead
+        bits, lead, width = row["_x"], row["_lead"], row["_width"]
         fits = (acc["lead"] >= 0) & (lead >= acc["lead"]) & (lead + width <= acc["lead"] + acc["width"])
         inside = F.concat(F.lit("10"), F.substring(bits, acc["lead"] + 1, acc["width"]))
         anew = F.concat(F.lit("11"), F.lpad(F.bin(lead.cast("long")), 5, "0"), F.lpad(F.bin((width - 1).cast("long")), 6, "0"), F.substring(bits, lead + 1, width))
@@ -205,19 +204,20 @@ def encode_values(points: DataFrame, size: int = SIZE) -> DataFrame:
 
 def decode_values(blocks: DataFrame) -> DataFrame:
     """tag_id, block, i and value of all values in blocks."""
-    b = blocks.select(*_ROW, "n", _unpacked("data").alias("_b"))
-    whole = F.col("_b")
-    number = lambda at, width: F.conv(F.substring(whole, at, width), 2, 10).cast("int")
-    first = F.conv(F.substring("_b", 1, 64), 2, -10).cast("long")
+    b = blocks.select(*_ROW, "n", F.encode(_unpacked("data"), "UTF-8").alias("_b"))
+    whole = F.col("_b")  # bytes are cut at any place without counting up to it
+    cut = lambda at, width: F.decode(F.substring(whole, at, width), "UTF-8")
+    number = lambda at, width: F.conv(cut(at, width), 2, 10).cast("int")
+    first = F.conv(cut(F.lit(1), F.lit(64)), 2, -10).cast("long")
     start = F.struct(F.lit(65).alias("at"), F.lit(0).alias("lead"), F.lit(0).alias("width"), first.alias("last"), F.array(first).alias("out"))
 
     def step(acc: Column, _: Column) -> Column:
         at = acc["at"]
-        same, anew = F.substring(whole, at, F.lit(1)) == "0", F.substring(whole, at, F.lit(2)) == "11"
+        same, anew = cut(at, F.lit(1)) == "0", cut(at, F.lit(2)) == "11"
         lead = F.when(anew, number(at + 2, F.lit(5))).otherwise(acc["lead"])
         width = F.when(anew, number(at + 7, F.lit(6)) + 1).otherwise(acc["width"])
         begin = at + F.when(anew, 13).otherwise(2)
-        bits = F.rpad(F.concat(F.repeat(F.lit("0"), lead), F.substring(whole, begin, width)), 64, "0")
+        bits = F.rpad(F.concat(F.repeat(F.lit("0"), lead), cut(begin, width)), 64, "0")
         value = F.when(same, acc["last"]).otherwise(acc["last"].bitwiseXOR(F.conv(bits, 2, -10).cast("long")))
         return F.struct(F.when(same, at + 1).otherwise(begin + width).alias("at"), F.when(same, acc["lead"]).otherwise(lead).alias("lead"), F.when(same, acc["width"]).otherwise(width).alias("width"), value.alias("last"), F.array_append(acc["out"], value).alias("out"))
 

@@ -42,16 +42,16 @@ def search(elements: DataFrame, lists: DataFrame, counts: DataFrame, queries: Da
     rare = Window.partitionBy("query_id").orderBy(F.coalesce("names", F.lit(0)), "gram")
     asked = each.withColumn("_place", F.row_number().over(rare)).where((F.col("_place") <= F.col("_of") - F.col("_need") + 1) & F.col("names").isNotNull()).select("query_id", "gram")
     by_name = asked.join(lists, "gram").select("query_id", "id").distinct()
-    e = elements.select("id", F.col("name").alias("_name"), F.col("template").alias("_template"), "categories")
+    e = elements.select("id", grams(F.col("name")).alias("_h"), F.col("template").alias("_template"), "categories")
     named = by_name.join(q, "query_id").join(e, "id")
     unnamed = q.where("not _named")
     by_template = unnamed.where("template is not null").join(e, F.col("template") == F.col("_template"))
-    in_category = e.select("id", "_name", "_template", "categories", F.explode(F.array_distinct("categories")).alias("_c"))
+    in_category = e.select("id", "_h", "_template", "categories", F.explode(F.array_distinct("categories")).alias("_c"))
     by_category = unnamed.where("template is null and category is not null").join(in_category, F.col("category") == F.col("_c")).drop("_c")
     found = named.unionByName(by_template).unionByName(by_category)
-    share = F.when(F.col("_named"), F.size(F.array_intersect("_g", grams(F.col("_name")))) / F.size("_g"))
-    found = found.withColumn("share", share).where(
-        (~F.col("_named") | (F.size(F.array_intersect("_g", grams(F.col("_name")))) >= need)) & (F.col("template").isNull() | (F.col("template") == F.col("_template")))
+    both = F.when(F.col("_named"), F.size(F.array_intersect("_g", "_h")))
+    found = found.withColumn("_both", both).withColumn("share", F.col("_both") / F.size("_g")).where(
+        (~F.col("_named") | (F.col("_both") >= need)) & (F.col("template").isNull() | (F.col("template") == F.col("_template")))
         & (F.col("category").isNull() | F.coalesce(F.array_contains("categories", F.col("category")), F.lit(False))))
     asks = F.col("_named").cast("int") + F.col("template").isNotNull().cast("int") + F.col("category").isNotNull().cast("int")
     met = F.coalesce(NAME * F.col("share"), F.lit(0.0)) + F.when(F.col("template").isNotNull(), TEMPLATE).otherwise(0.0) + F.when(F.col("category").isNotNull(), CATEGORY).otherwise(0.0)
