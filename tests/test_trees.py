@@ -123,7 +123,7 @@ CHANGES = {
 
 @pytest.mark.parametrize("name", CHANGES)
 def test_changed_closure_is_the_closure_anew(spark, name):
-    parents = random_tree(60, 4, reach=40)
+    parents = random_tree(30, 4, reach=20)
     if name == "out of a removed subtree":
         parents = {1: None, 2: None, 3: 1, 30: 3, 31: 30, 4: 2}
     t = tree_of(spark, parents)
