@@ -255,6 +255,40 @@ def test_pieces_inclusion_is_exact():
         assert seen[k] / n == pytest.approx(want, abs=0.02)
 
 
+def same_samples(a, b):
+    return all(tuple(x["ids"]) == tuple(y["ids"]) and x["log_prob"] == y["log_prob"] and x["perturbed"] == y["perturbed"] for r, q in zip(a, b, strict=True) for x, y in zip(r, q, strict=True))
+
+
+def test_pieces_sum_each_rest_of_a_word_once(monkeypatch):
+    gumbel_pieces.vocabulary.cache_clear()
+    v, keys = gumbel_pieces.vocabulary(), np.arange(4)
+    texts = ["the nation", "a station\nnation", "聖" * 40 + " nation", "x" * 5000]
+    first = gumbel_pieces.encode_batch(v, texts, keys, 3, 1)
+    rests = {w[i:] for w in (" the", " nation", " a", " station", "\n", "nation", " " + "聖" * 40, " " + "x" * 5000) for i in range(len(w))}
+    assert v.words.summed == len(rests)
+    kept, done = sum(len(r) <= gumbel_pieces.MAX_KEPT for r in rests), v.words.summed
+    assert len(v.words.keys) == kept and (v.words.next[: v.words.kept] < v.words.kept).all()
+    assert same_samples(gumbel_pieces.encode_batch(v, texts[:2], keys[:2], 3, 1), first[:2]) and v.words.summed == done
+    assert same_samples(gumbel_pieces.encode_batch(v, texts[::-1], keys[::-1], 3, 1)[::-1], first) and v.words.summed == done + len(rests) - kept
+    monkeypatch.setattr(gumbel_pieces, "MAX_EDGES", 5)
+    assert same_samples(gumbel_pieces.encode_batch(v, texts, keys, 3, 1), first) and len(v.words.keys) == kept
+    gumbel_pieces.vocabulary.cache_clear()
+
+
+def test_pieces_log_probability_by_plain_sums():
+    v = gumbel_pieces.vocabulary()
+    piece = {v.pieces[i].as_py(): v.logp[i] for i in v.ids.tolist()}
+    for text in ("the nation of stations", "nation", " station\nrations ", "aaaa aaaaaaa", "don't, can't"):
+        whole, total = (" " + text).encode(), [0.0]
+        for z in range(1, len(whole) + 1):
+            # a piece holds no space but its first, and no new line
+            parts = [total[a] + piece[whole[a:z]] for a in range(z) if whole[a:z] in piece and b" " not in whole[a:z].lstrip(b" ") and b"\n" not in whole[a:z]]
+            total.append(np.logaddexp.reduce(parts) if parts else total[z - 1] + v.logp[v.byte_ids[whole[z - 1]]])
+        for rows in gumbel_pieces.encode_batch(v, [text] * 5, np.arange(5), 4, 1):
+            for x in rows:
+                assert x["log_prob"] == pytest.approx(v.logp[x["ids"]].sum() - total[-1], abs=1e-9)
+
+
 def test_pieces_query(spark, sf):
     got = gumbel_pieces.op3_gumbel_pieces(spark, sf)
     assert got.where("not round_trip").isEmpty() and got.select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").count()
