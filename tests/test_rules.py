@@ -62,6 +62,16 @@ def test_cusum_and_ema(spark):
     assert e == pytest.approx([100, 130, 130])
 
 
+def test_cusum_at_its_limit_is_no_alarm(spark):
+    # 19.54 + 80.46 is 100.00000000000001 in doubles, and 100 in hundredths
+    alarms = lambda *v: [r["alarm"] for r in W.cusum(series(spark, list(enumerate(v))), 45.0, 5.0, 100.0).orderBy("us").collect()]
+    assert alarms(69.54, 130.46) == [False, False]
+    assert alarms(86.34, 76.18, 87.48) == [False, False, False]
+    assert alarms(69.54, 130.47) == [False, True]
+    assert alarms(20.46, -40.46) == [False, False]
+    assert alarms(20.46, -40.47) == [False, True]
+
+
 def test_interpolation(spark):
     p = series(spark, [(0, 0), (10, 100), (20, 200)])
     q = spark.createDataFrame([(1, t * SEC) for t in (-5, 0, 5, 15, 25)], "tag_id long, q_us long")

@@ -74,12 +74,14 @@ def cusum(points: DataFrame, mean: float, slack: float, limit: float) -> DataFra
     """Two-sided cumulative sums and their alarm.
 
     s = max(0, s + x) equals S - min(0, lowest S so far) for the running sum S, so
-    two running windows over one sort replace the recurrence.
+    two running windows over one sort replace the recurrence. A sum at the limit is no
+    alarm, nor is one that is above it by less than a billionth, which sums of doubles are off by.
     """
     w = ordered().rowsBetween(Window.unboundedPreceding, 0)
     p = points.withColumn("_up", F.sum(F.col("value") - mean - slack).over(w)).withColumn("_dn", F.sum(mean - F.col("value") - slack).over(w))
     p = p.withColumn("high", F.col("_up") - F.least(F.lit(0.0), F.min("_up").over(w))).withColumn("low", F.col("_dn") - F.least(F.lit(0.0), F.min("_dn").over(w)))
-    return p.select("tag_id", "us", "seq", "high", "low", ((F.col("high") > limit) | (F.col("low") > limit)).alias("alarm"))
+    top = limit + 1e-9 * abs(limit)
+    return p.select("tag_id", "us", "seq", "high", "low", ((F.col("high") > top) | (F.col("low") > top)).alias("alarm"))
 
 
 def ema(points: DataFrame, alpha: float) -> DataFrame:
