@@ -188,6 +188,14 @@ def test_errors_stay_within_their_bounds(spark, sf):
     assert W.compress(p.limit(0)).count() == 0
 
 
+def test_rows_of_blocks_are_not_broadcast(spark, sf, tmp_path):
+    p = from_events(spark, sf)
+    W.compress(p).write.parquet(f"{tmp_path}/blocks")
+    back = W.decompress(spark.read.parquet(f"{tmp_path}/blocks"), p)
+    assert "BroadcastExchange" not in back._jdf.queryExecution().executedPlan().toString()
+    assert back.count() == p.where("value is not null").count()
+
+
 # Search
 
 

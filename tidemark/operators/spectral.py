@@ -65,7 +65,8 @@ def compress(points: DataFrame, n: int = 32, keep: int = 8, step: float = 0.25)
 def decompress(blocks: DataFrame, points: DataFrame, n: int = 32, step: float = 0.25) -> DataFrame:
     """tag_id, us, seq of the points with the value that their blocks give back, and the bound of its error.
 
-    Only the times of points are used.
+    Only the times of points are used. Spark takes the rows of blocks for as small as their compressed codes
+    and would broadcast them all, so the join is told to merge.
     """
     base = cosines(n) * window(n)
 
@@ -79,7 +80,7 @@ def decompress(blocks: DataFrame, points: DataFrame, n: int = 32, step: float =
     rows = blocks.select("tag_id", "block", "bound", F.posexplode(back("places", "levels")).alias("_i", "_part"))
     parts = rows.select("tag_id", ((F.col("block") - 1) * (n // 2) + F.col("_i")).alias("_r"), "_part", "bound").groupBy("tag_id", "_r").agg(F.sum("_part").alias("value"), F.sqrt(F.sum(F.col("bound") * F.col("bound"))).alias("bound"))
     at = points.where(F.col("value").isNotNull() & ~F.isnan("value")).select("tag_id", "us", "seq", (F.row_number().over(ordered()) - 1).alias("_r"))
-    return at.join(parts, ["tag_id", "_r"]).select("tag_id", "us", "seq", "value", "bound")
+    return at.join(parts.hint("merge"), ["tag_id", "_r"]).select("tag_id", "us", "seq", "value", "bound")
 
 
 def figures(points: DataFrame, rebuilt: DataFrame, blocks: DataFrame, bits: int = 24) -> DataFrame:
