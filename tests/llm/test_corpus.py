@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -691,6 +692,50 @@ def test_neighbours_of_extreme_and_lonely_vectors(spark):
     assert len(got) == 5 and set(got["vec_id"]) - {1000, 1001, 1002, 1003} <= {i for _, i in want}
 
 
+def test_rows_and_queries_are_stored_once(spark, monkeypatch):
+    """Tables don't grow with the lists that a row or a query is in, and no batch holds the distances to all centroids."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(6_000, 8))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6_000), "embedding": v.tolist()}), "vec_id long, embedding array<float>")
+    tables, save = {}, ann_postings.Scratch.save
+    monkeypatch.setattr(ann_postings.Scratch, "save", lambda self, t, name: tables.setdefault(name, save(self, t, name)))
+    got = ann_postings.nearest(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
+    assert (tables["lists"].count(), tables["probes"].count(), got.count()) == (6_000, 120, 600)
+    x = ann_postings._unit(v)
+    tracemalloc.start()
+    row, at = ann_postings.own_lists(x, x[:2_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and (row == np.sort(row)).all() and (at[np.unique(row, return_index=True)[1]][:2_000] == np.arange(2_000)).all()
+
+
+def test_cell_is_brute_force_over_shared_lists():
+    rng = np.random.default_rng(9)
+    n, m, lists, k = 700, 90, 21, 5
+    v = np.round(rng.normal(size=(n, 6)), 1)
+    v[200:500] = v[200]  # copies, so ties
+    own = [rng.choice(lists, rng.integers(1, 5), replace=False) for _ in range(n)]
+    q, asked = v[:m].copy(), rng.random((m, lists)) < 0.2
+    q[50:], asked[0] = v[200], False
+    left = pd.DataFrame({"lists": own, "vec_id": np.arange(n), "v": list(v.astype(np.float32))})
+    right = pd.DataFrame({"asked": [a.tobytes() for a in np.packbits(asked, axis=1)], "vec_id": np.arange(m), "v": list(q.astype(np.float32))})
+    got = ann_postings._cell(k, lists)(left, right)
+    q, v = (x.astype(np.float32).astype(float) for x in (q, v))
+    for i in range(m):
+        score = (v * q[i]).sum(axis=1) / (np.linalg.norm(v, axis=1) * np.linalg.norm(q[i]))
+        want = sorted((-round(score[j], 12), j) for j in range(n) if j != i and asked[i][own[j]].any())[:k]
+        mine = got[got["query_id"] == i]
+        assert sorted((-round(s, 12), j) for s, j in zip(mine["score"], mine["vec_id"], strict=True)) == want
+
+
+def test_lowest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(ann_postings, "MAX_TRAIN", 100)
+    h = F.xxhash64("vec_id", F.lit(5))
+    for rows in (spark.range(5_000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v")), spark.range(500).select(F.lit(3).cast("long").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v"))):
+        want = rows.orderBy(h, "vec_id", "v").limit(100).collect()
+        assert ann_postings._lowest(rows, rows.count()).collect() == want
+
+
 
 # The pipeline
 
