@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,18 +209,23 @@ def _cell(k: int, lists: int):
             own[i, : len(at)] = at
         best, best_ids = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
 
-        def block(rows: np.ndarray, at: np.ndarray, share: np.ndarray) -> None:
-            """Queries `at` against rows, share being which rows have a list that the query asks."""
+        def block(rows: np.ndarray, at: np.ndarray) -> None:
+            """Queries `at` against rows; only those that share a list count."""
             rough = u[rows] @ uq[at].T
             least, groups = best[at, k - 1], 4 * k
             if len(rows) >= groups and np.isinf(least).any():  # k groups of rows have one as near as this
+                some, where = np.unique(own[rows], return_inverse=True)
+                asks, where = asked[some][:, at], where.reshape(-1, REPLICAS)
+                share = asks[where[:, 0]]
+                for i in range(1, REPLICAS):
+                    share |= asks[where[:, i]]
                 share &= ids[rows][:, None] != query_ids[at]
                 tops = np.where(share, rough, -np.inf)[: len(rows) // groups * groups].reshape(groups, -1, len(at)).max(axis=1)
                 least = np.maximum(least, np.partition(tops, groups - k, axis=0)[groups - k])
-            share &= rough >= np.maximum(least - off, -2).astype(np.float32)
-            r, c = np.divmod(np.flatnonzero(share), len(at))
+            r, c = np.divmod(np.flatnonzero(rough >= np.maximum(least - off, -2).astype(np.float32)), len(at))
             r, c = rows[r], at[c]
-            r, c = (x[ids[r] != query_ids[c]] for x in (r, c))
+            good = (ids[r] != query_ids[c]) & asked[own[r], c[:, None]].any(axis=1)
+            r, c = r[good], c[good]
             if len(r):
                 score = np.concatenate([(v[r[s]] * q[c[s]]).sum(axis=1) / (norm[r[s]] * qn[c[s]]) for s in _slices(len(r), BLOCK // 8)])  # the same sum for equal vectors wherever they lie
                 _keep(best, best_ids, c, score, ids[r])
@@ -227,16 +233,9 @@ def _cell(k: int, lists: int):
         order = np.argsort(own[:, 0], kind="stable")
         for near in np.split(order, np.flatnonzero(np.diff(own[order, 0])) + 1):  # rows by their nearest list
             for rows in (near[s] for s in _slices(len(near), BLOCK // 64)):
-                some, where = np.unique(own[rows], return_inverse=True)
-                where = where.reshape(len(rows), REPLICAS)
-                asks = asked[some]
-                asking = np.flatnonzero(asks.any(axis=0))
-                asks = asks[:, asking]
+                asking = np.flatnonzero(asked[np.unique(own[rows])].any(axis=0))
                 for s in _slices(len(asking), BLOCK // len(rows)):
-                    share = asks[where[:, 0], s]
-                    for i in range(1, REPLICAS):
-                        share |= asks[where[:, i], s]
-                    block(rows, asking[s], share)
+                    block(rows, asking[s])
         row, col = np.nonzero(best > -np.inf)
         return pd.DataFrame({"query_id": query_ids[row], "vec_id": best_ids[row, col], "score": best[row, col]})
 
@@ -263,19 +262,16 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
     graph, ratio, bundle = neighbour_graph(c), fit_ratio(sample, c), bundle_lists(c)
     del sample
 
-    def units(b: pd.DataFrame) -> np.ndarray:
-        return _unit(np.stack(b["v"].to_numpy()).astype(float))
-
     def deal(batches):
         for b in batches:
             if len(b):
-                row, at = own_lists(units(b), c)
-                own = np.split(at, np.flatnonzero(np.diff(row)) + 1)
-                yield pd.DataFrame({"bundle": bundle[[x[0] for x in own]], "lists": own, "vec_id": b["vec_id"].to_numpy(), "v": b["v"].to_numpy()})
+                row, at = own_lists(_unit(b["v"].flatten().to_numpy().reshape(len(b), dim).astype(float)), c)
+                ends = np.searchsorted(row, np.arange(len(b) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bundle[at[ends[:-1]]]), pa.ListArray.from_arrays(ends, at), b["vec_id"], b["v"]], ["bundle", "lists", "vec_id", "v"])
 
     kind = base.schema["v"].dataType.simpleString()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    posts = scratch.save(base.select("vec_id", "v").mapInPandas(deal, f"bundle long, lists array<long>, vec_id long, v {kind}"), "lists")
+    posts = scratch.save(base.select("vec_id", "v").mapInArrow(deal, f"bundle long, lists array<long>, vec_id long, v {kind}"), "lists")
     holds = np.zeros((len(c), int(bundle.max()) + 1), bool)  # in which bundles rows of a list are
     at = posts.select(F.explode("lists").alias("list"), "bundle").distinct().toPandas()
     holds[at["list"], at["bundle"]] = True
@@ -287,7 +283,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
                     part = b.iloc[s]
                     asked = np.full((len(part), len(c)), not walk)
                     if walk:
-                        asked[graph_search(units(part), c, graph, ratio)] = True
+                        asked[graph_search(_unit(np.stack(part["v"].to_numpy()).astype(float)), c, graph, ratio)] = True
                     yield pd.DataFrame({"bundles": [np.flatnonzero(holds[x].any(axis=0)) for x in asked], "asked": [x.tobytes() for x in np.packbits(asked, axis=1)], "vec_id": part["vec_id"].to_numpy(), "v": part["v"].to_numpy()})
 
         return queries.select("vec_id", "v").mapInPandas(ask, f"bundles array<long>, asked binary, vec_id long, v {kind}")
