@@ -40,7 +40,7 @@ REPLICAS, REPLICA_RATIO = 4, 1.15
 RECALL, SAMPLED_QUERIES, SAMPLED_NEAREST = 0.92, 1_000, 5
 DEGREE = 16
 #: Bundles at most, rows and queries of one cell of a bundle, and pairs that are compared at once.
-MAX_BUNDLES, CELL_ROWS, CELL_QUERIES, BLOCK = 32, 16_384, 16_384, 1 << 18
+MAX_BUNDLES, CELL_ROWS, CELL_QUERIES, BLOCK = 32, 65_536, 32_768, 1 << 18
 #: Vectors whose distances to all centroids are held at once, so that memory doesn't grow with rows.
 SLICE = 256
 
@@ -203,7 +203,9 @@ def _cell(k: int, lists: int):
         off = (v.shape[1] + 8) * 2.4e-7  # more than 32-bit cosines can be off by
         # whether a list is asked by a query; the last row stands for no list
         asked = np.zeros((lists + 1, len(q)), bool)
-        asked[:lists] = np.unpackbits(np.frombuffer(b"".join(right["asked"]), np.uint8).reshape(len(q), -1), axis=1, count=lists).T
+        bits = np.frombuffer(b"".join(right["asked"]), np.uint8).reshape(len(q), -1)
+        for s in _slices(len(q)):
+            asked[:lists, s] = np.unpackbits(bits[s], axis=1, count=lists).T
         own = np.full((len(v), REPLICAS), lists)
         for i, at in enumerate(left["lists"]):
             own[i, : len(at)] = at
